@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
             CAST(10 AS DECIMAL(12,2)) AS line_total
         FROM purchase_orders WHERE status = 'pending-buyer'""",
     "new_songs": """SELECT album_id, track, duration,
-            CASE WHEN track = 1 THEN upper(song) ELSE song END AS song
+            CASE WHEN track = 1 THEN song || ' (live)' ELSE song END AS song
         FROM songs WHERE track <> 3
         UNION ALL
         SELECT DISTINCT album_id, CAST(20 AS BIGINT), CAST(200 AS BIGINT), 'bonus track'

@@ -1,5 +1,592 @@
-"""Registered queries."""
+"""Change queries: D-1..23, J-9, J-11..14, J-16, A-16, PF-9, SRC-3, SRC-5."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.exprs import money, ts_text
+from ..operators import changes as ch
+from ..sources.fixtures import PATCH_AT
+from .registry import register
+
+TS = "'%Y-%m-%d %H:%M:%S'"
+AT = f"TIMESTAMP '{PATCH_AT}'"
+
+
+def _money(c: str) -> str:
+    return f"CAST(round({c}, 2) AS DOUBLE)"
+
+
+# ---- cart ledger and stock --------------------------------------------------
+
+@register("fold_cart", """
+WITH r AS (SELECT user_id, album_id, delta,
+                  sum(delta) OVER (PARTITION BY user_id, album_id ORDER BY ts, event_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+           FROM cart_events)
+SELECT user_id, album_id, CAST(sum(delta) - least(0, min(run)) AS BIGINT) AS quantity
+FROM r GROUP BY user_id, album_id HAVING sum(delta) - least(0, min(run)) > 0""")
+def fold_cart(s):
+    empty_start = s.cart.filter(F.lit(False))
+    return ch.fold_cart(empty_start, s.cart_events)
+
+
+@register("fold_cart_on_snapshot", """
+WITH ev AS (SELECT user_id, album_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id,
+                   quantity AS delta FROM cart
+            UNION ALL
+            SELECT user_id, album_id, ts, event_id, delta FROM cart_events
+            WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM cart_events)),
+r AS (SELECT user_id, album_id, delta,
+             sum(delta) OVER (PARTITION BY user_id, album_id
+                              ORDER BY ts NULLS FIRST, event_id NULLS FIRST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ev)
+SELECT user_id, album_id, CAST(sum(delta) - least(0, min(run)) AS BIGINT) AS quantity
+FROM r GROUP BY user_id, album_id HAVING sum(delta) - least(0, min(run)) > 0""")
+def fold_cart_on_snapshot(s):
+    ev = s.cart_events
+    mid = ev.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).scalar()
+    return ch.fold_cart(s.cart, ev.filter(F.col("ts") >= mid))
+
+
+@register("upsert_add", """
+SELECT user_id, album_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM (
+  SELECT user_id, album_id, quantity FROM cart
+  UNION ALL SELECT DISTINCT user_id, album_id, CAST(1 AS BIGINT) FROM cart_events)
+GROUP BY user_id, album_id""")
+def upsert_add(s):
+    delta = s.cart_events.select("user_id", "album_id").distinct() \
+        .withColumn("quantity", F.lit(1).cast("bigint"))
+    return ch.upsert_add(s.cart, delta, ["user_id", "album_id"], "quantity")
+
+
+@register("admit_cart_events")
+def admit_cart_events(s):
+    return ch.admit_cart_events(s.albums, s.cart, s.cart_events)
+
+
+@register("move_stock")
+def move_stock(s):
+    adm = ch.admit_cart_events(s.albums, s.cart, s.cart_events)
+    return ch.move_stock(s.albums, adm).select("album_id", "stock")
+
+
+@register("cart_after_admission")
+def cart_after_admission(s):
+    adm = ch.admit_cart_events(s.albums, s.cart, s.cart_events)
+    return ch.cart_after_admission(s.cart, adm)
+
+
+@register("remove_cart_items", """
+SELECT c.* FROM cart c
+WHERE c.user_id % 5 <> 0
+  AND NOT (c.album_id % 3 = 0 AND c.user_id % 2 = 0)""")
+def remove_cart_items(s):
+    whole = s.users.filter(F.col("user_id") % 5 == 0).select(
+        "user_id", F.lit(None).cast("bigint").alias("album_id"))
+    one = s.cart.filter((F.col("album_id") % 3 == 0) & (F.col("user_id") % 2 == 0)) \
+        .select("user_id", "album_id")
+    return ch.remove_cart_items(s.cart, whole.unionByName(one))
+
+
+# ---- draft lines ------------------------------------------------------------
+
+@register("draft_quantities", """
+WITH st AS (SELECT purchase_order, album_id, sum(quantity) AS q FROM purchase_order_lines
+            GROUP BY purchase_order, album_id),
+ev AS (SELECT purchase_order, album_id,
+              list(delta ORDER BY ts, event_id) AS ds FROM draft_events
+       GROUP BY purchase_order, album_id),
+g AS (SELECT coalesce(st.purchase_order, ev.purchase_order) AS purchase_order,
+             coalesce(st.album_id, ev.album_id) AS album_id,
+             CAST(coalesce(st.q, 0) AS BIGINT) AS q0, coalesce(ev.ds, []) AS ds
+      FROM st FULL OUTER JOIN ev ON st.purchase_order = ev.purchase_order
+                                AND st.album_id = ev.album_id)
+SELECT g.purchase_order, g.album_id,
+       CAST(list_reduce(g.ds, lambda acc, d:
+            CASE WHEN d > 0 THEN (CASE WHEN acc = 0 THEN 1
+                                       WHEN acc + 1 <= 10 - a.stock THEN acc + 1 ELSE acc END)
+                 ELSE greatest(acc - 1, 0) END, g.q0) AS BIGINT) AS quantity
+FROM g JOIN albums a ON a.album_id = g.album_id
+WHERE list_reduce(g.ds, lambda acc, d:
+            CASE WHEN d > 0 THEN (CASE WHEN acc = 0 THEN 1
+                                       WHEN acc + 1 <= 10 - a.stock THEN acc + 1 ELSE acc END)
+                 ELSE greatest(acc - 1, 0) END, g.q0) > 0""")
+def draft_quantities(s):
+    from ..operators.folds import fold_draft_quantities
+    return fold_draft_quantities(s.purchase_order_lines, s.albums, s.draft_events) \
+        .select("purchase_order", "album_id", "quantity")
+
+
+@register("fold_draft_lines")
+def fold_draft_lines(s):
+    out = ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events)
+    return out.withColumn("line_total", money("line_total"))
+
+
+# ---- appends, ids, arrays ---------------------------------------------------
+
+@register("append_rows", f"""
+SELECT artist_id, name, bio, strftime(modified, {TS}) AS modified FROM artists
+UNION ALL
+SELECT CAST((SELECT max(artist_id) FROM artists)
+            + row_number() OVER (ORDER BY username, user_id) AS BIGINT),
+       username, 'no biography yet', strftime({AT}, {TS})
+FROM users WHERE user_id % 7 = 0""")
+def append_rows(s):
+    new = s.users.filter(F.col("user_id") % 7 == 0).select(
+        F.col("username").alias("name"), "user_id")
+    with_ids = ch.assign_ids(new, s.artists, "artist_id",
+                             [F.col("name").asc(), F.col("user_id").asc()])
+    out = ch.append_rows(s.artists, with_ids.drop("user_id"),
+                         {"bio": F.lit("no biography yet"),
+                          "modified": F.lit(PATCH_AT).cast("timestamp")})
+    return out.withColumn("modified", ts_text("modified"))
+
+
+@register("assign_ids", """
+SELECT CAST((SELECT max(order_id) FROM orders_h)
+            + row_number() OVER (ORDER BY e.ts, e.event_id) AS BIGINT) AS order_id,
+       e.event_id, e.user_id
+FROM cart_events e WHERE e.delta < 0""")
+def assign_ids(s):
+    new = s.cart_events.filter(F.col("delta") < 0).select("event_id", "user_id", "ts")
+    return ch.assign_ids(new, s.orders_h, "order_id",
+                         [F.col("ts").asc(), F.col("event_id").asc()]) \
+        .select("order_id", "event_id", "user_id")
+
+
+ARRAY_LAST = """(SELECT album_id, max(track) AS last FROM songs GROUP BY album_id)"""
+
+
+@register("arrays_to_rows", f"""
+SELECT s.album_id, s.track,
+       CASE WHEN s.album_id % 2 = 1 AND s.track = l.last THEN NULL ELSE s.duration END AS duration,
+       s.song
+FROM songs s JOIN {ARRAY_LAST} l ON l.album_id = s.album_id""")
+def arrays_to_rows(s):
+    return ch.arrays_to_rows(s.array_rows, ["album_id"], ["track", "duration", "song"])
+
+
+@register("rows_to_arrays", """
+SELECT album_id, string_agg(CAST(track AS VARCHAR), ',' ORDER BY track) AS tracks,
+       string_agg(coalesce(CAST(duration AS VARCHAR), '-'), ',' ORDER BY track) AS durations,
+       string_agg(song, '|' ORDER BY track) AS songs
+FROM songs GROUP BY album_id""")
+def rows_to_arrays(s):
+    a = ch.rows_to_arrays(s.songs, ["album_id"], ["track", "duration", "song"], "track")
+    return a.select(
+        "album_id", F.array_join(F.transform("track", lambda x: x.cast("string")), ",")
+        .alias("tracks"),
+        F.array_join(F.transform("duration", lambda x: F.coalesce(x.cast("string"),
+                                                                  F.lit("-"))), ",")
+        .alias("durations"),
+        F.array_join("song", "|").alias("songs"))
+
+
+# ---- updates and patches ----------------------------------------------------
+
+@register("patch_rows", f"""
+SELECT a.artist_id, coalesce(p.name, a.name) AS name, coalesce(p.bio, a.bio) AS bio,
+       strftime(CASE WHEN p.artist_id IS NOT NULL THEN {AT} ELSE a.modified END, {TS})
+       AS modified
+FROM artists a LEFT JOIN artist_patch p ON p.artist_id = a.artist_id""")
+def patch_rows(s):
+    out = ch.patch_rows(s.artists, s.artist_patch, "artist_id", "modified", PATCH_AT)
+    return out.withColumn("modified", ts_text("modified"))
+
+
+PATCHED_ALBUMS = f"""(SELECT a.album_id, coalesce(p.title, a.title) AS title,
+       coalesce(p.release_year, a.release_year) AS release_year, a.stock,
+       coalesce(p.price, a.price) AS price, coalesce(p.photo, a.photo) AS photo,
+       coalesce(p.artist_id, a.artist_id) AS artist_id,
+       CASE WHEN p.album_id IS NOT NULL THEN {AT} ELSE a.modified END AS modified
+FROM albums a LEFT JOIN album_patch p ON p.album_id = a.album_id)"""
+
+
+@register("patch_albums", f"""
+SELECT album_id, title, release_year, stock, {_money('price')} AS price, photo, artist_id,
+       strftime(modified, {TS}) AS modified FROM {PATCHED_ALBUMS}""")
+def patch_albums(s):
+    out = ch.patch_rows(s.albums, s.album_patch, "album_id", "modified", PATCH_AT)
+    return out.withColumn("price", money("price")).withColumn("modified", ts_text("modified"))
+
+
+@register("changed_fields", f"""
+SELECT n.album_id,
+       CASE WHEN n.title IS DISTINCT FROM o.title THEN n.title END AS title,
+       CASE WHEN n.release_year IS DISTINCT FROM o.release_year THEN n.release_year END
+       AS release_year,
+       {_money('CASE WHEN n.price IS DISTINCT FROM o.price THEN n.price END')} AS price,
+       CASE WHEN n.artist_id IS DISTINCT FROM o.artist_id THEN n.artist_id END AS artist_id,
+       CASE WHEN n.photo IS DISTINCT FROM o.photo THEN n.photo END AS photo
+FROM {PATCHED_ALBUMS} n JOIN albums o ON o.album_id = n.album_id""")
+def changed_fields(s):
+    new = ch.patch_rows(s.albums, s.album_patch, "album_id", "modified", PATCH_AT)
+    out = ch.changed_fields(s.albums, new, ["album_id"],
+                            ["title", "release_year", "price", "artist_id", "photo"])
+    return out.withColumn("price", money("price"))
+
+
+@register("touched_albums", """
+SELECT a.title, a.album_id FROM albums a JOIN album_patch p ON p.album_id = a.album_id
+JOIN artists r ON r.artist_id = a.artist_id""")
+def touched_albums(s):
+    changed = s.albums.join(s.album_patch.select("album_id"), "album_id", "left_semi")
+    return ch.touched_albums(changed, s.artists)
+
+
+@register("update_by_key", """
+SELECT d.dispatch_id, d.purchase_order,
+       CASE WHEN r.dispatch_id IS NOT NULL THEN 'received' ELSE d.status END AS status, d.address
+FROM dispatches d LEFT JOIN receipt_requests r ON r.dispatch_id = d.dispatch_id""")
+def update_by_key(s):
+    ch_ = s.receipt_requests.select("dispatch_id", F.lit("received").alias("status"))
+    return ch.update_by_key(s.dispatches, ch_, ["dispatch_id"], ["status"])
+
+
+# ---- deletes ----------------------------------------------------------------
+
+@register("delete_rows", """
+SELECT * FROM songs WHERE NOT (track % 3 = 0 AND album_id % 2 = 0)""")
+def delete_rows(s):
+    keys = s.songs.filter((F.col("track") % 3 == 0) & (F.col("album_id") % 2 == 0)) \
+        .select("album_id", "track")
+    left, _gone = ch.delete_rows(s.songs, keys, ["album_id", "track"])
+    return left
+
+
+@register("rows_in_keys", """
+SELECT * FROM purchase_order_lines
+WHERE purchase_order IN (SELECT purchase_order FROM purchase_orders WHERE status = 'pending-buyer')
+  AND line IN (1, 3)""")
+def rows_in_keys(s):
+    keys = s.purchase_orders.filter(F.col("status") == "pending-buyer").select("purchase_order")
+    lines = s.purchase_order_lines.filter(F.col("line").isin(1, 3))
+    return ch.rows_in_keys(lines, keys, ["purchase_order"]).withColumn(
+        "line_total", money("line_total"))
+
+
+@register("delete_parents", """
+WITH asked AS (SELECT artist_id FROM artists WHERE artist_id % 5 = 0)
+SELECT artist_id, CASE WHEN artist_id IN (SELECT artist_id FROM albums WHERE artist_id IS NOT NULL)
+                       THEN 'refused' ELSE 'deleted' END AS outcome
+FROM asked""")
+def delete_parents(s):
+    asked = s.artists.filter(F.col("artist_id") % 5 == 0).select("artist_id")
+    _left, refused, _kids = ch.delete_parents(
+        s.artists, asked, "artist_id", [("albums", s.albums, "artist_id", "restrict")])
+    return asked.join(refused.withColumn("_r", F.lit(True)), "artist_id", "left").select(
+        "artist_id", F.when(F.col("_r"), "refused").otherwise("deleted").alias("outcome"))
+
+
+@register("delete_albums_cascade", """
+WITH asked AS (SELECT album_id FROM albums WHERE album_id % 5 = 0),
+refused AS (SELECT album_id FROM asked WHERE album_id IN (SELECT album_id FROM cart)
+            OR album_id IN (SELECT album_id FROM orders_bridge)
+            OR album_id IN (SELECT album_id FROM purchase_order_lines)),
+gone AS (SELECT album_id FROM asked WHERE album_id NOT IN (SELECT album_id FROM refused))
+SELECT * FROM songs WHERE album_id NOT IN (SELECT album_id FROM gone)""")
+def delete_albums_cascade(s):
+    asked = s.albums.filter(F.col("album_id") % 5 == 0).select("album_id")
+    _left, _refused, kids = ch.delete_parents(
+        s.albums, asked, "album_id",
+        [("cart", s.cart, "album_id", "restrict"),
+         ("orders_bridge", s.orders_bridge, "album_id", "restrict"),
+         ("purchase_order_lines", s.purchase_order_lines, "album_id", "restrict"),
+         ("songs", s.songs, "album_id", "cascade")])
+    return kids["songs"]
+
+
+# ---- diffs and merges -------------------------------------------------------
+
+DIFF_LINES = """(
+WITH j AS (
+  SELECT coalesce(n.purchase_order, o.purchase_order) AS purchase_order,
+         coalesce(n.line, o.line) AS line,
+         CASE WHEN o.line IS NULL THEN 'add' WHEN n.line IS NULL THEN 'delete'
+              WHEN n.album_id IS DISTINCT FROM o.album_id OR n.quantity IS DISTINCT FROM o.quantity
+                   OR n.line_total IS DISTINCT FROM o.line_total THEN 'update' END AS op,
+         CASE WHEN n.line IS NULL THEN o.album_id ELSE n.album_id END AS album_id,
+         CASE WHEN n.line IS NULL THEN o.quantity ELSE n.quantity END AS quantity,
+         CASE WHEN n.line IS NULL THEN o.line_total ELSE n.line_total END AS line_total
+  FROM purchase_order_lines o FULL OUTER JOIN {new} n
+    ON n.purchase_order = o.purchase_order AND n.line = o.line),
+first AS (SELECT purchase_order, album_id, arg_min(confirmed_quantity, line) AS c
+          FROM purchase_order_lines GROUP BY purchase_order, album_id)
+SELECT j.purchase_order, j.line, j.op, j.album_id, j.quantity, j.line_total,
+       CASE WHEN j.op = 'delete' THEN NULL ELSE f.c END AS confirmed_quantity
+FROM j LEFT JOIN first f ON f.purchase_order = j.purchase_order AND f.album_id = j.album_id
+WHERE j.op IS NOT NULL)"""
+
+
+@register("diff_lines", f"""
+SELECT purchase_order, line, op, album_id, quantity, {_money('line_total')} AS line_total,
+       confirmed_quantity FROM {DIFF_LINES.format(new='new_lines')}""")
+def diff_lines(s):
+    d = ch.diff_lines(s.purchase_order_lines, s.new_lines)
+    return d.withColumn("line_total", money("line_total"))
+
+
+EDITABLE_NEW = """(SELECT * FROM new_lines WHERE purchase_order IN
+   (SELECT purchase_order FROM purchase_orders WHERE status = 'pending-buyer'))"""
+
+
+@register("merge_lines", f"""
+WITH d AS (SELECT * FROM {DIFF_LINES.format(new=EDITABLE_NEW)}
+           WHERE purchase_order IN (SELECT purchase_order FROM purchase_orders
+                                    WHERE status = 'pending-buyer'))
+SELECT l.purchase_order, l.line, l.album_id, l.quantity, l.confirmed_quantity,
+       {_money('l.line_total')} AS line_total
+FROM purchase_order_lines l
+WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.purchase_order = l.purchase_order AND d.line = l.line)
+UNION ALL
+SELECT purchase_order, line, album_id, quantity, confirmed_quantity, {_money('line_total')}
+FROM d WHERE op <> 'delete'""")
+def merge_lines(s):
+    lines, _pos = ch.merge_lines(s.purchase_order_lines, s.purchase_orders, s.new_lines,
+                                 PATCH_AT)
+    return lines.withColumn("line_total", money("line_total"))
+
+
+@register("merge_lines_orders", f"""
+WITH d AS (SELECT DISTINCT purchase_order FROM {DIFF_LINES.format(new=EDITABLE_NEW)}
+           WHERE purchase_order IN (SELECT purchase_order FROM purchase_orders
+                                    WHERE status = 'pending-buyer'))
+SELECT p.purchase_order,
+       CASE WHEN d.purchase_order IS NOT NULL THEN 'pending-supplier' ELSE p.status END AS status,
+       strftime(CASE WHEN d.purchase_order IS NOT NULL THEN {AT} ELSE p.modified END, {TS})
+       AS modified
+FROM purchase_orders p LEFT JOIN d ON d.purchase_order = p.purchase_order""")
+def merge_lines_orders(s):
+    _lines, pos = ch.merge_lines(s.purchase_order_lines, s.purchase_orders, s.new_lines,
+                                 PATCH_AT)
+    return pos.select("purchase_order", "status", ts_text("modified").alias("modified"))
+
+
+DIFF_SONGS = """(
+  SELECT coalesce(n.album_id, o.album_id) AS album_id, coalesce(n.track, o.track) AS track,
+         CASE WHEN o.track IS NULL THEN 'add' WHEN n.track IS NULL THEN 'delete'
+              WHEN n.duration IS DISTINCT FROM o.duration OR n.song IS DISTINCT FROM o.song
+              THEN 'update' END AS op,
+         CASE WHEN n.track IS NULL THEN o.duration ELSE n.duration END AS duration,
+         CASE WHEN n.track IS NULL THEN o.song ELSE n.song END AS song
+  FROM songs o FULL OUTER JOIN new_songs n ON n.album_id = o.album_id AND n.track = o.track)"""
+
+
+@register("diff_songs", f"SELECT * FROM {DIFF_SONGS} WHERE op IS NOT NULL")
+def diff_songs(s):
+    return ch.diff_songs(s.songs, s.new_songs)
+
+
+@register("change_summary", f"""
+SELECT album_id, CAST(count(*) FILTER (WHERE op = 'add') AS BIGINT) AS added,
+       CAST(count(*) FILTER (WHERE op = 'update') AS BIGINT) AS updated,
+       CAST(count(*) FILTER (WHERE op = 'delete') AS BIGINT) AS deleted, true AS changed
+FROM {DIFF_SONGS} WHERE op IS NOT NULL GROUP BY album_id""")
+def change_summary(s):
+    return ch.change_summary(ch.diff_songs(s.songs, s.new_songs), "album_id")
+
+
+@register("merge_songs", "SELECT album_id, track, duration, song FROM new_songs")
+def merge_songs(s):
+    songs, _albums = ch.merge_songs(s.songs, s.albums, s.new_songs, PATCH_AT)
+    return songs
+
+
+@register("merge_songs_albums", f"""
+SELECT a.album_id, strftime(CASE WHEN a.album_id IN (SELECT album_id FROM {DIFF_SONGS}
+                                                    WHERE op IS NOT NULL)
+                                 THEN {AT} ELSE a.modified END, {TS}) AS modified
+FROM albums a""")
+def merge_songs_albums(s):
+    _songs, albums = ch.merge_songs(s.songs, s.albums, s.new_songs, PATCH_AT)
+    return albums.select("album_id", ts_text("modified").alias("modified"))
+
+
+@register("zip_join", """
+WITH o AS (SELECT album_id, track, song,
+                  row_number() OVER (PARTITION BY album_id ORDER BY track) AS n FROM songs),
+w AS (SELECT album_id, track, song,
+             row_number() OVER (PARTITION BY album_id ORDER BY track) AS n FROM new_songs)
+SELECT o.album_id, CAST(o.n AS BIGINT) AS n, o.track AS old_track, w.track AS new_track,
+       o.song AS old_song, w.song AS new_song
+FROM o JOIN w ON w.album_id = o.album_id AND w.n = o.n""")
+def zip_join(s):
+    a = s.songs.select("album_id", F.col("track").alias("old_track"),
+                       F.col("song").alias("old_song"))
+    b = s.new_songs.select("album_id", F.col("track").alias("new_track"),
+                           F.col("song").alias("new_song"))
+    z = ch.zip_join(a, b, ["album_id"], "old_track", "new_track")
+    return z.select("album_id", F.col("_n").cast("bigint").alias("n"), "old_track",
+                    "new_track", "old_song", "new_song")
+
+
+@register("title_conflicts", """
+WITH c AS (SELECT album_id, artist_id, upper(title) AS title FROM albums WHERE album_id % 4 = 0
+           UNION ALL
+           SELECT NULL, artist_id, title FROM albums WHERE album_id % 10 = 1)
+SELECT c.album_id, c.artist_id, c.title FROM c
+WHERE EXISTS (SELECT 1 FROM albums a WHERE a.artist_id = c.artist_id
+              AND lower(a.title) = lower(c.title)
+              AND (c.album_id IS NULL OR c.album_id <> a.album_id))""")
+def title_conflicts(s):
+    edits = s.albums.filter(F.col("album_id") % 4 == 0).select(
+        "album_id", "artist_id", F.upper("title").alias("title"))
+    new = s.albums.filter(F.col("album_id") % 10 == 1).select(
+        F.lit(None).cast("bigint").alias("album_id"), "artist_id", "title")
+    return ch.title_conflicts(s.albums, edits.unionByName(new))
+
+
+@register("artist_conflicts", """
+WITH c AS (SELECT a.artist_id, upper(b.name) AS name FROM artists a
+           JOIN artists b ON b.artist_id = a.artist_id + 1 WHERE a.artist_id % 4 = 0
+           UNION ALL
+           SELECT NULL, name FROM artists WHERE artist_id % 10 = 1
+           UNION ALL
+           SELECT artist_id, name FROM artists WHERE artist_id % 4 = 2)
+SELECT c.artist_id, c.name FROM c
+WHERE EXISTS (SELECT 1 FROM artists a WHERE lower(a.name) = lower(c.name)
+              AND (c.artist_id IS NULL OR c.artist_id <> a.artist_id))""")
+def artist_conflicts(s):
+    a = s.artists
+    nxt = a.select((F.col("artist_id") - 1).alias("artist_id"), F.upper("name").alias("name"))
+    edits = a.filter(F.col("artist_id") % 4 == 0).select("artist_id").join(nxt, "artist_id")
+    new = a.filter(F.col("artist_id") % 10 == 1).select(
+        F.lit(None).cast("bigint").alias("artist_id"), "name")
+    same = a.filter(F.col("artist_id") % 4 == 2).select("artist_id", "name")
+    return ch.artist_conflicts(a, edits.unionByName(new).unionByName(same))
+
+
+# ---- workflows --------------------------------------------------------------
+
+@register("checkout", """
+WITH buyers AS (SELECT r.user_id FROM checkout_requests r
+                WHERE r.user_id IN (SELECT user_id FROM users)
+                  AND r.user_id IN (SELECT user_id FROM cart)),
+ids AS (SELECT user_id, CAST((SELECT max(order_id) FROM orders_h)
+                             + row_number() OVER (ORDER BY user_id) AS BIGINT) AS order_id
+        FROM buyers)
+SELECT i.order_id, i.user_id, c.album_id, c.quantity
+FROM ids i JOIN cart c ON c.user_id = i.user_id""")
+def checkout(s):
+    orders, bridge, _cart, _empty = ch.checkout(s.users, s.cart, s.orders_h, s.orders_bridge,
+                                                s.checkout_requests, PATCH_AT)
+    new = orders.join(s.orders_h.select("order_id"), "order_id", "left_anti")
+    return new.join(bridge, "order_id").select("order_id", "user_id", "album_id", "quantity")
+
+
+@register("checkout_empty", """
+SELECT r.user_id FROM checkout_requests r WHERE r.user_id NOT IN (SELECT user_id FROM cart)""")
+def checkout_empty(s):
+    *_rest, empty = ch.checkout(s.users, s.cart, s.orders_h, s.orders_bridge,
+                                s.checkout_requests, PATCH_AT)
+    return empty
+
+
+@register("apply_confirmations", f"""
+WITH nl AS (SELECT l.purchase_order, l.line, l.quantity,
+                   CASE WHEN c.line IS NOT NULL THEN c.confirmed ELSE l.confirmed_quantity END AS cq
+            FROM purchase_order_lines l LEFT JOIN confirmation_rows c
+              ON c.purchase_order = l.purchase_order AND c.line = l.line),
+st AS (SELECT purchase_order,
+              CASE WHEN coalesce(bool_and(quantity IS NOT DISTINCT FROM cq), true)
+                   THEN 'confirmed' ELSE 'pending-buyer' END AS status
+       FROM nl WHERE purchase_order IN (SELECT purchase_order FROM confirmation_rows)
+       GROUP BY purchase_order)
+SELECT p.purchase_order, coalesce(st.status, p.status) AS status,
+       strftime(CASE WHEN st.purchase_order IS NOT NULL THEN {AT} ELSE p.modified END, {TS})
+       AS modified
+FROM purchase_orders p LEFT JOIN st ON st.purchase_order = p.purchase_order""")
+def apply_confirmations(s):
+    from ..sources.messages import parse_confirmations
+    rows = parse_confirmations(s.confirmations)
+    _lines, pos = ch.apply_confirmations(s.purchase_orders, s.purchase_order_lines, rows)
+    return pos.select("purchase_order", "status", ts_text("modified").alias("modified"))
+
+
+@register("confirmed_lines", """
+SELECT l.purchase_order, l.line, l.album_id, l.quantity,
+       CASE WHEN c.line IS NOT NULL THEN c.confirmed ELSE l.confirmed_quantity END
+       AS confirmed_quantity
+FROM purchase_order_lines l LEFT JOIN confirmation_rows c
+  ON c.purchase_order = l.purchase_order AND c.line = l.line""")
+def confirmed_lines(s):
+    from ..sources.messages import parse_confirmations
+    rows = parse_confirmations(s.confirmations)
+    lines, _pos = ch.apply_confirmations(s.purchase_orders, s.purchase_order_lines, rows)
+    return lines.select("purchase_order", "line", "album_id", "quantity", "confirmed_quantity")
+
+
+@register("apply_dispatch_updates", """
+WITH lastu AS (SELECT dispatch_id, arg_max(status, seq) AS status FROM dispatch_msgs
+               WHERE kind = 'update' GROUP BY dispatch_id),
+d AS (SELECT dispatch_id, purchase_order, status, address FROM dispatches
+      UNION ALL
+      SELECT dispatch_id, arg_max(purchase_order, seq), arg_max(status, seq), arg_max(address, seq)
+      FROM dispatch_msgs WHERE kind = 'note'
+        AND dispatch_id NOT IN (SELECT dispatch_id FROM dispatches) GROUP BY dispatch_id)
+SELECT d.dispatch_id, d.purchase_order, coalesce(u.status, d.status) AS status, d.address
+FROM d LEFT JOIN lastu u ON u.dispatch_id = d.dispatch_id""")
+def apply_dispatch_updates(s):
+    d, _pos = ch.apply_dispatch_updates(s.dispatches, s.purchase_orders, s.dispatch_msgs,
+                                        PATCH_AT)
+    return d
+
+
+@register("dispatch_update_orders", f"""
+WITH mv AS (SELECT d.purchase_order, arg_max(m.estimated_delivery, m.seq) AS er
+            FROM dispatch_msgs m JOIN dispatches d ON d.dispatch_id = m.dispatch_id
+            WHERE m.kind = 'update' AND m.status = 'rescheduled' GROUP BY d.purchase_order)
+SELECT p.purchase_order,
+       strftime(CASE WHEN mv.purchase_order IS NOT NULL THEN mv.er ELSE p.estimated_receipt END,
+                {TS}) AS estimated_receipt,
+       strftime(CASE WHEN mv.purchase_order IS NOT NULL THEN {AT} ELSE p.modified END, {TS})
+       AS modified
+FROM purchase_orders p LEFT JOIN mv ON mv.purchase_order = p.purchase_order""")
+def dispatch_update_orders(s):
+    _d, pos = ch.apply_dispatch_updates(s.dispatches, s.purchase_orders, s.dispatch_msgs,
+                                        PATCH_AT)
+    return pos.select("purchase_order", ts_text("estimated_receipt").alias("estimated_receipt"),
+                      ts_text("modified").alias("modified"))
+
+
+RECEIVED = """(SELECT r.dispatch_id FROM receipt_requests r JOIN dispatches d
+               ON d.dispatch_id = r.dispatch_id WHERE d.status = 'shipped')"""
+
+
+@register("receive_dispatches", f"""
+WITH got AS (SELECT l.album_id, sum(l.confirmed_quantity) AS n
+             FROM {RECEIVED} ok JOIN dispatches d ON d.dispatch_id = ok.dispatch_id
+             JOIN purchase_orders p ON p.purchase_order = d.purchase_order
+             JOIN purchase_order_lines l ON l.purchase_order = d.purchase_order
+             GROUP BY l.album_id)
+SELECT a.album_id, CAST(a.stock + coalesce(g.n, 0) AS BIGINT) AS stock
+FROM albums a LEFT JOIN got g ON g.album_id = a.album_id""")
+def receive_dispatches(s):
+    _d, albums, _gate = ch.receive_dispatches(s.dispatches, s.albums, s.purchase_orders,
+                                              s.purchase_order_lines, s.receipt_requests)
+    return albums.select("album_id", "stock")
+
+
+@register("received_dispatches", f"""
+SELECT d.dispatch_id, d.purchase_order,
+       CASE WHEN d.dispatch_id IN {RECEIVED} THEN 'received' ELSE d.status END AS status,
+       d.address FROM dispatches d""")
+def received_dispatches(s):
+    d, _albums, _gate = ch.receive_dispatches(s.dispatches, s.albums, s.purchase_orders,
+                                              s.purchase_order_lines, s.receipt_requests)
+    return d
+
+
+@register("rename_photos", """
+WITH ren AS (SELECT a.artist_id, p.name AS new_name FROM artists a
+             JOIN artist_patch p ON p.artist_id = a.artist_id
+             WHERE coalesce(p.name, a.name) IS DISTINCT FROM a.name)
+SELECT b.album_id, b.photo AS old_photo,
+       replace(regexp_replace(lower(r.new_name || '-' || b.title), '[^a-z0-9\\s-]', '', 'g'),
+               ' ', '-') || '.' || string_split(b.photo, '.')[-1] AS new_photo
+FROM albums b JOIN ren r ON r.artist_id = b.artist_id""")
+def rename_photos(s):
+    new = ch.patch_rows(s.artists, s.artist_patch, "artist_id", "modified", PATCH_AT)
+    return ch.rename_photos(s.artists, new, s.albums)

@@ -196,10 +196,11 @@ class Shop:
 
     @cached_property
     def new_songs(self) -> DataFrame:
-        """D-17: track 3 dropped, track 1 upper-cased, track 20 on even albums."""
+        """D-17: track 3 dropped, track 1 renamed, track 20 on even albums."""
         s = self.songs
         kept = (s.filter(F.col("track") != 3)
-                .withColumn("song", F.when(F.col("track") == 1, F.upper("song"))
+                .withColumn("song", F.when(F.col("track") == 1,
+                                           F.concat(F.col("song"), F.lit(" (live)")))
                             .otherwise(F.col("song"))))
         bonus = (s.filter(F.col("album_id") % 2 == 0).select("album_id").distinct()
                  .select("album_id", F.lit(20).cast("bigint").alias("track"),
