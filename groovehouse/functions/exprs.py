@@ -35,8 +35,8 @@ def parse_duration(c) -> Column:
     """F-2: ``m:ss`` text to seconds; blank gives NULL; bad text gives NULL."""
     t = F.trim(_c(c))
     parts = F.split(t, ":")
-    secs = (F.try_cast(parts.getItem(0), "bigint") * 60
-            + F.try_cast(parts.getItem(1), "bigint"))
+    secs = (parts.getItem(0).try_cast("bigint") * 60
+            + parts.getItem(1).try_cast("bigint"))
     return F.when(t == "", F.lit(None).cast("bigint")).otherwise(secs)
 
 

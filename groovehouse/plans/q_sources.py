@@ -1,5 +1,71 @@
-"""Registered queries."""
+"""Source and sink queries: SRC-2, SRC-4, SRC-6, SNK-1, SNK-2, F-8."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.exprs import local_time, money
+from ..sinks import po_messages as _po_messages
+from ..sinks import to_documents
+from ..sources import forms
+from ..sources.messages import parse_confirmations
+from .registry import register
+
+
+@register("forms_to_rows", """
+SELECT 'album-' || CAST(album_id AS VARCHAR) AS form_id, track AS n, track, trim(song) AS song,
+       duration
+FROM songs""")
+def forms_to_rows(s):
+    kv = s.form_fields.filter(F.col("form_id").startswith("album-"))
+    return forms.song_form_rows(kv)
+
+
+@register("form_lines", """
+SELECT 'po-' || CAST(purchase_order AS VARCHAR) AS form_id, line, album_id, quantity,
+       CAST(round(line_total, 2) AS DOUBLE) AS line_total
+FROM purchase_order_lines""")
+def form_lines(s):
+    kv = s.form_fields.filter(F.col("form_id").startswith("po-"))
+    return forms.line_form_rows(kv).withColumn("line_total", money("line_total"))
+
+
+ALLOW = """(SELECT split_part(x, ':', 1) AS username, split_part(x, ':', 2) AS role
+           FROM (SELECT unnest(string_split(allow, ',')) AS x FROM allow_list))"""
+
+
+@register("allow_list", f"SELECT username, role FROM {ALLOW}")
+def allow_list(s):
+    return forms.allow_list(s.allow_list)
+
+
+@register("admit_users", f"""
+SELECT u.username, a.role, a.role IS NOT NULL AS admitted
+FROM users u LEFT JOIN {ALLOW} a ON a.username = u.username""")
+def admit_users(s):
+    return forms.admit_users(s.users, forms.allow_list(s.allow_list))
+
+
+@register("parse_confirmations", """
+SELECT purchase_order, line, confirmed, album_id FROM confirmation_rows""")
+def parse_confirmations_q(s):
+    return parse_confirmations(s.confirmations).select("purchase_order", "line", "confirmed",
+                                                       "album_id")
+
+
+@register("local_times", """
+SELECT order_id, strftime(dispatched, '%-d.%-m.%Y %H:%M') AS local FROM orders_h""")
+def local_times(s):
+    return s.orders_h.select("order_id", local_time("dispatched", "UTC").alias("local"))
+
+
+@register("po_messages")
+def po_messages(s):
+    pend = s.purchase_orders.filter(F.col("status") == "pending-supplier")
+    return _po_messages(pend, s.purchase_order_lines)
+
+
+@register("artist_documents")
+def artist_documents(s):
+    from ..operators.catalogue import artist_with_albums
+    return to_documents(artist_with_albums(s.artists, s.albums), drop_nulls=True)

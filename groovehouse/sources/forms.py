@@ -33,7 +33,7 @@ def forms_to_rows(kv: DataFrame, fields: list[str]) -> DataFrame:
 def song_form_rows(kv: DataFrame) -> DataFrame:
     """Song form: track as number, duration ``m:ss`` to seconds (F-2)."""
     r = forms_to_rows(kv, SONG_FIELDS)
-    return r.select("form_id", "n", F.try_cast(F.col("track"), "bigint").alias("track"),
+    return r.select("form_id", "n", F.col("track").try_cast("bigint").alias("track"),
                     "song", parse_duration("duration").alias("duration"))
 
 
@@ -41,9 +41,9 @@ def line_form_rows(kv: DataFrame) -> DataFrame:
     """Purchase-order form: album id, quantity and line total as numbers."""
     r = forms_to_rows(kv, LINE_FIELDS)
     return r.select("form_id", F.col("n").alias("line"),
-                    F.try_cast(F.col("album_id"), "bigint").alias("album_id"),
-                    F.try_cast(F.col("quantity"), "bigint").alias("quantity"),
-                    F.try_cast(F.col("line_total"), "decimal(12,2)").alias("line_total"))
+                    F.col("album_id").try_cast("bigint").alias("album_id"),
+                    F.col("quantity").try_cast("bigint").alias("quantity"),
+                    F.col("line_total").try_cast("decimal(12,2)").alias("line_total"))
 
 
 def allow_list(df: DataFrame, col: str = "allow") -> DataFrame:
