@@ -1,5 +1,35 @@
-"""Registered queries."""
+"""Streaming queries ST-1, ST-2: the stream run over arrivals cut from the
+tables, returning the final snapshot; the oracle is the batch result."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..sources.fixtures import PATCH_AT
+from ..streaming.streams import (VersionedState, replay_in_slices, scratch_root, stream_cart,
+                                 stream_dispatch_updates)
+from .q_changes import apply_dispatch_updates as _adu  # noqa: F401  (same oracle text)
+from .registry import RAW_SQL, register
+
+SLICES = 4
+
+
+@register("stream_cart", RAW_SQL.get("fold_cart"))
+def stream_cart_q(s):
+    spark = s.spark
+    root = scratch_root(spark, "cart")
+    state = VersionedState(spark, f"{root}/state", {"cart": s.cart.filter(F.lit(False))})
+    replay_in_slices(spark, s.cart_events, "ts", SLICES, f"{root}/inbox",
+                     lambda src: stream_cart(src, state, f"{root}/chk"))
+    return state.latest("cart")
+
+
+@register("stream_dispatch_updates", RAW_SQL.get("apply_dispatch_updates"))
+def stream_dispatch_updates_q(s):
+    spark = s.spark
+    root = scratch_root(spark, "dispatch")
+    state = VersionedState(spark, f"{root}/state",
+                           {"dispatches": s.dispatches, "purchase_orders": s.purchase_orders})
+    replay_in_slices(spark, s.dispatch_msgs, "seq", SLICES, f"{root}/inbox",
+                     lambda src: stream_dispatch_updates(src, state, f"{root}/chk", PATCH_AT))
+    return state.latest("dispatches")

@@ -17,6 +17,7 @@ from .fixture_sql import with_views
 
 QUERIES: dict[str, Callable[[Shop], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW_SQL: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -25,6 +26,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
+            RAW_SQL[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
     return deco
