@@ -312,7 +312,7 @@ WITH j AS (
          CASE WHEN n.line IS NULL THEN o.line_total ELSE n.line_total END AS line_total
   FROM purchase_order_lines o FULL OUTER JOIN {new} n
     ON n.purchase_order = o.purchase_order AND n.line = o.line),
-first AS (SELECT purchase_order, album_id, arg_min(confirmed_quantity, line) AS c
+first AS (SELECT purchase_order, album_id, arg_min_null(confirmed_quantity, line) AS c
           FROM purchase_order_lines GROUP BY purchase_order, album_id)
 SELECT j.purchase_order, j.line, j.op, j.album_id, j.quantity, j.line_total,
        CASE WHEN j.op = 'delete' THEN NULL ELSE f.c END AS confirmed_quantity
