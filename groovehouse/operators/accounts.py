@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import activity_text, item_label, money, ts_text
+from .nesting import nest_children
 
 # Fixed texts of the reference's availability messages.
 MSG_IN_CART = " of these albums are in your cart."
@@ -85,37 +86,49 @@ def _album_entry() -> F.Column:
 def order_documents(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
                     artists: DataFrame, users: DataFrame) -> DataFrame:
     """A-10: per user an array of orders (by id), each with its balance and
-    albums; ``[]`` for a user without orders.  Two grouping stages: items
-    per order, then orders per user."""
+    albums; ``[]`` for a user without orders.  Two nesting stages: items
+    per order, then orders per user (each cut into parts when huge)."""
     items = _items(bridge, albums, artists).join(orders, "order_id")
-    per_order = items.groupBy("user_id", "order_id", "dispatched").agg(
-        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"),
-        F.sort_array(F.collect_list(_album_entry())).alias("albums"))
-    per_user = per_order.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(
-        "order_id", ts_text("dispatched").alias("dispatched"), "balance", "albums")))
-        .alias("orders"))
+    sums = items.groupBy("user_id", "order_id", "dispatched").agg(
+        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
+    per_order = (nest_children(items, ["user_id", "order_id"], _album_entry(), ["album_id"],
+                               "albums")
+                 .withColumnRenamed("part", "albums_part")
+                 .join(sums, ["user_id", "order_id"]))
+    per_user = nest_children(per_order, ["user_id"], F.struct(
+        "order_id", "albums_part", ts_text("dispatched").alias("dispatched"), "balance",
+        "albums"), ["order_id", "albums_part"], "orders")
     empty = F.array().cast(per_user.schema["orders"].dataType)
     return (users.select("user_id", "username").join(per_user, "user_id", "left")
-            .select("user_id", "username", F.coalesce("orders", empty).alias("orders")))
+            .select("user_id", "username",
+                    F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+                    F.coalesce("orders", empty).alias("orders")))
 
 
 def cart_documents(cart: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
     """A-11 part: per user with a cart: balance and albums (by album id)."""
-    return (_items(cart, albums, artists).groupBy("user_id").agg(
-        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"),
-        F.sort_array(F.collect_list(_album_entry())).alias("albums")))
+    items = _items(cart, albums, artists)
+    sums = items.groupBy("user_id").agg(
+        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
+    return nest_children(items, ["user_id"], _album_entry(), ["album_id"], "albums") \
+        .join(sums, "user_id")
 
 
 def account_document(users: DataFrame, cart: DataFrame, orders: DataFrame,
                      bridge: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
-    """A-11: account document: cart (NULL when empty) beside the orders."""
+    """A-11: account document: cart (NULL when empty) beside the orders.
+    Parts of a huge cart and of a huge order list are paired by part
+    number (a full outer join on (user, part)), never multiplied."""
     carts = cart_documents(cart, albums, artists)
     docs = order_documents(orders, bridge, albums, artists, users)
-    return (docs.join(carts, "user_id", "left")
-            .select("user_id", "username",
+    j = docs.join(carts, ["user_id", "part"], "full_outer")
+    empty = F.array().cast(docs.schema["orders"].dataType)
+    names = users.select("user_id", F.col("username").alias("_u"))
+    return (j.join(names, "user_id")
+            .select("user_id", F.col("_u").alias("username"), "part",
                     F.when(F.col("albums").isNotNull(),
                            F.struct("balance", "albums")).alias("cart"),
-                    "orders"))
+                    F.coalesce("orders", empty).alias("orders")))
 
 
 def cart_count(cart: DataFrame, users: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,10 +156,8 @@ def user_activity(users: DataFrame, orders: DataFrame, cart: DataFrame) -> DataF
 
 def checkout_baskets(cart: DataFrame, users: DataFrame) -> DataFrame:
     """A-12: per user with a cart: array of (album_id, quantity)."""
-    return (cart.join(users.select("user_id"), "user_id")
-            .groupBy("user_id")
-            .agg(F.sort_array(F.collect_list(F.struct("album_id", "quantity")))
-                 .alias("albums")))
+    return nest_children(cart.join(users.select("user_id"), "user_id"), ["user_id"],
+                         F.struct("album_id", "quantity"), ["album_id"], "albums")
 
 
 def availability(albums: DataFrame, cart: DataFrame, views: DataFrame) -> DataFrame:

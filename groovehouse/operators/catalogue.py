@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import PAGE_SIZE
 from ..functions.exprs import format_duration, money, search_match, ts_text, url_slug
+from .nesting import nest_children
 from .positions import global_positions
 
 # Sort columns the reference's pages offer (allow-list, never pasted SQL).
@@ -135,7 +136,7 @@ def artist_short(artists: DataFrame, ids: DataFrame) -> DataFrame:
         .select("artist_id", "name", "bio")
 
 
-def _album_item(prefix: str = "") -> Column:
+def _album_item() -> Column:
     return F.struct(F.col("album_id"), F.col("artist_id"), F.col("title"),
                     F.col("name"), F.col("release_year"), F.col("photo"),
                     F.col("stock"), money("price").alias("price"))
@@ -149,11 +150,11 @@ def artist_with_albums(artists: DataFrame, albums: DataFrame,
     a = artists if ids is None else artists.join(ids.select("artist_id"), "artist_id",
                                                  "left_semi")
     names = a.select("artist_id", "name")
-    per = (albums.join(names, "artist_id")
-           .groupBy("artist_id")
-           .agg(F.sort_array(F.collect_list(_album_item())).alias("albums")))
+    per = nest_children(albums.join(names, "artist_id"), ["artist_id"], _album_item(),
+                        ["album_id"], "albums")
     return (a.join(per, "artist_id", "left")
             .select("artist_id", "name", "bio",
+                    F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
                     F.coalesce("albums", F.array().cast(per.schema["albums"].dataType))
                     .alias("albums")))
 
@@ -164,13 +165,12 @@ def album_detail(albums: DataFrame, artists: DataFrame, songs: DataFrame,
     an artist and at least one song (inner joins, as the reference)."""
     a = albums if ids is None else albums.join(ids.select("album_id"), "album_id",
                                                "left_semi")
-    tracks = (songs.groupBy("album_id")
-              .agg(F.sort_array(F.collect_list(F.struct("track", "song", "duration")))
-                   .alias("songs")))
+    tracks = nest_children(songs, ["album_id"], F.struct("track", "song", "duration"),
+                           ["track"], "songs")
     return (a.join(artists.select("artist_id", "name"), "artist_id")
             .join(tracks, "album_id")
             .select("album_id", "artist_id", "name", "title", "release_year", "photo",
-                    "stock", money("price").alias("price"), "songs"))
+                    "stock", money("price").alias("price"), "part", "songs"))
 
 
 def song_listing(songs: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ IDs: PF-9, J-9, J-11..14, J-16, A-16, D-1..23, SRC-3, SRC-5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import photo_name, wholesale_total
 from .folds import admit_cart_events, clamped_ledger, fold_draft_quantities
-from .positions import assign_ids
+from .nesting import nest_children
+from .positions import assign_ids, rank_within
 from .supply import confirmation_status, dispatch_lines, receipt_gate
 
 
@@ -166,24 +167,22 @@ def first_match(df: DataFrame, lookup: DataFrame, key: list[str], value: str,
 
 def zip_join(a: DataFrame, b: DataFrame, key: list[str], order_a: str, order_b: str
              ) -> DataFrame:
-    """J-14: pair the n-th row of ``a`` with the n-th row of ``b`` per key
-    (positions from a window per key), like Python's ``zip``."""
-    wa = Window.partitionBy(*key).orderBy(order_a)
-    wb = Window.partitionBy(*key).orderBy(order_b)
-    an = a.withColumn("_n", F.row_number().over(wa))
-    bn = b.withColumn("_n", F.row_number().over(wb))
+    """J-14: pair the n-th row of ``a`` with the n-th row of ``b`` per key,
+    like Python's ``zip`` (skew-safe numbering on both sides)."""
+    an = rank_within(a, key, [F.col(order_a).asc()], "_n")
+    bn = rank_within(b, key, [F.col(order_b).asc()], "_n")
     return an.join(bn, [*key, "_n"])
 
 
 def rows_to_arrays(df: DataFrame, key: list[str], cols: list[str], order: str) -> DataFrame:
-    """SRC-5: one set of parallel arrays per key, in ``order``."""
-    packed = F.sort_array(F.collect_list(F.struct(
-        F.col(order).alias("_o"), *[F.col(c) for c in cols])))
-    g = df.groupBy(*key).agg(packed.alias("_rows"))
+    """SRC-5: one set of parallel arrays per key, in ``order`` (a huge key
+    gives several parts)."""
+    item = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols])
+    g = nest_children(df, key, item, [order], "_rows")
 
     def field(c):
         return lambda r: r[c]
-    return g.select(*key, *[F.transform("_rows", field(c)).alias(c) for c in cols])
+    return g.select(*key, "part", *[F.transform("_rows", field(c)).alias(c) for c in cols])
 
 
 def arrays_to_rows(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
@@ -427,10 +426,10 @@ def fold_draft_lines(lines: DataFrame, albums: DataFrame, events: DataFrame) ->
     renumbered (W-1): kept lines first in their old order, then lines
     opened by clicks in the order they were opened."""
     q = fold_draft_quantities(lines, albums, events)
-    w = Window.partitionBy("purchase_order").orderBy("born_by_event", "birth")
+    q = rank_within(q, ["purchase_order"], [F.col("born_by_event").asc(), F.col("birth").asc()],
+                    "line")
     return (q.join(albums.select("album_id", "price"), "album_id")
-            .select("purchase_order", F.row_number().over(w).cast("bigint").alias("line"),
-                    "album_id", "quantity",
+            .select("purchase_order", "line", "album_id", "quantity",
                     wholesale_total("price", "quantity").alias("line_total")))
 
 

@@ -45,3 +45,18 @@ def assign_ids(new: DataFrame, current: DataFrame, id_col: str, order: list[Colu
     top = current.agg(F.coalesce(F.max(id_col), F.lit(start_after)).cast("bigint")).scalar()
     pos = global_positions(new, order, "_gh_pos")
     return pos.withColumn(id_col, top + F.col("_gh_pos")).drop("_gh_pos")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], col: str
+                ) -> DataFrame:
+    """Dense 1..n numbering inside each key, in ``order`` (which must make
+    rows unique inside a key).  Global positions over (keys, order) plus the
+    first position per key (a partial aggregate): a key holding a third of
+    the rows is split over many range partitions instead of one window
+    task."""
+    total = [F.col(k).asc() for k in keys] + list(order)
+    pos = global_positions(df, total, "_gh_gpos")
+    first = pos.groupBy(*keys).agg(F.min("_gh_gpos").alias("_gh_first"))
+    return (pos.join(first, keys)
+            .withColumn(col, (F.col("_gh_gpos") - F.col("_gh_first") + 1).cast("bigint"))
+            .drop("_gh_gpos", "_gh_first"))

@@ -6,11 +6,13 @@ W-1, W-2, F-4, F-5, F-9, F-10.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (WAREHOUSE_CAP, money, short_status, to_minutes, ts_text,
                                wholesale_total)
+from .nesting import nest_children
+from .positions import rank_within
 
 # Fixed texts of the reference's gates.
 PO_DONE = "this purchase order is already completed"
@@ -103,19 +105,18 @@ def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
         lines = lines.join(ids.select("purchase_order"), "purchase_order", "left_semi")
     li = (lines.join(albums.select("album_id", "title", "artist_id"), "album_id")
           .join(artists.select("artist_id", "name"), "artist_id"))
-    per = li.groupBy("purchase_order").agg(
-        F.sum("line_total").alias("_sum"),
-        F.sort_array(F.collect_list(F.struct(
-            "line", "artist_id", "name", "album_id", "title", "quantity",
-            F.col("confirmed_quantity").alias("confirmed"),
-            money("line_total").alias("line_total")))).alias("lines"))
-    return pos.join(per, "purchase_order").select(
+    sums = li.groupBy("purchase_order").agg(F.sum("line_total").alias("_sum"))
+    docs = nest_children(li, ["purchase_order"], F.struct(
+        "line", "artist_id", "name", "album_id", "title", "quantity",
+        F.col("confirmed_quantity").alias("confirmed"),
+        money("line_total").alias("line_total")), ["line"], "lines")
+    return pos.join(sums, "purchase_order").join(docs, "purchase_order").select(
         "purchase_order", "status", ts_text("modified").alias("modified"),
         ts_text("estimated_receipt").alias("estimated_receipt"),
         money("shipping_cost").alias("shipping_cost"),
         money("_sum").alias("line_total"),
         money(F.col("_sum") + F.col("shipping_cost")).alias("invoice_total"),
-        "lines")
+        "part", "lines")
 
 
 def confirmation_status(lines: DataFrame) -> DataFrame:
@@ -157,20 +158,21 @@ def restock_flags(albums: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def renumber_lines(lines: DataFrame) -> DataFrame:
-    """W-1: lines renumbered 1..n per order without gaps (window per order)."""
-    w = Window.partitionBy("purchase_order").orderBy("line")
-    return lines.withColumn("line", F.row_number().over(w).cast("bigint"))
+    """W-1: lines renumbered 1..n per order without gaps (skew-safe numbering,
+    not a window per order)."""
+    return rank_within(lines.withColumnRenamed("line", "_old"), ["purchase_order"],
+                       [F.col("_old").asc()], "line").drop("_old")
 
 
 def append_lines(lines: DataFrame, new: DataFrame, order_col: str = "album_id"
                  ) -> DataFrame:
-    """W-2: number added lines after the highest line of their order."""
+    """W-2: number added lines after the highest line of their order, in
+    ``order_col`` order (unique inside an order)."""
     top = lines.groupBy("purchase_order").agg(F.max("line").alias("_top"))
-    w = Window.partitionBy("purchase_order").orderBy(order_col)
-    numbered = (new.join(top, "purchase_order", "left")
-                .withColumn("line", (F.coalesce("_top", F.lit(0))
-                                     + F.row_number().over(w)).cast("bigint"))
-                .drop("_top"))
+    ranked = rank_within(new, ["purchase_order"], [F.col(order_col).asc()], "_n")
+    numbered = (ranked.join(top, "purchase_order", "left")
+                .withColumn("line", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint"))
+                .drop("_top", "_n"))
     return lines.unionByName(numbered.select(*lines.columns))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.exprs import money, ts_text
+from .operators.nesting import nest_children
 
 
 def to_documents(df: DataFrame, drop_nulls: bool = True) -> DataFrame:
@@ -23,10 +24,11 @@ def write_documents(df: DataFrame, path: str, drop_nulls: bool = True) -> None:
 def po_messages(pos: DataFrame, lines: DataFrame, client_id: str = "shop") -> DataFrame:
     """SNK-2: outbound purchase-order message per order: header, lines
     ordered by line number, delivery date and freight cost."""
-    per = lines.groupBy("purchase_order").agg(F.sort_array(F.collect_list(F.struct(
-        "line", "album_id", "quantity", money("line_total").alias("line_total")))).alias("data"))
+    per = nest_children(lines, ["purchase_order"], F.struct(
+        "line", "album_id", "quantity", money("line_total").alias("line_total")), ["line"],
+        "data")
     msg = pos.join(per, "purchase_order").select(
-        "purchase_order",
+        "purchase_order", "part",
         F.to_json(F.struct(
             F.lit(client_id).alias("client_id"),
             F.col("purchase_order").alias("purchase_order_id"), "status",

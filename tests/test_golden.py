@@ -262,3 +262,24 @@ def test_draft_lines_fold_rules(spark):
     got = rows(ch.fold_draft_lines(lines, albums, events), order=True)
     got = sorted(got)
     assert got == [(7, 1, 1, 2, Decimal("14.00")), (7, 2, 2, 1, Decimal("7.00"))]
+
+
+def test_nest_children_splits_hot_parent_in_order(spark):
+    from groovehouse.operators.nesting import nest_children
+    data = [(1, i, f"s{i}") for i in range(23)] + [(2, 5, "x"), (2, 1, "y")]
+    df = spark.createDataFrame(data, "album_id long, track long, song string")
+    out = nest_children(df, ["album_id"], F.struct("track", "song"), ["track"], "songs",
+                        max_items=5)
+    got = {(r.album_id, r.part): [x.track for x in r.songs] for r in out.collect()}
+    assert got[(2, 0)] == [1, 5]
+    hot = [got[(1, p)] for p in range(5)]
+    assert [len(h) for h in hot] == [5, 5, 5, 5, 3]
+    assert sum(hot, []) == list(range(23))
+
+
+def test_rank_within_matches_row_number(spark, shop_small):
+    from groovehouse.operators.positions import rank_within
+    s = shop_small.purchase_order_lines
+    got = rank_within(s.withColumnRenamed("line", "old"), ["purchase_order"],
+                      [F.col("old").asc()], "n")
+    assert got.filter("n <> old").count() == 0
