@@ -34,19 +34,16 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
 
 
 def audit_primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """C-1: (table, key, problem, rows): NULL key parts or repeated keys."""
+    """C-1: (table, key, problem, rows): NULL key parts or repeated keys.
+    One grouped count per table (partial aggregation on the key columns)."""
     out = []
     for name, keys in PRIMARY_KEYS.items():
-        t = tables[name]
         any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        nulls = (t.filter(any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-                 .select(F.lit(name).alias("table"), _key_text(keys).alias("key"),
-                         F.lit("null key").alias("problem"), "rows"))
-        reps = (t.filter(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-                .filter(F.col("rows") > 1)
-                .select(F.lit(name).alias("table"), _key_text(keys).alias("key"),
-                        F.lit("repeated key").alias("problem"), "rows"))
-        out += [nulls, reps]
+        g = tables[name].groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        out.append(g.filter(any_null | (F.col("rows") > 1)).select(
+            F.lit(name).alias("table"), _key_text(keys).alias("key"),
+            F.when(any_null, F.lit("null key")).otherwise(F.lit("repeated key"))
+            .alias("problem"), "rows"))
     return _union(out)
 
 

@@ -55,9 +55,15 @@ def stream_cart(events: DataFrame, state: VersionedState, checkpoint: str,
     """ST-1: apply each micro-batch of cart events, in arrival order, to the
     last cart snapshot.  ``events`` is a streaming DataFrame with (event_id,
     ts, user_id, album_id, delta)."""
+    keys = ["user_id", "album_id"]
+
     def apply(batch: DataFrame, epoch: int) -> None:
         prev = state.read("cart", epoch - 1)
-        state.write("cart", epoch, fold_cart(prev, batch))
+        touched = batch.select(*keys).distinct()
+        # Only pairs the batch touches are folded; the rest is carried over.
+        kept = prev.join(touched, keys, "left_anti")
+        folded = fold_cart(prev.join(touched, keys, "left_semi"), batch)
+        state.write("cart", epoch, kept.unionByName(folded.select(*prev.columns)))
         state.last = max(state.last, epoch)
 
     w = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
