@@ -96,6 +96,12 @@ def activity_text(orders, cart) -> Column:
     return F.concat_ws(" ", part_o, part_c)
 
 
+def stamp(at: str | None = None) -> Column:
+    """F-14: the modified / created stamp: UTC now, or a fixed time ``at``
+    so a rerun gives the same table."""
+    return F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+
+
 def money(c) -> Column:
     """Output form of money: rounded to cents, then double."""
     return F.round(_c(c), 2).cast("double")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import photo_name, wholesale_total
+from ..functions.exprs import photo_name, stamp, wholesale_total
 from .folds import admit_cart_events, clamped_ledger, fold_draft_quantities
 from .nesting import nest_children
 from .positions import assign_ids, rank_within
@@ -78,7 +78,7 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: str, stamp_col: str | No
         if f.name in cols:
             c = F.coalesce(F.col(f"_p_{f.name}"), F.col(f.name))
         elif f.name == stamp_col and at is not None:
-            c = F.when(F.col("_hit"), F.lit(at).cast(f.dataType)).otherwise(F.col(f.name))
+            c = F.when(F.col("_hit"), stamp(at).cast(f.dataType)).otherwise(F.col(f.name))
         else:
             c = F.col(f.name)
         out.append(c.cast(f.dataType).alias(f.name))
@@ -268,7 +268,7 @@ def merge_lines(lines: DataFrame, pos: DataFrame, new: DataFrame, at: str
     merged = apply_diff(lines, d, ["purchase_order", "line"])
     changed = d.select("purchase_order").distinct().select(
         "purchase_order", F.lit("pending-supplier").alias("status"),
-        F.lit(at).cast("timestamp").alias("modified"))
+        stamp(at).alias("modified"))
     return merged, update_by_key(pos, changed, ["purchase_order"], ["status", "modified"])
 
 
@@ -292,8 +292,7 @@ def merge_songs(songs: DataFrame, albums: DataFrame, new: DataFrame, at: str
     modified stamp ``at``.  Returns (songs, albums)."""
     d = diff_songs(songs, new)
     merged = apply_diff(songs, d, ["album_id", "track"])
-    touched = d.select("album_id").distinct().select(
-        "album_id", F.lit(at).cast("timestamp").alias("modified"))
+    touched = d.select("album_id").distinct().select("album_id", stamp(at).alias("modified"))
     return merged, update_by_key(albums, touched, ["album_id"], ["modified"])
 
 
@@ -360,8 +359,7 @@ def checkout(users: DataFrame, cart: DataFrame, orders: DataFrame, bridge: DataF
     buyers = req.join(cart.select("user_id"), "user_id", "left_semi")
     empty = req.join(cart.select("user_id"), "user_id", "left_anti")
     new_orders = assign_ids(buyers, orders, "order_id", [F.col("user_id").asc()])
-    new_orders = new_orders.select("order_id", "user_id",
-                                   F.lit(at).cast("timestamp").alias("dispatched"))
+    new_orders = new_orders.select("order_id", "user_id", stamp(at).alias("dispatched"))
     items = (cart.join(new_orders.select("user_id", "order_id"), "user_id")
              .select("order_id", "album_id", "quantity"))
     return (orders.unionByName(new_orders), bridge.unionByName(items),
@@ -405,7 +403,7 @@ def apply_dispatch_updates(dispatches: DataFrame, pos: DataFrame, msgs: DataFram
                .select("purchase_order", "seq", "estimated_delivery"))
     move = last_per_key(resched, ["purchase_order"], "seq").select(
         "purchase_order", F.col("estimated_delivery").alias("estimated_receipt"),
-        F.lit(at).cast("timestamp").alias("modified"))
+        stamp(at).alias("modified"))
     return d2, update_by_key(pos, move, ["purchase_order"], ["estimated_receipt", "modified"])
 
 

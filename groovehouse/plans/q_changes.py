@@ -590,3 +590,21 @@ FROM albums b JOIN ren r ON r.artist_id = b.artist_id""")
 def rename_photos(s):
     new = ch.patch_rows(s.artists, s.artist_patch, "artist_id", "modified", PATCH_AT)
     return ch.rename_photos(s.artists, new, s.albums)
+
+
+@register("added_lines", """
+SELECT n.purchase_order, n.line, n.album_id, n.quantity FROM new_lines n
+WHERE NOT EXISTS (SELECT 1 FROM purchase_order_lines o
+                  WHERE o.purchase_order = n.purchase_order AND o.line = n.line)""")
+def added_lines(s):
+    return ch.added_rows(s.purchase_order_lines, s.new_lines, ["purchase_order", "line"]) \
+        .select("purchase_order", "line", "album_id", "quantity")
+
+
+@register("removed_lines", """
+SELECT o.purchase_order, o.line, o.album_id, o.quantity FROM purchase_order_lines o
+WHERE NOT EXISTS (SELECT 1 FROM new_lines n
+                  WHERE n.purchase_order = o.purchase_order AND n.line = o.line)""")
+def removed_lines(s):
+    return ch.removed_rows(s.purchase_order_lines, s.new_lines, ["purchase_order", "line"]) \
+        .select("purchase_order", "line", "album_id", "quantity")

@@ -283,3 +283,42 @@ def test_rank_within_matches_row_number(spark, shop_small):
     got = rank_within(s.withColumnRenamed("line", "old"), ["purchase_order"],
                       [F.col("old").asc()], "n")
     assert got.filter("n <> old").count() == 0
+
+
+def test_snapshot_roundtrip_with_declared_schemas(spark, shop_small):
+    from groovehouse.sinks import save_snapshot
+    from groovehouse.sources.tables import load_tables
+    from groovehouse.streaming.streams import scratch_root
+    root = scratch_root(spark, "tables")
+    for name, df in shop_small.tables().items():
+        path = save_snapshot(df, f"{root}/{name}", 1)
+        assert path.endswith("/v=1")
+    from groovehouse.sources.tables import read_table
+    for n in SCHEMAS:
+        df = read_table(spark, f"{root}/{n}/v=1", n)
+        assert df.schema == SCHEMAS[n]
+        assert df.count() == shop_small.tables()[n].count()
+    assert set(load_tables(spark, root)) == set(SCHEMAS)
+
+
+def test_dispatch_message_parsers(spark):
+    from groovehouse.sources.messages import parse_dispatch_notes, parse_dispatch_updates
+    raw = spark.createDataFrame(
+        [('{"dispatch_id": "d-1", "purchase_order": 7, "status": "shipped", '
+          '"address": "dock 1"}',)], "payload string")
+    n = parse_dispatch_notes(raw).first()
+    assert (n.dispatch_id, n.purchase_order, n.status, n.address) == ("d-1", 7, "shipped",
+                                                                       "dock 1")
+    raw = spark.createDataFrame(
+        [('{"dispatch_id": "d-1", "status": "rescheduled", '
+          '"estimated_delivery": "2024-02-03 10:00:00"}',), ('not json',)], "payload string")
+    u = parse_dispatch_updates(raw).collect()
+    assert u[0].estimated_delivery == dt.datetime(2024, 2, 3, 10, 0)
+    assert u[1].dispatch_id is None
+
+
+def test_stamp_now_or_fixed(spark):
+    df = spark.range(1).select(exprs.stamp().alias("a"),
+                               exprs.stamp("2024-06-01 00:00:00").alias("b"))
+    r = df.first()
+    assert r.b == dt.datetime(2024, 6, 1) and r.a.year >= 2024
