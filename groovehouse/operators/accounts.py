@@ -91,8 +91,11 @@ def order_documents(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
     items = _items(bridge, albums, artists).join(orders, "order_id")
     sums = items.groupBy("user_id", "order_id", "dispatched").agg(
         money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
+    # An order belongs to one user: bridge rows per order bound the items.
     per_order = (nest_children(items, ["user_id", "order_id"], _album_entry(), ["album_id"],
-                               "albums")
+                               "albums", bound=bridge.join(orders.select("order_id", "user_id"),
+                                                           "order_id").select("user_id",
+                                                                              "order_id"))
                  .withColumnRenamed("part", "albums_part")
                  .join(sums, ["user_id", "order_id"]))
     per_user = nest_children(per_order, ["user_id"], F.struct(
@@ -110,7 +113,8 @@ def cart_documents(cart: DataFrame, albums: DataFrame, artists: DataFrame) -> Da
     items = _items(cart, albums, artists)
     sums = items.groupBy("user_id").agg(
         money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
-    return nest_children(items, ["user_id"], _album_entry(), ["album_id"], "albums") \
+    return nest_children(items, ["user_id"], _album_entry(), ["album_id"], "albums",
+                         bound=cart.select("user_id")) \
         .join(sums, "user_id")
 
 
@@ -157,7 +161,8 @@ def user_activity(users: DataFrame, orders: DataFrame, cart: DataFrame) -> DataF
 def checkout_baskets(cart: DataFrame, users: DataFrame) -> DataFrame:
     """A-12: per user with a cart: array of (album_id, quantity)."""
     return nest_children(cart.join(users.select("user_id"), "user_id"), ["user_id"],
-                         F.struct("album_id", "quantity"), ["album_id"], "albums")
+                         F.struct("album_id", "quantity"), ["album_id"], "albums",
+                         bound=cart.select("user_id"))
 
 
 def availability(albums: DataFrame, cart: DataFrame, views: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def artist_with_albums(artists: DataFrame, albums: DataFrame,
                                                  "left_semi")
     names = a.select("artist_id", "name")
     per = nest_children(albums.join(names, "artist_id"), ["artist_id"], _album_item(),
-                        ["album_id"], "albums")
+                        ["album_id"], "albums", bound=albums.select("artist_id"))
     return (a.join(per, "artist_id", "left")
             .select("artist_id", "name", "bio",
                     F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
@@ -166,7 +166,7 @@ def album_detail(albums: DataFrame, artists: DataFrame, songs: DataFrame,
     a = albums if ids is None else albums.join(ids.select("album_id"), "album_id",
                                                "left_semi")
     tracks = nest_children(songs, ["album_id"], F.struct("track", "song", "duration"),
-                           ["track"], "songs")
+                           ["track"], "songs", bound=songs.select("album_id"))
     return (a.join(artists.select("artist_id", "name"), "artist_id")
             .join(tracks, "album_id")
             .select("album_id", "artist_id", "name", "title", "release_year", "photo",

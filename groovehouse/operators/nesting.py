@@ -20,13 +20,20 @@ DOC_PART_ITEMS = 10_000
 
 
 def nest_children(children: DataFrame, keys: list[str], item: Column, order: list[str],
-                  name: str, max_items: int = DOC_PART_ITEMS) -> DataFrame:
+                  name: str, max_items: int = DOC_PART_ITEMS,
+                  bound: DataFrame | None = None) -> DataFrame:
     """(keys..., part, name): ``item`` structs sorted by their leading
-    fields, which must be the ``order`` columns (unique inside a parent)."""
+    fields, which must be the ``order`` columns (unique inside a parent).
+
+    ``bound`` (optional) holds the ``keys`` columns of a table with at least
+    as many rows per parent as ``children`` — typically the raw child table
+    before inner enrichment joins — so the hot-parent test reads one or two
+    key columns instead of re-running those joins."""
     def collect(df: DataFrame, group: list[str]) -> DataFrame:
         return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))
 
-    counts = children.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
+    src = children if bound is None else bound
+    counts = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
     hot = counts.filter(F.col("_gh_n") > max_items).select(*keys)
     if hot.isEmpty():
         return collect(children, keys).withColumn("part", F.lit(0).cast("bigint")) \

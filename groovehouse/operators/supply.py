@@ -109,7 +109,8 @@ def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
     docs = nest_children(li, ["purchase_order"], F.struct(
         "line", "artist_id", "name", "album_id", "title", "quantity",
         F.col("confirmed_quantity").alias("confirmed"),
-        money("line_total").alias("line_total")), ["line"], "lines")
+        money("line_total").alias("line_total")), ["line"], "lines",
+        bound=lines.select("purchase_order"))
     return pos.join(sums, "purchase_order").join(docs, "purchase_order").select(
         "purchase_order", "status", ts_text("modified").alias("modified"),
         ts_text("estimated_receipt").alias("estimated_receipt"),

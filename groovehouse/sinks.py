@@ -26,7 +26,7 @@ def po_messages(pos: DataFrame, lines: DataFrame, client_id: str = "shop") -> Da
     ordered by line number, delivery date and freight cost."""
     per = nest_children(lines, ["purchase_order"], F.struct(
         "line", "album_id", "quantity", money("line_total").alias("line_total")), ["line"],
-        "data")
+        "data", bound=lines.select("purchase_order"))
     msg = pos.join(per, "purchase_order").select(
         "purchase_order", "part",
         F.to_json(F.struct(
