@@ -28,15 +28,15 @@ JOIN artists r ON r.artist_id = a.artist_id"""
 
 
 @register("user_accounts", f"""
-SELECT username, strftime(created, {TS}) AS created, role FROM users WHERE user_id % 2 = 0""")
+SELECT username, strftime(created, {TS}) AS created, role FROM users""")
 def user_accounts(s):
-    names = s.users.filter(F.col("user_id") % 2 == 0).select("username")
+    names = s.users.select("username")
     return acc.user_accounts(s.users, names, "profile")
 
 
-@register("user_owner", "SELECT username, user_id FROM users WHERE user_id % 3 = 0")
+@register("user_owner", "SELECT username, user_id FROM users")
 def user_owner(s):
-    names = s.users.filter(F.col("user_id") % 3 == 0).select("username")
+    names = s.users.select("username")
     return acc.user_accounts(s.users, names, "owner")
 
 

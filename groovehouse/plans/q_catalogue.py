@@ -99,23 +99,23 @@ def page_manifest(s):
     df = cat.albums_with_artist(s.albums, s.artists).select("album_id", "price")
     return cat.page_manifest(df, [F.col("price").desc_nulls_first(),
                                   F.col("album_id").desc()], "album_id") \
-        .withColumnRenamed("first_id", "first_id").select(
+        .select(
             "page", "first_id", "last_id", "rows")
 
 
 @register("artists_by_name", """
 SELECT upper(n.name) AS asked, r.artist_id
-FROM artists n JOIN artists r ON lower(r.name) = lower(upper(n.name))
-WHERE n.artist_id % 2 = 0""")
+FROM artists n JOIN artists r ON lower(r.name) = lower(upper(n.name))""")
 def artists_by_name(s):
-    names = s.artists.filter(F.col("artist_id") % 2 == 0).select(F.upper("name").alias("name"))
+    names = s.artists.select(F.upper("name").alias("name"))
     return cat.artists_by_name(s.artists, names)
 
 
 @register("artist_short", """
-SELECT artist_id, name, bio FROM artists WHERE artist_id % 3 = 0""")
+SELECT artist_id, name, bio FROM artists
+WHERE artist_id IN (SELECT artist_id FROM albums WHERE stock = 0)""")
 def artist_short(s):
-    ids = s.artists.filter(F.col("artist_id") % 3 == 0).select("artist_id")
+    ids = s.albums.filter(F.col("stock") == 0).select("artist_id")
     return cat.artist_short(s.artists, ids)
 
 

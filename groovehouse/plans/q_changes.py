@@ -79,13 +79,13 @@ def cart_after_admission(s):
 
 @register("remove_cart_items", """
 SELECT c.* FROM cart c
-WHERE c.user_id % 5 <> 0
-  AND NOT (c.album_id % 3 = 0 AND c.user_id % 2 = 0)""")
+WHERE c.user_id NOT IN (SELECT user_id FROM users WHERE role = 'admin')
+  AND c.quantity <> 1""")
 def remove_cart_items(s):
-    whole = s.users.filter(F.col("user_id") % 5 == 0).select(
+    # Admins empty their whole cart; every single copy in a cart is taken out.
+    whole = s.users.filter(F.col("role") == "admin").select(
         "user_id", F.lit(None).cast("bigint").alias("album_id"))
-    one = s.cart.filter((F.col("album_id") % 3 == 0) & (F.col("user_id") % 2 == 0)) \
-        .select("user_id", "album_id")
+    one = s.cart.filter(F.col("quantity") == 1).select("user_id", "album_id")
     return ch.remove_cart_items(s.cart, whole.unionByName(one))
 
 
@@ -132,9 +132,9 @@ UNION ALL
 SELECT CAST((SELECT max(artist_id) FROM artists)
             + row_number() OVER (ORDER BY username, user_id) AS BIGINT),
        username, 'no biography yet', strftime({AT}, {TS})
-FROM users WHERE user_id % 7 = 0""")
+FROM users""")
 def append_rows(s):
-    new = s.users.filter(F.col("user_id") % 7 == 0).select(
+    new = s.users.select(
         F.col("username").alias("name"), "user_id")
     with_ids = ch.assign_ids(new, s.artists, "artist_id",
                              [F.col("name").asc(), F.col("user_id").asc()])
@@ -248,10 +248,9 @@ def update_by_key(s):
 # ---- deletes ----------------------------------------------------------------
 
 @register("delete_rows", """
-SELECT * FROM songs WHERE NOT (track % 3 = 0 AND album_id % 2 = 0)""")
+SELECT * FROM songs WHERE duration IS NOT NULL""")
 def delete_rows(s):
-    keys = s.songs.filter((F.col("track") % 3 == 0) & (F.col("album_id") % 2 == 0)) \
-        .select("album_id", "track")
+    keys = s.songs.filter(F.col("duration").isNull()).select("album_id", "track")
     left, _gone = ch.delete_rows(s.songs, keys, ["album_id", "track"])
     return left
 
@@ -259,21 +258,20 @@ def delete_rows(s):
 @register("rows_in_keys", """
 SELECT * FROM purchase_order_lines
 WHERE purchase_order IN (SELECT purchase_order FROM purchase_orders WHERE status = 'pending-buyer')
-  AND line IN (1, 3)""")
+""")
 def rows_in_keys(s):
     keys = s.purchase_orders.filter(F.col("status") == "pending-buyer").select("purchase_order")
-    lines = s.purchase_order_lines.filter(F.col("line").isin(1, 3))
-    return ch.rows_in_keys(lines, keys, ["purchase_order"]).withColumn(
+    return ch.rows_in_keys(s.purchase_order_lines, keys, ["purchase_order"]).withColumn(
         "line_total", money("line_total"))
 
 
 @register("delete_parents", """
-WITH asked AS (SELECT artist_id FROM artists WHERE artist_id % 5 = 0)
+WITH asked AS (SELECT artist_id FROM artists)
 SELECT artist_id, CASE WHEN artist_id IN (SELECT artist_id FROM albums WHERE artist_id IS NOT NULL)
                        THEN 'refused' ELSE 'deleted' END AS outcome
 FROM asked""")
 def delete_parents(s):
-    asked = s.artists.filter(F.col("artist_id") % 5 == 0).select("artist_id")
+    asked = s.artists.select("artist_id")
     _left, refused, _kids = ch.delete_parents(
         s.artists, asked, "artist_id", [("albums", s.albums, "artist_id", "restrict")])
     return asked.join(refused.withColumn("_r", F.lit(True)), "artist_id", "left").select(
@@ -281,14 +279,14 @@ def delete_parents(s):
 
 
 @register("delete_albums_cascade", """
-WITH asked AS (SELECT album_id FROM albums WHERE album_id % 5 = 0),
+WITH asked AS (SELECT album_id FROM albums),
 refused AS (SELECT album_id FROM asked WHERE album_id IN (SELECT album_id FROM cart)
             OR album_id IN (SELECT album_id FROM orders_bridge)
             OR album_id IN (SELECT album_id FROM purchase_order_lines)),
 gone AS (SELECT album_id FROM asked WHERE album_id NOT IN (SELECT album_id FROM refused))
 SELECT * FROM songs WHERE album_id NOT IN (SELECT album_id FROM gone)""")
 def delete_albums_cascade(s):
-    asked = s.albums.filter(F.col("album_id") % 5 == 0).select("album_id")
+    asked = s.albums.select("album_id")
     _left, _refused, kids = ch.delete_parents(
         s.albums, asked, "album_id",
         [("cart", s.cart, "album_id", "restrict"),
@@ -423,38 +421,39 @@ def zip_join(s):
 
 
 @register("title_conflicts", """
-WITH c AS (SELECT album_id, artist_id, upper(title) AS title FROM albums WHERE album_id % 4 = 0
+WITH c AS (SELECT album_id, artist_id, upper(title) AS title FROM albums
            UNION ALL
-           SELECT NULL, artist_id, title FROM albums WHERE album_id % 10 = 1)
+           SELECT NULL, artist_id, title || ' ii' FROM albums)
 SELECT c.album_id, c.artist_id, c.title FROM c
 WHERE EXISTS (SELECT 1 FROM albums a WHERE a.artist_id = c.artist_id
               AND lower(a.title) = lower(c.title)
               AND (c.album_id IS NULL OR c.album_id <> a.album_id))""")
 def title_conflicts(s):
-    edits = s.albums.filter(F.col("album_id") % 4 == 0).select(
-        "album_id", "artist_id", F.upper("title").alias("title"))
-    new = s.albums.filter(F.col("album_id") % 10 == 1).select(
-        F.lit(None).cast("bigint").alias("album_id"), "artist_id", "title")
+    # Every album re-submitted upper-cased (edit) and as a new "<title> ii".
+    edits = s.albums.select("album_id", "artist_id", F.upper("title").alias("title"))
+    new = s.albums.select(F.lit(None).cast("bigint").alias("album_id"), "artist_id",
+                          F.concat("title", F.lit(" ii")).alias("title"))
     return ch.title_conflicts(s.albums, edits.unionByName(new))
 
 
 @register("artist_conflicts", """
 WITH c AS (SELECT a.artist_id, upper(b.name) AS name FROM artists a
-           JOIN artists b ON b.artist_id = a.artist_id + 1 WHERE a.artist_id % 4 = 0
+           JOIN artists b ON b.artist_id = a.artist_id + 1
            UNION ALL
-           SELECT NULL, name FROM artists WHERE artist_id % 10 = 1
+           SELECT NULL, name FROM artists
            UNION ALL
-           SELECT artist_id, name FROM artists WHERE artist_id % 4 = 2)
+           SELECT artist_id, name FROM artists)
 SELECT c.artist_id, c.name FROM c
 WHERE EXISTS (SELECT 1 FROM artists a WHERE lower(a.name) = lower(c.name)
               AND (c.artist_id IS NULL OR c.artist_id <> a.artist_id))""")
 def artist_conflicts(s):
     a = s.artists
     nxt = a.select((F.col("artist_id") - 1).alias("artist_id"), F.upper("name").alias("name"))
-    edits = a.filter(F.col("artist_id") % 4 == 0).select("artist_id").join(nxt, "artist_id")
-    new = a.filter(F.col("artist_id") % 10 == 1).select(
-        F.lit(None).cast("bigint").alias("artist_id"), "name")
-    same = a.filter(F.col("artist_id") % 4 == 2).select("artist_id", "name")
+    # Each artist renamed to the next one's name, each name sent as a new
+    # artist, and each artist re-sent unchanged (no conflict).
+    edits = a.select("artist_id").join(nxt, "artist_id")
+    new = a.select(F.lit(None).cast("bigint").alias("artist_id"), "name")
+    same = a.select("artist_id", "name")
     return ch.artist_conflicts(a, edits.unionByName(new).unionByName(same))
 
 
