@@ -98,9 +98,7 @@ GROUP BY 1""")
 def page_manifest(s):
     df = cat.albums_with_artist(s.albums, s.artists).select("album_id", "price")
     return cat.page_manifest(df, [F.col("price").desc_nulls_first(),
-                                  F.col("album_id").desc()], "album_id") \
-        .select(
-            "page", "first_id", "last_id", "rows")
+                                  F.col("album_id").desc()], "album_id")
 
 
 @register("artists_by_name", """
