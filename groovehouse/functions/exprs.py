@@ -65,7 +65,7 @@ def item_label(artist, title, price, quantity) -> Column:
 
 def local_time(c, tz: str) -> Column:
     """F-8: UTC timestamp to local wall clock ``d.M.yyyy HH:mm``."""
-    return F.date_format(F.from_utc_timestamp(_c(c), tz), "d.M.yyyy HH:mm")
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(c)), "d.M.yyyy HH:mm")
 
 
 def ts_text(c) -> Column:
@@ -99,7 +99,9 @@ def activity_text(orders, cart) -> Column:
 def stamp(at: str | None = None) -> Column:
     """F-14: the modified / created stamp: UTC now, or a fixed time ``at``
     so a rerun gives the same table."""
-    return F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    if at is None:
+        return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp())
+    return F.lit(at).cast("timestamp_ntz")
 
 
 def money(c) -> Column:

@@ -379,7 +379,7 @@ def apply_confirmations(pos: DataFrame, lines: DataFrame, confirmations: DataFra
     status = confirmation_status(new_lines.join(touched.select("purchase_order"),
                                                 "purchase_order", "left_semi"))
     upd = status.join(touched, "purchase_order").select("purchase_order", "status",
-                                                        F.col("modified").cast("timestamp"))
+                                                        F.col("modified").cast("timestamp_ntz"))
     return new_lines, update_by_key(pos, upd, ["purchase_order"], ["status", "modified"])
 
 

@@ -34,11 +34,12 @@ def clamped_ledger(start: DataFrame, events: DataFrame, keys: list[str],
     """End quantity per key after ``events`` on top of ``start``; a step
     below zero is ignored.  Keys ending at 0 are kept (callers drop them)."""
     s = start.select(*keys, F.lit(-1).cast("bigint").alias("_chunk"),
-                     F.lit(None).cast("timestamp").alias("_ts"),
+                     F.lit(None).cast("timestamp_ntz").alias("_ts"),
                      F.lit(None).cast("bigint").alias("_seq"),
                      F.col(qty).cast("bigint").alias("_d"))
     e = events.select(*keys,
-                      F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk_seconds * 1_000_000))
+                      F.floor(F.unix_micros(F.col(ts).cast("timestamp"))
+                              / F.lit(chunk_seconds * 1_000_000))
                       .cast("bigint").alias("_chunk"),
                       F.col(ts).alias("_ts"), F.col(seq).cast("bigint").alias("_seq"),
                       F.col(delta).cast("bigint").alias("_d"))
@@ -130,11 +131,11 @@ def admit_cart_events(albums: DataFrame, cart: DataFrame, events: DataFrame) ->
     a = albums.select(F.lit(None).cast("bigint").alias("event_id"),
                       F.lit(None).cast("bigint").alias("user_id"), "album_id",
                       F.lit(None).cast("bigint").alias("delta"),
-                      F.lit(None).cast("timestamp").alias("_ts"),
+                      F.lit(None).cast("timestamp_ntz").alias("_ts"),
                       F.lit(0).alias("_kind"), F.col("stock").cast("bigint").alias("_qty"))
     c = cart.select(F.lit(None).cast("bigint").alias("event_id"), "user_id", "album_id",
                     F.lit(None).cast("bigint").alias("delta"),
-                    F.lit(None).cast("timestamp").alias("_ts"),
+                    F.lit(None).cast("timestamp_ntz").alias("_ts"),
                     F.lit(1).alias("_kind"), F.col("quantity").cast("bigint").alias("_qty"))
     e = events.select("event_id", "user_id", "album_id", F.col("delta").cast("bigint"),
                       F.col("ts").alias("_ts"), F.lit(2).alias("_kind"),
@@ -205,7 +206,7 @@ def fold_draft_quantities(lines: DataFrame, albums: DataFrame, events: DataFrame
     cap = albums.select("album_id", (F.lit(10) - F.col("stock")).cast("bigint").alias("_cap"))
     base = ["purchase_order", "album_id", "_kind", "_ts", "event_id", "delta", "_qty"]
     s = start.select("purchase_order", "album_id", F.lit(0).alias("_kind"),
-                     F.lit(None).cast("timestamp").alias("_ts"),
+                     F.lit(None).cast("timestamp_ntz").alias("_ts"),
                      F.col("_line").cast("bigint").alias("event_id"),
                      F.lit(None).cast("bigint").alias("delta"), F.col("_qty").cast("bigint"))
     e = events.select("purchase_order", "album_id", F.lit(1).alias("_kind"),

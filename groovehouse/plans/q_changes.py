@@ -140,7 +140,7 @@ def append_rows(s):
                              [F.col("name").asc(), F.col("user_id").asc()])
     out = ch.append_rows(s.artists, with_ids.drop("user_id"),
                          {"bio": F.lit("no biography yet"),
-                          "modified": F.lit(PATCH_AT).cast("timestamp")})
+                          "modified": F.lit(PATCH_AT).cast("timestamp_ntz")})
     return out.withColumn("modified", ts_text("modified"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-L, S, TS, B = T.LongType(), T.StringType(), T.TimestampType(), T.BooleanType()
+L, S, TS, B = T.LongType(), T.StringType(), T.TimestampNTZType(), T.BooleanType()
 PRICE = T.DecimalType(10, 2)
 COST = T.DecimalType(6, 2)
 LINE_TOTAL = T.DecimalType(12, 2)

@@ -21,7 +21,7 @@ EXT_ID_OFFSET = 1_000_000
 
 
 def day0_plus(days: Column) -> Column:
-    return F.lit(DAY0).cast("timestamp") + F.make_dt_interval(days=days.cast("int"))
+    return F.lit(DAY0).cast("timestamp_ntz") + F.make_dt_interval(days=days.cast("int"))
 
 
 def plus_days(ts: Column, days: int) -> Column:
@@ -87,7 +87,7 @@ class Shop:
         return o.select(
             F.col("o_orderkey").cast("bigint").alias("order_id"),
             F.col("o_custkey").cast("bigint").alias("user_id"),
-            F.col("o_orderdate").cast("timestamp").alias("dispatched"),
+            F.col("o_orderdate").cast("timestamp_ntz").alias("dispatched"),
         )
 
     @cached_property
@@ -101,7 +101,7 @@ class Shop:
     def cart_events(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type").isin("click", "view", "error"))
         return e.select(
-            "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+            "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
             F.get_json_object("props", "$.k").cast("bigint").alias("album_id"),
             F.when(F.col("event_type") == "error", F.lit(-1)).otherwise(F.lit(1))
             .cast("bigint").alias("delta"),
@@ -117,7 +117,7 @@ class Shop:
     def purchase_orders(self) -> DataFrame:
         o = self.raw("orders")
         k = F.col("o_orderkey")
-        d = F.col("o_orderdate").cast("timestamp")
+        d = F.col("o_orderdate").cast("timestamp_ntz")
         return o.select(
             k.cast("bigint").alias("purchase_order"),
             F.when(F.col("o_orderstatus") == "F", "confirmed")
@@ -258,7 +258,7 @@ class Shop:
         """D-19 messages: notes for a third of pending-buyer orders, a
         ``shipped`` update per dispatch, ``rescheduled`` for every fourth."""
         o = self.raw("orders").select(F.col("o_orderkey").alias("purchase_order"),
-                                      F.col("o_orderdate").cast("timestamp").alias("od"))
+                                      F.col("o_orderdate").cast("timestamp_ntz").alias("od"))
         po = self.purchase_orders
         notes = (po.filter((F.col("status") == "pending-buyer")
                            & (F.col("purchase_order") % 3 == 0))
@@ -270,7 +270,7 @@ class Shop:
                          F.lit("pending-supplier").alias("status"),
                          F.concat(F.lit("dock "), (F.col("purchase_order") % 7).cast("string"))
                          .alias("address"),
-                         F.lit(None).cast("timestamp").alias("estimated_delivery")))
+                         F.lit(None).cast("timestamp_ntz").alias("estimated_delivery")))
         d = self.dispatches.join(o, "purchase_order")
         shipped = d.select((F.col("purchase_order") * 3 + 1).alias("seq"),
                            F.lit("update").alias("kind"), "dispatch_id",

@@ -37,7 +37,7 @@ def parse_confirmations(raw: DataFrame, col: str = "payload") -> DataFrame:
     return m.select(
         F.col("m.purchase_order_id").alias("purchase_order"),
         F.col("m.client_id").alias("client_id"), F.col("m.status").alias("status"),
-        F.to_timestamp("m.modified").alias("modified"),
+        F.to_timestamp_ntz(F.col("m.modified")).alias("modified"),
         F.explode("m.lines").alias("l"),
     ).select("purchase_order", "client_id", "status", "modified", "l.line", "l.confirmed",
              "l.album_id")
@@ -51,4 +51,4 @@ def parse_dispatch_notes(raw: DataFrame, col: str = "payload") -> DataFrame:
 def parse_dispatch_updates(raw: DataFrame, col: str = "payload") -> DataFrame:
     """Dispatch updates (status, new estimated delivery) to rows."""
     m = raw.select(F.from_json(F.col(col), DISPATCH_UPDATE).alias("m")).select("m.*")
-    return m.withColumn("estimated_delivery", F.to_timestamp("estimated_delivery"))
+    return m.withColumn("estimated_delivery", F.to_timestamp_ntz(F.col("estimated_delivery")))

@@ -89,17 +89,24 @@ def replay_in_slices(spark: SparkSession, source: DataFrame, order_col: str, sli
                      inbox: str, start_query) -> StreamingQuery:
     """Feed ``source`` into a file stream as ``slices`` arrivals in
     ``order_col`` order and let the query finish each arrival before the
-    next (used to check that the streams equal the batch jobs)."""
-    lo, hi = source.agg({order_col: "min"}).first()[0], source.agg({order_col: "max"}).first()[0]
+    next (used to check that the streams equal the batch jobs).  Slices
+    are cut on an integer key computed in Spark (epoch micros for a
+    timestamp), so no Python datetime crosses into the plan."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    col = source[order_col]
+    if isinstance(source.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType)):
+        key = F.unix_micros(col.cast("timestamp"))
+    else:
+        key = col.cast("bigint")
+    lo, hi = source.agg(F.min(key), F.max(key)).first()
     spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(inbox)
     q = start_query(spark.readStream.schema(source.schema).parquet(inbox))
     try:
-        step = (hi - lo) / slices
+        edges = [lo + (hi - lo) * i // slices for i in range(slices)] + [hi + 1]
         for i in range(slices):
-            a = lo + step * i
-            part = source.filter(source[order_col] >= a)
-            if i < slices - 1:
-                part = part.filter(source[order_col] < lo + step * (i + 1))
+            part = source.filter((key >= F.lit(edges[i])) & (key < F.lit(edges[i + 1])))
             part.write.mode("append").parquet(inbox)
             q.processAllAvailable()
     finally:

@@ -163,7 +163,7 @@ def test_fold_cart_ignores_remove_at_zero(spark):
     evs = [(i, T0 + dt.timedelta(minutes=i * 50), 1, 5, d)
            for i, d in enumerate([-1, -1, 1, 1, -1, -1, -1, 1])]
     evs += [(100, T0, 2, 5, -1)]
-    events = spark.createDataFrame(evs, "event_id long, ts timestamp, user_id long, "
+    events = spark.createDataFrame(evs, "event_id long, ts timestamp_ntz, user_id long, "
                                         "album_id long, delta long")
     got = rows(ch.fold_cart(start, events))
     assert got == [(1, 5, 1)]              # 1,0,0,1,2,1,0,0,1; user 2 never gets a row
@@ -258,7 +258,7 @@ def test_draft_lines_fold_rules(spark):
           (6, 3, -1), (7, 3, -1), (8, 3, -1)]     # album 3: 2 -> 1 -> 0 (dropped) -> 0
     events = spark.createDataFrame(
         [(i, T0 + dt.timedelta(seconds=i), 7, a, d) for i, a, d in ev],
-        "event_id long, ts timestamp, purchase_order long, album_id long, delta long")
+        "event_id long, ts timestamp_ntz, purchase_order long, album_id long, delta long")
     got = rows(ch.fold_draft_lines(lines, albums, events), order=True)
     got = sorted(got)
     assert got == [(7, 1, 1, 2, Decimal("14.00")), (7, 2, 2, 1, Decimal("7.00"))]

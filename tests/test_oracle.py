@@ -71,3 +71,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert df.columns[:3] == ["artist_id", "name", "album_id"]
+
+
+@pytest.mark.parametrize("name", ["dispatch_report", "purchase_order_detail", "patch_rows",
+                                  "dispatch_update_orders", "fold_cart", "local_times"])
+def test_results_do_not_depend_on_session_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = E.queries()[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert _canon(got) == _canon(duck.execute(SQL[name]).fetchdf())

