@@ -19,12 +19,19 @@ memory does not grow with the group.  The order inside a group is total
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The fold steps run in Python workers, which need not have this package on
+# their path (a driver started elsewhere, a cluster without the wheel):
+# ship the step functions by value with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_SECONDS = 3600
 
 
