@@ -83,9 +83,18 @@ def short_status(c) -> Column:
     return F.substring_index(_c(c), "-", 1)
 
 
+# Characters the reference's encoder (encodeURIComponent) leaves as they are
+# but a form encoder escapes (fixed values).
+URI_KEEP = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+
 def url_slug(c) -> Column:
-    """F-11: lower case, each whitespace character to ``-``, percent-encoded."""
-    return F.url_encode(F.regexp_replace(F.lower(_c(c)), r"\s", "-"))
+    """F-11: lower case, each whitespace character to ``-``, percent-encoded
+    like ``encodeURIComponent`` (``! ' ( ) ~`` stay as they are)."""
+    out = F.url_encode(F.regexp_replace(F.lower(_c(c)), r"\s", "-"))
+    for code, ch in URI_KEEP.items():
+        out = F.replace(out, F.lit(code), F.lit(ch))
+    return out
 
 
 def activity_text(orders, cart) -> Column:

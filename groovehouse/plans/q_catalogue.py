@@ -162,7 +162,16 @@ def song_listing(s):
     return cat.song_listing(s.songs)
 
 
-@register("album_links")
+def _slug_sql(c: str) -> str:
+    out = f"url_encode(regexp_replace(lower({c}), '\\s', '-', 'g'))"
+    for code, ch in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = f"replace({out}, '{code}', '{ch}')"
+    return out
+
+
+@register("album_links", f"""
+SELECT a.album_id, '/artist/' || {_slug_sql('r.name')} || '/' || {_slug_sql('a.title')} AS link
+FROM albums a JOIN artists r ON r.artist_id = a.artist_id""")
 def album_links(s):
     return cat.album_links(s.albums, s.artists)
 
