@@ -60,18 +60,48 @@ def upsert_add(s):
     return ch.upsert_add(s.cart, delta, ["user_id", "album_id"], "quantity")
 
 
-@register("admit_cart_events")
+ADMIT = """
+admit_ev AS (SELECT album_id, list({'u': user_id, 'd': delta, 'id': event_id}
+                                   ORDER BY ts, event_id) AS es
+             FROM cart_events GROUP BY album_id),
+admit_hold AS (SELECT album_id, map_from_entries(list({'key': user_id, 'value': quantity})) AS h
+               FROM cart GROUP BY album_id),
+admit_run AS (
+  SELECT ev.album_id, list_reduce(ev.es, lambda acc, e: {
+      's': (acc.s + CASE WHEN (CASE WHEN e.d > 0 THEN acc.s > 0 ELSE coalesce(acc.h[e.u], 0) > 0 END) THEN -e.d ELSE 0 END),
+      'h': map_concat(acc.h, MAP([e.u], [(coalesce(acc.h[e.u], 0) + CASE WHEN (CASE WHEN e.d > 0 THEN acc.s > 0 ELSE coalesce(acc.h[e.u], 0) > 0 END) THEN e.d ELSE 0 END)])),
+      'out': list_append(acc.out, {'id': e.id, 'u': e.u, 'd': e.d, 'ok': (CASE WHEN e.d > 0 THEN acc.s > 0 ELSE coalesce(acc.h[e.u], 0) > 0 END),
+                                    's': (acc.s + CASE WHEN (CASE WHEN e.d > 0 THEN acc.s > 0 ELSE coalesce(acc.h[e.u], 0) > 0 END) THEN -e.d ELSE 0 END), 'c': (coalesce(acc.h[e.u], 0) + CASE WHEN (CASE WHEN e.d > 0 THEN acc.s > 0 ELSE coalesce(acc.h[e.u], 0) > 0 END) THEN e.d ELSE 0 END)})},
+      {'s': coalesce(a.stock, 0), 'h': coalesce(ho.h, MAP([]::BIGINT[], []::BIGINT[])),
+       'out': []::STRUCT(id BIGINT, u BIGINT, d BIGINT, ok BOOLEAN, s BIGINT, c BIGINT)[]}) AS r
+  FROM admit_ev ev LEFT JOIN albums a ON a.album_id = ev.album_id
+  LEFT JOIN admit_hold ho ON ho.album_id = ev.album_id),
+adm AS (SELECT o.id AS event_id, o.u AS user_id, album_id, o.d AS delta, o.ok AS accepted,
+               o.s AS stock_after, o.c AS cart_after
+        FROM admit_run, unnest(admit_run.r.out) AS t(o))"""
+
+
+@register("admit_cart_events", f"WITH {ADMIT} SELECT * FROM adm")
 def admit_cart_events(s):
     return ch.admit_cart_events(s.albums, s.cart, s.cart_events)
 
 
-@register("move_stock")
+@register("move_stock", f"""
+WITH {ADMIT}
+SELECT a.album_id, CAST(a.stock - coalesce(m.taken, 0) AS BIGINT) AS stock
+FROM albums a LEFT JOIN (SELECT album_id, sum(delta) AS taken FROM adm WHERE accepted
+                         GROUP BY album_id) m ON m.album_id = a.album_id""")
 def move_stock(s):
     adm = ch.admit_cart_events(s.albums, s.cart, s.cart_events)
     return ch.move_stock(s.albums, adm).select("album_id", "stock")
 
 
-@register("cart_after_admission")
+@register("cart_after_admission", f"""
+WITH {ADMIT}
+SELECT user_id, album_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM (
+  SELECT user_id, album_id, quantity FROM cart
+  UNION ALL SELECT user_id, album_id, delta FROM adm WHERE accepted)
+GROUP BY user_id, album_id HAVING sum(quantity) > 0""")
 def cart_after_admission(s):
     adm = ch.admit_cart_events(s.albums, s.cart, s.cart_events)
     return ch.cart_after_admission(s.cart, adm)

@@ -59,13 +59,45 @@ def local_times(s):
     return s.orders_h.select("order_id", local_time("dispatched", "UTC").alias("local"))
 
 
-@register("po_messages")
+TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+@register("po_messages", f"""
+WITH d AS (SELECT purchase_order,
+                  list({{'line': line, 'album_id': album_id, 'quantity': quantity,
+                        'line_total': CAST(round(line_total, 2) AS DOUBLE)}} ORDER BY line) AS data
+           FROM purchase_order_lines GROUP BY purchase_order)
+SELECT p.purchase_order, CAST(0 AS BIGINT) AS part, CAST(CASE
+  WHEN p.estimated_receipt IS NULL THEN to_json({{'client_id': 'shop',
+       'purchase_order_id': p.purchase_order, 'status': p.status,
+       'modified': strftime(p.modified, {TS}), 'data': d.data,
+       'dispatch_cost': CAST(round(p.shipping_cost, 2) AS DOUBLE)}})
+  ELSE to_json({{'client_id': 'shop', 'purchase_order_id': p.purchase_order,
+       'status': p.status, 'modified': strftime(p.modified, {TS}), 'data': d.data,
+       'estimated_delivery': strftime(p.estimated_receipt, {TS}),
+       'dispatch_cost': CAST(round(p.shipping_cost, 2) AS DOUBLE)}}) END AS VARCHAR) AS payload
+FROM purchase_orders p JOIN d ON d.purchase_order = p.purchase_order
+WHERE p.status = 'pending-supplier'""")
 def po_messages(s):
     pend = s.purchase_orders.filter(F.col("status") == "pending-supplier")
     return _po_messages(pend, s.purchase_order_lines)
 
 
-@register("artist_documents")
+ALBUM_DOC = ("STRUCT(album_id BIGINT, artist_id BIGINT, title VARCHAR, name VARCHAR, "
+             "release_year BIGINT, photo VARCHAR, stock BIGINT, price DOUBLE)[]")
+
+
+@register("artist_documents", f"""
+WITH al AS (SELECT a.artist_id,
+                   list({{'album_id': a.album_id, 'artist_id': a.artist_id, 'title': a.title,
+                         'name': r.name, 'release_year': a.release_year, 'photo': a.photo,
+                         'stock': a.stock, 'price': CAST(round(a.price, 2) AS DOUBLE)}}
+                        ORDER BY a.album_id) AS albums
+            FROM albums a JOIN artists r ON r.artist_id = a.artist_id GROUP BY a.artist_id)
+SELECT CAST(to_json({{'artist_id': r.artist_id, 'name': r.name, 'bio': r.bio,
+                     'part': CAST(0 AS BIGINT),
+                     'albums': coalesce(al.albums, []::{ALBUM_DOC})}}) AS VARCHAR) AS value
+FROM artists r LEFT JOIN al ON al.artist_id = r.artist_id""")
 def artist_documents(s):
     from ..operators.catalogue import artist_with_albums
     return to_documents(artist_with_albums(s.artists, s.albums), drop_nulls=True)
