@@ -8,9 +8,9 @@ into time chunks, each chunk is summarised by a window inside the chunk,
 and the chunk summaries are combined per pair.  A pair holding a third of
 all events is spread over its chunks instead of one task.
 
-``ordered_fold`` is for rules whose state cannot be summarised that way
-(stock shared by all users of an album, D-22; a draft line whose step
-depends on its own value, D-23).  Rows are hash-partitioned by group and
+``ordered_fold`` is for a rule whose state cannot be summarised that way
+(stock shared by all users of an album, D-22).  A draft line (D-23) has a
+small bounded state, so it is summarised by lookup tables instead (below).  Rows are hash-partitioned by group and
 sorted within the partition; a ``mapInPandas`` generator streams the
 Arrow batches in order and carries only the current group's state, so
 memory does not grow with the group.  The order inside a group is total
@@ -22,6 +22,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -153,72 +154,102 @@ def admit_cart_events(albums: DataFrame, cart: DataFrame, events: DataFrame) ->
 
 
 # ---- D-23: draft purchase-order lines edited by +1/-1 clicks ---------------
+#
+# The value of a draft line stays within 0..M, M = max(start quantity,
+# 10 - stock, 1), so the effect of any run of clicks is a lookup table over
+# the M + 1 possible entering values (plus, per entering value, the event
+# that last opened the line).  Tables compose associatively: events are
+# range-partitioned (a hot (order, album) spans many partitions), each
+# partition's run of a group becomes one table, and the few tables of a
+# group are composed in order on the JVM side.
 
-DRAFT_SCHEMA = ("purchase_order long, album_id long, quantity long, born_by_event boolean, "
-                "birth long")
+SEGMENT_SCHEMA = ("purchase_order long, album_id long, seg_ts timestamp_ntz, seg_id long, "
+                  "t array<long>, b array<long>")
+_SEG_COLS = ["purchase_order", "album_id", "seg_ts", "seg_id", "t", "b"]
 
 
-def _draft_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _draft_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key = None
-    x = cap = 0
-    born_evt = False
-    birth = 0
-    out_rows: list[tuple] = []
+    t = b = None
+    first = None
+    cap = 0
+    out: list[tuple] = []
 
     def flush():
-        if key is not None and x > 0:
-            out_rows.append((key[0], key[1], x, born_evt, birth))
-
-    for b in batches:
-        pos = b["purchase_order"].to_numpy()
-        alb = b["album_id"].to_numpy()
-        kinds = b["_kind"].to_numpy()
-        qty = b["_qty"].to_numpy()
-        deltas = b["delta"].to_numpy()
-        seqs = b["event_id"].to_numpy()
-        caps = b["_cap"].to_numpy()
-        for i in range(len(b)):
+        if key is not None:
+            out.append((key[0], key[1], first[0], first[1], t.tolist(), b.tolist()))
+
+    for batch in batches:
+        pos = batch["purchase_order"].to_numpy()
+        alb = batch["album_id"].to_numpy()
+        ts = batch["ts"].tolist()
+        ids = batch["event_id"].to_numpy()
+        deltas = batch["delta"].to_numpy()
+        caps = batch["_cap"].to_numpy()
+        tops = batch["_m"].to_numpy()
+        for i in range(len(batch)):
             k = (int(pos[i]), int(alb[i]))
             if k != key:
                 flush()
-                key, x, cap, born_evt, birth = k, 0, int(caps[i]), False, 0
-            if kinds[i] == 0:               # existing line: starting quantity
-                x, born_evt, birth = int(qty[i]), False, int(seqs[i])
-                continue
+                key, cap, first = k, int(caps[i]), (ts[i], int(ids[i]))
+                t = np.arange(int(tops[i]) + 1, dtype=np.int64)
+                b = np.full(int(tops[i]) + 1, -1, dtype=np.int64)
             if deltas[i] > 0:
-                if x == 0:                  # a new line always starts at 1
-                    x, born_evt, birth = 1, True, int(seqs[i])
-                elif x + 1 <= cap:
-                    x += 1
-            elif x > 0:
-                x -= 1
-        if len(out_rows) >= 10_000:
-            yield pd.DataFrame(out_rows, columns=["purchase_order", "album_id", "quantity",
-                                                  "born_by_event", "birth"])
-            out_rows = []
+                opening = t == 0                      # a new line always starts at 1
+                grow = (t > 0) & (t + 1 <= cap)       # else only within the cap
+                t = np.where(opening, 1, np.where(grow, t + 1, t))
+                b = np.where(opening, int(ids[i]), b)
+            else:
+                t = np.maximum(t - 1, 0)              # -1 stops at 0 (line dropped)
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=_SEG_COLS)
+            out = []
     flush()
-    yield pd.DataFrame(out_rows, columns=["purchase_order", "album_id", "quantity",
-                                          "born_by_event", "birth"])
+    yield pd.DataFrame(out, columns=_SEG_COLS)
 
 
-def fold_draft_quantities(lines: DataFrame, albums: DataFrame, events: DataFrame
-                          ) -> DataFrame:
+def fold_draft_quantities(lines: DataFrame, albums: DataFrame, events: DataFrame,
+                          partitions: int | None = None) -> DataFrame:
     """D-23 core: final quantity per (order, album) after ordered +1/-1
     clicks: +1 on an absent album opens a line at 1; +1 on a line counts
     only while quantity + stock stays within 10; -1 stops at 0 (the line is
     dropped).  ``birth`` orders the surviving lines: the first line number
     for lines that were never dropped, else the event that opened them."""
-    start = (lines.groupBy("purchase_order", "album_id")
-             .agg(F.sum("quantity").alias("_qty"), F.min("line").alias("_line")))
+    keys = ["purchase_order", "album_id"]
     cap = albums.select("album_id", (F.lit(10) - F.col("stock")).cast("bigint").alias("_cap"))
-    base = ["purchase_order", "album_id", "_kind", "_ts", "event_id", "delta", "_qty"]
-    s = start.select("purchase_order", "album_id", F.lit(0).alias("_kind"),
-                     F.lit(None).cast("timestamp_ntz").alias("_ts"),
-                     F.col("_line").cast("bigint").alias("event_id"),
-                     F.lit(None).cast("bigint").alias("delta"), F.col("_qty").cast("bigint"))
-    e = events.select("purchase_order", "album_id", F.lit(1).alias("_kind"),
-                      F.col("ts").alias("_ts"), "event_id", F.col("delta").cast("bigint"),
-                      F.lit(None).cast("bigint").alias("_qty"))
-    rows = s.select(*base).unionByName(e.select(*base)).join(cap, "album_id")
-    return ordered_fold(rows, ["purchase_order", "album_id"], ["_kind", "_ts", "event_id"],
-                        _draft_step, DRAFT_SCHEMA)
+    start = (lines.groupBy(*keys)
+             .agg(F.sum("quantity").cast("bigint").alias("_q0"),
+                  F.min("line").cast("bigint").alias("_line"))
+             .join(cap, "album_id"))
+    ev = (events.select(*keys, "ts", "event_id", F.col("delta").cast("bigint"))
+          .join(start.select(*keys, "_q0"), keys, "left").join(cap, "album_id")
+          .withColumn("_m", F.greatest(F.coalesce("_q0", F.lit(0)), F.col("_cap"), F.lit(1))))
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, "ts", "event_id"]
+    segs = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
+            .mapInPandas(_draft_segments, SEGMENT_SCHEMA))
+    # One row per (group, partition it spans): a bounded list per group.
+    per = segs.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("seg_ts", "seg_id", "t", "b"))).alias("_segs"))
+    size = F.size(F.col("_segs")[0]["t"])
+    init = F.struct(F.sequence(F.lit(0).cast("bigint"), (size - 1).cast("bigint")).alias("t"),
+                    F.array_repeat(F.lit(-1).cast("bigint"), size).alias("b"))
+
+    def merge(acc, seg):
+        return F.struct(
+            F.transform(acc["t"], lambda v: F.element_at(seg["t"], (v + 1).cast("int")))
+            .alias("t"),
+            F.zip_with(acc["t"], acc["b"], lambda v, ob: F.coalesce(
+                F.nullif(F.element_at(seg["b"], (v + 1).cast("int")), F.lit(-1).cast("bigint")),
+                ob)).alias("b"))
+
+    composed = per.select(*keys, F.aggregate("_segs", init, merge).alias("_f"))
+    j = start.join(composed, keys, "full_outer")
+    x0 = F.coalesce("_q0", F.lit(0)).cast("int")
+    opened = F.element_at(F.col("_f.b"), x0 + 1)
+    x = F.when(F.col("_f").isNull(), F.col("_q0")) \
+        .otherwise(F.element_at(F.col("_f.t"), x0 + 1))
+    born = F.coalesce(opened >= 0, F.lit(False))
+    return (j.select(*keys, x.cast("bigint").alias("quantity"), born.alias("born_by_event"),
+                     F.when(born, opened).otherwise(F.col("_line")).alias("birth"))
+            .filter(F.col("quantity") > 0))

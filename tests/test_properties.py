@@ -150,3 +150,37 @@ def test_stream_parity_random_slices(spark, shop_small):
     b = rows(q["fold_cart"](spark, "/root/testdata/sf0.001"))
     assert a == b
     random.seed(1)
+
+
+def test_draft_fold_hot_group_split_across_partitions(spark):
+    from decimal import Decimal
+
+    from groovehouse.operators.folds import fold_draft_quantities
+    from groovehouse.schemas import SCHEMAS
+    rnd = random.Random(7)
+    albums = spark.createDataFrame(
+        [(a, "t", 2000, st, Decimal("1.00"), "p", 1, T0) for a, st in ((1, 3), (2, 10), (3, 0))],
+        SCHEMAS["albums"])
+    lines = spark.createDataFrame([(9, 1, 1, 4), (9, 2, 3, 12)],
+                                  "purchase_order long, line long, album_id long, quantity long")
+    evs = []
+    for i in range(600):                       # one hot group holds most events
+        a = 1 if i % 10 else rnd.choice([2, 3])
+        evs.append((i, T0 + dt.timedelta(seconds=i), 9, a, rnd.choice([1, 1, -1])))
+    events = spark.createDataFrame(evs, "event_id long, ts timestamp_ntz, purchase_order long, "
+                                        "album_id long, delta long")
+    got = {(r.album_id): (r.quantity, r.born_by_event, r.birth) for r in
+           fold_draft_quantities(lines, albums, events, partitions=13).collect()}
+    stock = {1: 3, 2: 10, 3: 0}
+    state = {1: (4, False, 1), 3: (12, False, 2)}
+    for i, _ts, _po, a, d in evs:
+        x, be, b = state.get(a, (0, False, None))
+        if d > 0:
+            if x == 0:
+                x, be, b = 1, True, i
+            elif x + 1 <= 10 - stock[a]:
+                x += 1
+        else:
+            x = max(0, x - 1)
+        state[a] = (x, be, b)
+    assert got == {a: v for a, v in state.items() if v[0] > 0}
