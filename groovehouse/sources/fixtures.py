@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COST, LINE_TOTAL, PRICE
+from ..session import cut_lineage
+
+# Derived tables materialised once per (application, folder, table).
+_MATERIALISED: dict[tuple[str, str, str], DataFrame] = {}
 
 # Fixed values of the fixture definitions.
 DAY0 = "2024-01-01 00:00:00"
@@ -131,21 +135,33 @@ class Shop:
 
     @cached_property
     def purchase_order_lines(self) -> DataFrame:
+        """Lines numbered 1..n per order (skew-safe numbering, not a window
+        per order).  The numbered table stands for a stored table: it is
+        materialised once per session and folder in the checkpoint folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "purchase_order_lines")
+        if key not in _MATERIALISED:
+            _MATERIALISED[key] = self._number_lines()
+        return _MATERIALISED[key]
+
+    def _number_lines(self) -> DataFrame:
+        from ..operators.positions import rank_within
         li = self.raw("lineitem")
-        w = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-            "l_shipdate")
         q = F.col("l_quantity").cast("bigint")
-        return li.select(
+        base = li.select(
             F.col("l_orderkey").cast("bigint").alias("purchase_order"),
-            F.row_number().over(w).cast("bigint").alias("line"),
+            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+            "l_shipdate",
             F.col("l_partkey").cast("bigint").alias("album_id"),
             q.alias("quantity"),
             F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), None)
             .when(F.col("l_returnflag") == "R", q - 1).otherwise(q)
             .alias("confirmed_quantity"),
-            F.col("l_extendedprice").cast(LINE_TOTAL).alias("line_total"),
-        )
+            F.col("l_extendedprice").cast(LINE_TOTAL).alias("line_total"))
+        order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey",
+                                          "l_quantity", "l_extendedprice", "l_shipdate")]
+        ranked = rank_within(base, ["purchase_order"], order, "line")
+        return cut_lineage(ranked.select("purchase_order", "line", "album_id", "quantity",
+                                         "confirmed_quantity", "line_total"))
 
     @cached_property
     def dispatches(self) -> DataFrame:
