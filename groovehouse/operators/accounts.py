@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import activity_text, item_label, money, ts_text
-from .nesting import nest_children
+from .nesting import has_hot_parent, nest_children
 
 # Fixed texts of the reference's availability messages.
 MSG_IN_CART = " of these albums are in your cart."
@@ -98,9 +98,14 @@ def order_documents(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
                                                                               "order_id"))
                  .withColumnRenamed("part", "albums_part")
                  .join(sums, ["user_id", "order_id"]))
+    # With no order split into parts, a user has exactly one row per order,
+    # so the orders table bounds the per-user test without re-running the
+    # nesting above.
+    split_orders = has_hot_parent(bridge.select("order_id"), ["order_id"])
     per_user = nest_children(per_order, ["user_id"], F.struct(
         "order_id", "albums_part", ts_text("dispatched").alias("dispatched"), "balance",
-        "albums"), ["order_id", "albums_part"], "orders")
+        "albums"), ["order_id", "albums_part"], "orders",
+        bound=None if split_orders else orders.select("user_id"))
     empty = F.array().cast(per_user.schema["orders"].dataType)
     return (users.select("user_id", "username").join(per_user, "user_id", "left")
             .select("user_id", "username",

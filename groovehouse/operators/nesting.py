@@ -19,6 +19,13 @@ from .positions import rank_within
 DOC_PART_ITEMS = 10_000
 
 
+def has_hot_parent(rows: DataFrame, keys: list[str], max_items: int = DOC_PART_ITEMS) -> bool:
+    """Does any parent have more than ``max_items`` rows?  One aggregate over
+    the key columns (partial aggregation, a bounded answer to the driver)."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
+    return not counts.filter(F.col("_gh_n") > max_items).isEmpty()
+
+
 def nest_children(children: DataFrame, keys: list[str], item: Column, order: list[str],
                   name: str, max_items: int = DOC_PART_ITEMS,
                   bound: DataFrame | None = None) -> DataFrame:
@@ -32,12 +39,12 @@ def nest_children(children: DataFrame, keys: list[str], item: Column, order: lis
     def collect(df: DataFrame, group: list[str]) -> DataFrame:
         return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))
 
-    src = children if bound is None else bound
-    counts = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
-    hot = counts.filter(F.col("_gh_n") > max_items).select(*keys)
-    if hot.isEmpty():
+    src = (children if bound is None else bound).select(*keys)
+    if not has_hot_parent(src, keys, max_items):
         return collect(children, keys).withColumn("part", F.lit(0).cast("bigint")) \
             .select(*keys, "part", name)
+    hot = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
+           .filter(F.col("_gh_n") > max_items).select(*keys))
     cold = collect(children.join(hot, keys, "left_anti"), keys) \
         .withColumn("part", F.lit(0).cast("bigint"))
     ranked = rank_within(children.join(hot, keys, "left_semi"), keys,
