@@ -194,10 +194,11 @@ def match_previews(albums: DataFrame, artists: DataFrame, songs: DataFrame,
     same position; songs keep a NULL preview when nothing matches."""
     mine = (albums.join(artists.select("artist_id", "name"), "artist_id")
             .select("album_id", F.lower("title").alias("_t"), F.lower("name").alias("_a")))
-    ext = ext_albums.select("ext_album_id", F.lower("title").alias("_t"),
-                            F.lower("artist").alias("_a"))
-    first = (mine.join(ext, ["_t", "_a"])
-             .groupBy("album_id").agg(F.min("ext_album_id").alias("ext_album_id")))
+    # First outside album per (title, artist) before the join: one match per
+    # album however many outside copies share the key.
+    ext = (ext_albums.groupBy(F.lower("title").alias("_t"), F.lower("artist").alias("_a"))
+           .agg(F.min("ext_album_id").alias("ext_album_id")))
+    first = mine.join(ext, ["_t", "_a"]).select("album_id", "ext_album_id")
     tracks = ext_tracks.select("ext_album_id", F.col("position").alias("track"), "preview")
     return (songs.join(first, "album_id", "left")
             .join(tracks, ["ext_album_id", "track"], "left")

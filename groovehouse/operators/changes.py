@@ -190,24 +190,35 @@ def arrays_to_rows(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
     return df.select(*key, F.inline(F.arrays_zip(*[F.col(c) for c in cols])))
 
 
+def _other_id_exists(cand_id: Column) -> Column:
+    """After joining per-key (n, min id, max id): does an existing row with
+    another id exist?  For a new form (NULL id) any row counts."""
+    return F.when(cand_id.isNull(), F.col("_n") > 0).otherwise(
+        (F.col("_lo") != cand_id) | (F.col("_hi") != cand_id))
+
+
 def title_conflicts(albums: DataFrame, candidates: DataFrame) -> DataFrame:
     """J-11: album forms whose lower-case title already exists under the
-    same artist with another id (a new album has a NULL id)."""
-    have = albums.select("artist_id", F.lower("title").alias("_t"),
-                         F.col("album_id").alias("_other"))
+    same artist with another id (a new album has a NULL id).  Existing
+    titles are reduced to (count, min id, max id) per key first, so a key
+    shared by many albums costs one lookup per candidate, not one per pair."""
+    have = (albums.groupBy("artist_id", F.lower("title").alias("_t"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("album_id").alias("_lo"),
+                 F.max("album_id").alias("_hi")))
     c = candidates.withColumn("_t", F.lower("title"))
-    cond = ((c["artist_id"] == have["artist_id"]) & (c["_t"] == have["_t"])
-            & (c["album_id"].isNull() | (c["album_id"] != have["_other"])))
-    return c.join(have, cond, "left_semi").drop("_t")
+    return (c.join(have, ["artist_id", "_t"])
+            .filter(_other_id_exists(F.col("album_id")))
+            .select(*candidates.columns))
 
 
 def artist_conflicts(artists: DataFrame, candidates: DataFrame) -> DataFrame:
     """J-11: artist forms whose lower-case name exists with another id."""
-    have = artists.select(F.lower("name").alias("_n"), F.col("artist_id").alias("_other"))
-    c = candidates.withColumn("_n", F.lower("name"))
-    cond = ((c["_n"] == have["_n"])
-            & (c["artist_id"].isNull() | (c["artist_id"] != have["_other"])))
-    return c.join(have, cond, "left_semi").drop("_n")
+    have = (artists.groupBy(F.lower("name").alias("_k"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("artist_id").alias("_lo"),
+                 F.max("artist_id").alias("_hi")))
+    c = candidates.withColumn("_k", F.lower("name"))
+    return (c.join(have, "_k").filter(_other_id_exists(F.col("artist_id")))
+            .select(*candidates.columns))
 
 
 def touched_albums(changed: DataFrame, artists: DataFrame) -> DataFrame:
