@@ -125,7 +125,8 @@ def page_manifest(df: DataFrame, order: list[Column], id_col: str) -> DataFrame:
 def artists_by_name(artists: DataFrame, names: DataFrame, name_col: str = "name"
                     ) -> DataFrame:
     """PF-4: artist ids for a table of names, matched case-insensitively."""
-    n = names.select(F.lower(F.col(name_col)).alias("_k"), F.col(name_col).alias("asked"))
+    n = names.select(F.lower(F.col(name_col)).alias("_k"), F.col(name_col).alias("asked")) \
+        .distinct()
     a = artists.select(F.lower("name").alias("_k"), "artist_id")
     return n.join(a, "_k").select("asked", "artist_id")
 
