@@ -88,6 +88,11 @@ def short_status(c) -> Column:
 URI_KEEP = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
 
 
+def status_text(c) -> Column:
+    """F-10 variant: the first ``-`` of a status becomes a space."""
+    return F.regexp_replace(_c(c), "^([^-]*)-", "$1 ")
+
+
 def url_slug(c) -> Column:
     """F-11: lower case, each whitespace character to ``-``, percent-encoded
     like ``encodeURIComponent`` (``! ' ( ) ~`` stay as they are)."""

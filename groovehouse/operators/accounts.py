@@ -125,7 +125,8 @@ def cart_documents(cart: DataFrame, albums: DataFrame, artists: DataFrame) -> Da
 
 def account_document(users: DataFrame, cart: DataFrame, orders: DataFrame,
                      bridge: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
-    """A-11: account document: cart (NULL when empty) beside the orders.
+    """A-11: account document: cart (balance and albums, both NULL for an
+    empty cart, as an aggregate over no rows gives) beside the orders.
     Parts of a huge cart and of a huge order list are paired by part
     number (a full outer join on (user, part)), never multiplied."""
     carts = cart_documents(cart, albums, artists)
@@ -135,8 +136,7 @@ def account_document(users: DataFrame, cart: DataFrame, orders: DataFrame,
     names = users.select("user_id", F.col("username").alias("_u"))
     return (j.join(names, "user_id")
             .select("user_id", F.col("_u").alias("username"), "part",
-                    F.when(F.col("albums").isNotNull(),
-                           F.struct("balance", "albums")).alias("cart"),
+                    F.struct("balance", "albums").alias("cart"),
                     F.coalesce("orders", empty).alias("orders")))
 
 

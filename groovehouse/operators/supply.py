@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (WAREHOUSE_CAP, money, short_status, to_minutes, ts_text,
-                               wholesale_total)
+from ..functions.exprs import (WAREHOUSE_CAP, money, short_status, status_text, to_minutes,
+                               ts_text, wholesale_total)
 from .nesting import nest_children
 from .positions import rank_within
 
@@ -92,7 +92,8 @@ def purchase_order_list(pos: DataFrame, lines: DataFrame) -> DataFrame:
            .groupBy("purchase_order").agg(F.count("album_id").alias("albums")))
     return (pos.join(per, "purchase_order")
             .select("purchase_order", ts_text("modified").alias("modified"), "status",
-                    F.col("albums").cast("bigint").alias("albums"))
+                    F.col("albums").cast("bigint").alias("albums"),
+                    status_text("status").alias("status_text"))
             .orderBy(F.col("modified").desc_nulls_first(), F.col("purchase_order").asc()))
 
 

@@ -51,7 +51,8 @@ def dispatch_lines(s):
 
 @register("purchase_order_list", f"""
 SELECT p.purchase_order, strftime(p.modified, {TS}) AS modified, p.status,
-       CAST(count(DISTINCT l.album_id) AS BIGINT) AS albums
+       CAST(count(DISTINCT l.album_id) AS BIGINT) AS albums,
+       regexp_replace(p.status, '-', ' ') AS status_text
 FROM purchase_orders p JOIN purchase_order_lines l ON l.purchase_order = p.purchase_order
 GROUP BY p.purchase_order, p.modified, p.status""")
 def purchase_order_list(s):

@@ -77,7 +77,8 @@ def test_account_with_empty_cart_and_no_orders(spark):
     bridge = _df(spark, "orders_bridge", [])
     doc = {x.user_id: x for x in acc.account_document(
         users, cart, orders, bridge, _albums(spark), _artists(spark)).collect()}
-    assert doc[1].cart is None and doc[1].orders == []
+    assert doc[1].cart.albums is None and doc[1].cart.balance is None
+    assert doc[1].orders == []
     assert doc[2].cart.balance == 20.0 and doc[2].orders == []
     act = {x.user_id: x.summary for x in acc.user_activity(users, orders, cart).collect()}
     assert act == {1: "", 2: "1 albums in cart."}
