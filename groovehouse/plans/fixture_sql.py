@@ -127,7 +127,12 @@ VIEWS: dict[str, str] = {
         FROM ext_albums e JOIN songs s ON s.album_id = e.src_album_id""",
     "form_fields": """SELECT 'po-' || CAST(purchase_order AS VARCHAR) AS form_id,
             k.key, k.value
-        FROM purchase_order_lines, LATERAL (VALUES
+        FROM (SELECT l.*, a.artist_id, a.title, r.name FROM purchase_order_lines l
+              LEFT JOIN albums a ON a.album_id = l.album_id
+              LEFT JOIN artists r ON r.artist_id = a.artist_id) pl, LATERAL (VALUES
+            ('artist_id_' || CAST(line AS VARCHAR), ' ' || CAST(artist_id AS VARCHAR) || ' '),
+            ('name_' || CAST(line AS VARCHAR), ' ' || name || ' '),
+            ('title_' || CAST(line AS VARCHAR), ' ' || title || ' '),
             ('album_id_' || CAST(line AS VARCHAR), ' ' || CAST(album_id AS VARCHAR) || ' '),
             ('quantity_' || CAST(line AS VARCHAR), ' ' || CAST(quantity AS VARCHAR) || ' '),
             ('line_total_' || CAST(line AS VARCHAR), ' ' || CAST(line_total AS VARCHAR) || ' ')

@@ -22,9 +22,11 @@ def forms_to_rows(s):
 
 
 @register("form_lines", """
-SELECT 'po-' || CAST(purchase_order AS VARCHAR) AS form_id, line, album_id, quantity,
-       CAST(round(line_total, 2) AS DOUBLE) AS line_total
-FROM purchase_order_lines""")
+SELECT 'po-' || CAST(l.purchase_order AS VARCHAR) AS form_id, l.line, a.artist_id,
+       trim(r.name) AS artist, l.album_id, trim(a.title) AS album, l.quantity,
+       CAST(round(l.line_total, 2) AS DOUBLE) AS line_total
+FROM purchase_order_lines l LEFT JOIN albums a ON a.album_id = l.album_id
+LEFT JOIN artists r ON r.artist_id = a.artist_id""")
 def form_lines(s):
     kv = s.form_fields.filter(F.col("form_id").startswith("po-"))
     return forms.line_form_rows(kv).withColumn("line_total", money("line_total"))

@@ -344,11 +344,19 @@ class Shop:
     @cached_property
     def form_fields(self) -> DataFrame:
         """SRC-2 input: (form_id, key, value) pairs, values padded with blanks."""
-        pol = self.purchase_order_lines
+        pol = (self.purchase_order_lines
+               .join(self.albums.select("album_id", "artist_id", "title"), "album_id", "left")
+               .join(self.artists.select("artist_id", "name"), "artist_id", "left"))
         pad = lambda c: F.concat(F.lit(" "), c.cast("string"), F.lit(" "))
         fid = F.concat(F.lit("po-"), F.col("purchase_order").cast("string"))
         n = F.col("line").cast("string")
         lines = pol.select(fid.alias("form_id"), F.explode(F.array(
+            F.struct(F.concat(F.lit("artist_id_"), n).alias("key"),
+                     pad(F.col("artist_id")).alias("value")),
+            F.struct(F.concat(F.lit("name_"), n).alias("key"),
+                     pad(F.col("name")).alias("value")),
+            F.struct(F.concat(F.lit("title_"), n).alias("key"),
+                     pad(F.col("title")).alias("value")),
             F.struct(F.concat(F.lit("album_id_"), n).alias("key"),
                      pad(F.col("album_id")).alias("value")),
             F.struct(F.concat(F.lit("quantity_"), n).alias("key"),

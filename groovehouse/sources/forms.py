@@ -11,7 +11,7 @@ from ..functions.exprs import parse_duration
 
 # Row fields of the two forms the reference reads (fixed values).
 SONG_FIELDS = ["track", "song", "duration"]
-LINE_FIELDS = ["album_id", "quantity", "line_total"]
+LINE_FIELDS = ["artist_id", "name", "album_id", "title", "quantity", "line_total"]
 
 
 def forms_to_rows(kv: DataFrame, fields: list[str]) -> DataFrame:
@@ -41,7 +41,10 @@ def line_form_rows(kv: DataFrame) -> DataFrame:
     """Purchase-order form: album id, quantity and line total as numbers."""
     r = forms_to_rows(kv, LINE_FIELDS)
     return r.select("form_id", F.col("n").alias("line"),
+                    F.col("artist_id").try_cast("bigint").alias("artist_id"),
+                    F.col("name").alias("artist"),
                     F.col("album_id").try_cast("bigint").alias("album_id"),
+                    F.col("title").alias("album"),
                     F.col("quantity").try_cast("bigint").alias("quantity"),
                     F.col("line_total").try_cast("decimal(12,2)").alias("line_total"))
 
