@@ -38,9 +38,15 @@ def po_messages(pos: DataFrame, lines: DataFrame, client_id: str = "shop") -> Da
     return msg
 
 
-def save_snapshot(df: DataFrame, base: str, version: int) -> str:
+def save_snapshot(df: DataFrame, base: str, version: int,
+                  partition_by: list[str] | None = None) -> str:
     """SNK-3: write a changed table as a new version folder, never over the
-    input it was computed from.  Returns the written path."""
+    input it was computed from.  ``partition_by`` (e.g. ``["status"]`` for
+    purchase orders) lays the version out in folders a later filter on that
+    column prunes.  Returns the written path."""
     path = f"{base.rstrip('/')}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return path

@@ -323,3 +323,15 @@ def test_stamp_now_or_fixed(spark):
                                exprs.stamp("2024-06-01 00:00:00").alias("b"))
     r = df.first()
     assert r.b == dt.datetime(2024, 6, 1) and r.a.year >= 2024
+
+
+def test_partitioned_snapshot_prunes_by_status(spark, shop_small):
+    from groovehouse.sinks import save_snapshot
+    from groovehouse.streaming.streams import scratch_root
+    root = scratch_root(spark, "po")
+    path = save_snapshot(shop_small.purchase_orders, root, 1, partition_by=["status"])
+    df = spark.read.parquet(path).filter(F.col("status") == "pending-buyer")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan
+    assert df.count() == shop_small.purchase_orders.filter(
+        F.col("status") == "pending-buyer").count()
