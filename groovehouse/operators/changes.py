@@ -288,13 +288,24 @@ def diff_songs(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff_rows(old, new, ["album_id", "track"], ["duration", "song"])
 
 
-def change_summary(diff: DataFrame, key: str) -> DataFrame:
-    """A-16: per key, how many rows were added, updated, deleted."""
-    return diff.groupBy(key).agg(
+def change_summary(diff: DataFrame, key: str, header: DataFrame | None = None) -> DataFrame:
+    """A-16: per key, how many child rows were added, updated, deleted, and
+    whether the parent's own fields changed (``header``: keys whose header
+    changed, e.g. from ``changed_fields``); ``changed`` if anything did."""
+    s = diff.groupBy(key).agg(
         F.count_if(F.col("op") == "add").cast("bigint").alias("added"),
         F.count_if(F.col("op") == "update").cast("bigint").alias("updated"),
-        F.count_if(F.col("op") == "delete").cast("bigint").alias("deleted"),
-        F.lit(True).alias("changed"))
+        F.count_if(F.col("op") == "delete").cast("bigint").alias("deleted"))
+    if header is None:
+        return s.withColumn("header_changed", F.lit(False)).withColumn("changed", F.lit(True))
+    h = header.select(key).distinct().withColumn("_h", F.lit(True))
+    j = s.join(h, key, "full_outer")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
+              ("added", "updated", "deleted")]
+    hc = F.coalesce("_h", F.lit(False))
+    return j.select(key, *counts, hc.alias("header_changed"),
+                    (hc | (F.coalesce("added", F.lit(0)) + F.coalesce("updated", F.lit(0))
+                           + F.coalesce("deleted", F.lit(0)) > 0)).alias("changed"))
 
 
 def merge_songs(songs: DataFrame, albums: DataFrame, new: DataFrame, at: str

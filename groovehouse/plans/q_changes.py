@@ -435,12 +435,39 @@ def diff_songs(s):
 
 
 @register("change_summary", f"""
-SELECT album_id, CAST(count(*) FILTER (WHERE op = 'add') AS BIGINT) AS added,
-       CAST(count(*) FILTER (WHERE op = 'update') AS BIGINT) AS updated,
-       CAST(count(*) FILTER (WHERE op = 'delete') AS BIGINT) AS deleted, true AS changed
-FROM {DIFF_SONGS} WHERE op IS NOT NULL GROUP BY album_id""")
+WITH d AS (SELECT album_id, CAST(count(*) FILTER (WHERE op = 'add') AS BIGINT) AS added,
+                  CAST(count(*) FILTER (WHERE op = 'update') AS BIGINT) AS updated,
+                  CAST(count(*) FILTER (WHERE op = 'delete') AS BIGINT) AS deleted
+           FROM {DIFF_SONGS} WHERE op IS NOT NULL GROUP BY album_id),
+h AS (SELECT DISTINCT n.album_id FROM {PATCHED_ALBUMS} n JOIN albums o ON o.album_id = n.album_id
+      WHERE n.title IS DISTINCT FROM o.title OR n.release_year IS DISTINCT FROM o.release_year
+         OR n.price IS DISTINCT FROM o.price OR n.artist_id IS DISTINCT FROM o.artist_id
+         OR n.photo IS DISTINCT FROM o.photo)
+SELECT coalesce(d.album_id, h.album_id) AS album_id, coalesce(d.added, 0) AS added,
+       coalesce(d.updated, 0) AS updated, coalesce(d.deleted, 0) AS deleted,
+       h.album_id IS NOT NULL AS header_changed,
+       h.album_id IS NOT NULL OR coalesce(d.added, 0) + coalesce(d.updated, 0)
+                                  + coalesce(d.deleted, 0) > 0 AS changed
+FROM d FULL OUTER JOIN h ON h.album_id = d.album_id""")
 def change_summary(s):
-    return ch.change_summary(ch.diff_songs(s.songs, s.new_songs), "album_id")
+    new = ch.patch_rows(s.albums, s.album_patch, "album_id", "modified", PATCH_AT)
+    cf = ch.changed_fields(s.albums, new, ["album_id"],
+                           ["title", "release_year", "price", "artist_id", "photo"])
+    header = cf.filter(F.col("title").isNotNull() | F.col("release_year").isNotNull()
+                       | F.col("price").isNotNull() | F.col("artist_id").isNotNull()
+                       | F.col("photo").isNotNull())
+    return ch.change_summary(ch.diff_songs(s.songs, s.new_songs), "album_id", header)
+
+
+@register("line_change_summary", f"""
+SELECT purchase_order, CAST(count(*) FILTER (WHERE op = 'add') AS BIGINT) AS added,
+       CAST(count(*) FILTER (WHERE op = 'update') AS BIGINT) AS updated,
+       CAST(count(*) FILTER (WHERE op = 'delete') AS BIGINT) AS deleted,
+       false AS header_changed, true AS changed
+FROM {DIFF_LINES.format(new='new_lines')} GROUP BY purchase_order""")
+def line_change_summary(s):
+    return ch.change_summary(ch.diff_lines(s.purchase_order_lines, s.new_lines),
+                             "purchase_order")
 
 
 @register("merge_songs", "SELECT album_id, track, duration, song FROM new_songs")
