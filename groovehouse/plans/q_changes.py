@@ -691,3 +691,31 @@ WHERE NOT EXISTS (SELECT 1 FROM new_lines n
 def removed_lines(s):
     return ch.removed_rows(s.purchase_order_lines, s.new_lines, ["purchase_order", "line"]) \
         .select("purchase_order", "line", "album_id", "quantity")
+
+
+# ---- bulk changes through parallel arrays (D-2, D-6) -------------------------
+
+def _as_arrays_and_back(df):
+    """The reference ships row sets as parallel arrays; do the same trip."""
+    arr = ch.rows_to_arrays(df, ["album_id"], ["track", "duration", "song"], "track")
+    return ch.arrays_to_rows(arr, ["album_id"], ["track", "duration", "song"])
+
+
+@register("update_songs", """
+SELECT s.album_id, s.track,
+       CASE WHEN n.track IS NOT NULL THEN n.duration ELSE s.duration END AS duration,
+       CASE WHEN n.track IS NOT NULL THEN n.song ELSE s.song END AS song
+FROM songs s LEFT JOIN new_songs n ON n.album_id = s.album_id AND n.track = s.track""")
+def update_songs(s):
+    rows_ = _as_arrays_and_back(s.new_songs)
+    return ch.update_by_key(s.songs, rows_, ["album_id", "track"], ["duration", "song"])
+
+
+@register("insert_songs", """
+SELECT album_id, track, duration, song FROM songs
+UNION ALL
+SELECT n.album_id, n.track, n.duration, n.song FROM new_songs n
+WHERE NOT EXISTS (SELECT 1 FROM songs s WHERE s.album_id = n.album_id AND s.track = n.track)""")
+def insert_songs(s):
+    added = ch.added_rows(s.songs, s.new_songs, ["album_id", "track"])
+    return ch.append_rows(s.songs, _as_arrays_and_back(added))

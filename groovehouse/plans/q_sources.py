@@ -103,3 +103,25 @@ FROM artists r LEFT JOIN al ON al.artist_id = r.artist_id""")
 def artist_documents(s):
     from ..operators.catalogue import artist_with_albums
     return to_documents(artist_with_albums(s.artists, s.albums), drop_nulls=True)
+
+
+@register("parse_dispatch_messages", f"""
+SELECT dispatch_id, status, strftime(estimated_delivery, {TS}) AS estimated_delivery
+FROM dispatch_msgs WHERE kind = 'update'
+UNION ALL
+SELECT dispatch_id, status, CAST(NULL AS VARCHAR) FROM dispatch_msgs WHERE kind = 'note'""")
+def parse_dispatch_messages(s):
+    """SRC-4: dispatch notes and updates sent as JSON text, parsed back."""
+    from ..sources.messages import parse_dispatch_notes, parse_dispatch_updates
+    m = s.dispatch_msgs
+    upd = m.filter(F.col("kind") == "update").select(F.to_json(F.struct(
+        "dispatch_id", "status",
+        F.date_format("estimated_delivery", "yyyy-MM-dd HH:mm:ss").alias("estimated_delivery")))
+        .alias("payload"))
+    notes = m.filter(F.col("kind") == "note").select(F.to_json(F.struct(
+        "dispatch_id", "purchase_order", "status", "address")).alias("payload"))
+    u = parse_dispatch_updates(upd).select("dispatch_id", "status", "estimated_delivery")
+    n = parse_dispatch_notes(notes).select(
+        "dispatch_id", "status", F.lit(None).cast("timestamp_ntz").alias("estimated_delivery"))
+    return u.unionByName(n).withColumn(
+        "estimated_delivery", F.date_format("estimated_delivery", "yyyy-MM-dd HH:mm:ss"))
