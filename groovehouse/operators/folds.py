@@ -74,8 +74,9 @@ def ordered_fold(df: DataFrame, group: list[str], order: list[str],
                  schema: str, partitions: int | None = None) -> DataFrame:
     """Stream each group's rows in ``order`` through ``step`` (a generator
     over pandas batches that keeps per-group state only)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartition(n, *group).sortWithinPartitions(*group, *order)
+    # No pinned count unless asked: AQE sizes the shuffle to the data.
+    parted = df.repartition(partitions, *group) if partitions else df.repartition(*group)
+    return (parted.sortWithinPartitions(*group, *order)
             .mapInPandas(step, schema))
 
 
@@ -224,9 +225,10 @@ def fold_draft_quantities(lines: DataFrame, albums: DataFrame, events: DataFrame
     ev = (events.select(*keys, "ts", "event_id", F.col("delta").cast("bigint"))
           .join(start.select(*keys, "_q0"), keys, "left").join(cap, "album_id")
           .withColumn("_m", F.greatest(F.coalesce("_q0", F.lit(0)), F.col("_cap"), F.lit(1))))
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, "ts", "event_id"]
-    segs = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = (ev.repartitionByRange(partitions, *order) if partitions
+              else ev.repartitionByRange(*order))
+    segs = (ranged.sortWithinPartitions(*order)
             .mapInPandas(_draft_segments, SEGMENT_SCHEMA))
     # One row per (group, partition it spans): a bounded list per group.
     per = segs.groupBy(*keys).agg(

@@ -6,7 +6,9 @@ is part of it, so a hot sort value is split across ranges), numbered inside
 each partition, and pinned with a reliable checkpoint: range bounds are
 sampled at run time, and a re-evaluation after a lost executor could draw
 other bounds and repeat positions.  Per-partition counts (one row per
-partition, a proven bound) give the offsets, broadcast back.
+partition, a proven bound) give the offsets, broadcast back.  The range
+shuffle is not pinned to a count, so AQE can merge adjacent ranges of a
+small input; merged ranges stay in order, which is all the offsets need.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
                      partitions: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 1..n in the total order ``order`` (which must end in
     a unique key)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without a pinned count AQE may merge adjacent ranges (order is kept),
+    # so small inputs do not pay for the configured shuffle width.
+    ranged = (df.repartitionByRange(partitions, *order) if partitions
+              else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     tagged = cut_lineage(ranged.withColumn("_gh_pid", F.spark_partition_id())
                          .withColumn("_gh_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_gh_pid").agg(F.count(F.lit(1)).alias("_gh_n"),
