@@ -91,17 +91,15 @@ def order_documents(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
     items = _items(bridge, albums, artists).join(orders, "order_id")
     sums = items.groupBy("user_id", "order_id", "dispatched").agg(
         money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
-    # An order belongs to one user: bridge rows per order bound the items.
+    # An order belongs to one user: bridge rows per order bound its items.
+    split_orders = has_hot_parent(bridge.select("order_id"), ["order_id"])
     per_order = (nest_children(items, ["user_id", "order_id"], _album_entry(), ["album_id"],
-                               "albums", bound=bridge.join(orders.select("order_id", "user_id"),
-                                                           "order_id").select("user_id",
-                                                                              "order_id"))
+                               "albums", known_small=not split_orders)
                  .withColumnRenamed("part", "albums_part")
                  .join(sums, ["user_id", "order_id"]))
     # With no order split into parts, a user has exactly one row per order,
     # so the orders table bounds the per-user test without re-running the
     # nesting above.
-    split_orders = has_hot_parent(bridge.select("order_id"), ["order_id"])
     per_user = nest_children(per_order, ["user_id"], F.struct(
         "order_id", "albums_part", ts_text("dispatched").alias("dispatched"), "balance",
         "albums"), ["order_id", "albums_part"], "orders",

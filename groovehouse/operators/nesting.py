@@ -28,19 +28,20 @@ def has_hot_parent(rows: DataFrame, keys: list[str], max_items: int = DOC_PART_I
 
 def nest_children(children: DataFrame, keys: list[str], item: Column, order: list[str],
                   name: str, max_items: int = DOC_PART_ITEMS,
-                  bound: DataFrame | None = None) -> DataFrame:
+                  bound: DataFrame | None = None, known_small: bool = False) -> DataFrame:
     """(keys..., part, name): ``item`` structs sorted by their leading
     fields, which must be the ``order`` columns (unique inside a parent).
 
     ``bound`` (optional) holds the ``keys`` columns of a table with at least
     as many rows per parent as ``children`` — typically the raw child table
     before inner enrichment joins — so the hot-parent test reads one or two
-    key columns instead of re-running those joins."""
+    key columns instead of re-running those joins.  ``known_small`` skips
+    the test when the caller has already shown no parent is hot."""
     def collect(df: DataFrame, group: list[str]) -> DataFrame:
         return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))
 
     src = (children if bound is None else bound).select(*keys)
-    if not has_hot_parent(src, keys, max_items):
+    if known_small or not has_hot_parent(src, keys, max_items):
         return collect(children, keys).withColumn("part", F.lit(0).cast("bigint")) \
             .select(*keys, "part", name)
     hot = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
