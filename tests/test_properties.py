@@ -184,3 +184,27 @@ def test_draft_fold_hot_group_split_across_partitions(spark):
             x = max(0, x - 1)
         state[a] = (x, be, b)
     assert got == {a: v for a, v in state.items() if v[0] > 0}
+
+
+def test_folds_carry_state_across_arrow_batches(spark, shop_small):
+    """Tiny Arrow batches: a group's events arrive in many batches."""
+    s = shop_small
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        adm = ch.admit_cart_events(s.albums, s.cart, s.cart_events)
+        got = sorted((r.event_id, r.accepted, r.stock_after, r.cart_after)
+                     for r in adm.collect())
+        drafts = {(r.purchase_order, r.album_id): r.quantity for r in
+                  ch.fold_draft_lines(s.purchase_order_lines, s.albums,
+                                      s.draft_events).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    stock = {r.album_id: r.stock for r in s.albums.collect()}
+    cart = {(r.user_id, r.album_id): r.quantity for r in s.cart.collect()}
+    evs = [(r.event_id, r.ts, r.user_id, r.album_id, r.delta) for r in s.cart_events.collect()
+           if r.album_id in stock]
+    assert got == _py_admit(stock, cart, evs)
+    want = {(r.purchase_order, r.album_id): r.quantity for r in
+            ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events).collect()}
+    assert drafts == want
