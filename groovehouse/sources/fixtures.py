@@ -258,10 +258,14 @@ class Shop:
 
     @cached_property
     def confirmations(self) -> DataFrame:
-        """D-18 message form: one JSON text per order (SRC-4 input)."""
+        """D-18 message form: one JSON text per order, or per part of a huge
+        order (SRC-4 input)."""
+        from ..operators.nesting import nest_children
         rows = self.confirmation_rows
-        return (rows.groupBy("purchase_order")
-                .agg(F.collect_list(F.struct("line", "confirmed", "album_id")).alias("lines"))
+        # A huge order is confirmed in several messages (parts of its lines).
+        return (nest_children(rows, ["purchase_order"],
+                              F.struct("line", "confirmed", "album_id"), ["line"], "lines",
+                              bound=rows.select("purchase_order"))
                 .select(F.to_json(F.struct(
                     F.lit("supplier-1").alias("client_id"),
                     F.col("purchase_order").alias("purchase_order_id"),
