@@ -453,3 +453,19 @@ def fold_draft_lines(lines: DataFrame, albums: DataFrame, events: DataFrame) ->
             .select("purchase_order", "line", "album_id", "quantity",
                     wholesale_total("price", "quantity").alias("line_total")))
 
+
+
+def cart_checkout_cycle(albums: DataFrame, cart: DataFrame, events: DataFrame,
+                        users: DataFrame, orders: DataFrame, bridge: DataFrame,
+                        requests: DataFrame, at: str | None = None
+                        ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """SURVEY §3 flow B over a batch: cart events are admitted in order per
+    album (D-22, oversold adds refused), the cart and stock move with the
+    accepted ones (D-8, D-9), then the requesting users check out (D-15).
+    Returns (albums, cart, orders, bridge, admitted events); callers audit
+    the new albums (C-3) before writing them."""
+    admitted = admit_cart_events(albums, cart, events)
+    new_albums = move_stock(albums, admitted)
+    new_cart = cart_after_admission(cart, admitted)
+    o, b, c, _empty = checkout(users, new_cart, orders, bridge, requests, at)
+    return new_albums, c, o, b, admitted

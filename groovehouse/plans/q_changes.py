@@ -719,3 +719,31 @@ WHERE NOT EXISTS (SELECT 1 FROM songs s WHERE s.album_id = n.album_id AND s.trac
 def insert_songs(s):
     added = ch.added_rows(s.songs, s.new_songs, ["album_id", "track"])
     return ch.append_rows(s.songs, _as_arrays_and_back(added))
+
+
+@register("cart_checkout_cycle", f"""
+WITH {ADMIT},
+new_cart AS (SELECT user_id, album_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM (
+               SELECT user_id, album_id, quantity FROM cart
+               UNION ALL SELECT user_id, album_id, delta FROM adm WHERE accepted)
+             GROUP BY user_id, album_id HAVING sum(quantity) > 0),
+buyers AS (SELECT r.user_id FROM checkout_requests r
+           WHERE r.user_id IN (SELECT user_id FROM users)
+             AND r.user_id IN (SELECT user_id FROM new_cart)),
+ids AS (SELECT user_id, CAST((SELECT max(order_id) FROM orders_h)
+                             + row_number() OVER (ORDER BY user_id) AS BIGINT) AS order_id
+        FROM buyers)
+SELECT i.order_id, i.user_id, c.album_id, c.quantity
+FROM ids i JOIN new_cart c ON c.user_id = i.user_id""")
+def cart_checkout_cycle(s):
+    from ..operators.audits import audit_checks
+    albums, _cart, orders, bridge, _adm = ch.cart_checkout_cycle(
+        s.albums, s.cart, s.cart_events, s.users, s.orders_h, s.orders_bridge,
+        s.checkout_requests, PATCH_AT)
+    # C-3 before the snapshot would be written: admission never oversells.
+    if not audit_checks({"albums": albums, "dispatches": s.dispatches,
+                         "purchase_orders": s.purchase_orders, "users": s.users}) \
+            .filter(F.col("column") == "stock").isEmpty():
+        raise ValueError("negative stock after admission")
+    new = orders.join(s.orders_h.select("order_id"), "order_id", "left_anti")
+    return new.join(bridge, "order_id").select("order_id", "user_id", "album_id", "quantity")
