@@ -91,11 +91,12 @@ def _admit_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     stock = 0
     held: dict[int, int] = {}
     for b in batches:
-        kinds = b["_kind"].to_numpy()
-        albums = b["album_id"].to_numpy()
-        users = b["user_id"].to_numpy()
-        deltas = b["delta"].to_numpy()
-        qty = b["_qty"].to_numpy()
+        # Plain lists: per-element access is much cheaper than numpy scalars.
+        kinds = b["_kind"].tolist()
+        albums = b["album_id"].tolist()
+        users = b["user_id"].tolist()
+        deltas = b["delta"].tolist()
+        qty = b["_qty"].tolist()
         n = len(b)
         acc = [False] * n
         s_after = [0] * n
