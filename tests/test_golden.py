@@ -335,3 +335,34 @@ def test_partitioned_snapshot_prunes_by_status(spark, shop_small):
     assert "PartitionFilters: [isnotnull(status" in plan
     assert df.count() == shop_small.purchase_orders.filter(
         F.col("status") == "pending-buyer").count()
+
+
+def test_null_order_in_every_sort_column(spark):
+    """Every album sort column, both directions, against PostgreSQL's rule
+    (NULL last ascending, first descending; id tie-break in the same
+    direction)."""
+    artists = _df(spark, "artists", [(1, "Ann", "a bio here", T0), (2, None, "no name", T0)])
+    albums = _df(spark, "albums", [
+        (10, "b", 2000, 1, Decimal("2.00"), "p", 1, T0),
+        (11, None, None, None, None, "p", 1, None),
+        (12, "a", 1999, 1, Decimal("2.00"), "p", 2, dt.datetime(2023, 1, 1)),
+        (13, "c", 2001, 0, Decimal("1.00"), "p", 2, T0)])
+    name_of = {1: "Ann", 2: None}
+    rows_ = {r[0]: r for r in albums.collect()}
+
+    def value(aid, col):
+        r = rows_[aid]
+        return {"name": name_of[r[6]], "title": r[1], "release_year": r[2], "stock": r[3],
+                "price": r[4], "modified": r[7]}[col]
+
+    for col in cat.ALBUM_SORTS:
+        for direction in ("ascending", "descending"):
+            got = [x.album_id for x in cat.album_page(albums, artists, 1, col,
+                                                      direction).collect()]
+            nulls = sorted([a for a in rows_ if value(a, col) is None],
+                           reverse=direction == "descending")
+            vals = sorted([a for a in rows_ if value(a, col) is not None],
+                          key=lambda a: (value(a, col), a),
+                          reverse=direction == "descending")
+            want = vals + nulls if direction == "ascending" else nulls + vals
+            assert got == want, (col, direction)
