@@ -34,3 +34,28 @@ def test_cart_stream_restarts_from_checkpoint(spark, shop_small):
     second = run_once(ev.filter(key >= mid))      # a new driver: same folders
     assert second.last > first.last              # batch ids continue from the checkpoint
     assert rows(second.latest("cart")) == rows(ch.fold_cart(empty, ev))
+
+
+def test_streams_available_now_equal_batch(spark, shop_small):
+    from groovehouse.sources.fixtures import PATCH_AT
+    from groovehouse.streaming.streams import stream_dispatch_updates
+    s = shop_small
+    root = scratch_root(spark, "avail")
+    s.cart_events.write.parquet(f"{root}/cart_in")
+    empty = s.cart.filter(F.lit(False))
+    st = VersionedState(spark, f"{root}/cart_state", {"cart": empty})
+    q = stream_cart(spark.readStream.schema(s.cart_events.schema).parquet(f"{root}/cart_in"),
+                    st, f"{root}/cart_chk", trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert rows(st.latest("cart")) == rows(ch.fold_cart(empty, s.cart_events))
+
+    s.dispatch_msgs.write.parquet(f"{root}/msg_in")
+    st2 = VersionedState(spark, f"{root}/d_state",
+                         {"dispatches": s.dispatches, "purchase_orders": s.purchase_orders})
+    q2 = stream_dispatch_updates(
+        spark.readStream.schema(s.dispatch_msgs.schema).parquet(f"{root}/msg_in"), st2,
+        f"{root}/d_chk", PATCH_AT, trigger={"availableNow": True})
+    q2.awaitTermination(300)
+    d, p = ch.apply_dispatch_updates(s.dispatches, s.purchase_orders, s.dispatch_msgs, PATCH_AT)
+    assert rows(st2.latest("dispatches")) == rows(d)
+    assert rows(st2.latest("purchase_orders")) == rows(p)
