@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COST, LINE_TOTAL, PRICE
-from ..session import cut_lineage
 
 # Derived tables materialised once per (application, folder, table).
 _MATERIALISED: dict[tuple[str, str, str], DataFrame] = {}
@@ -137,7 +136,8 @@ class Shop:
     def purchase_order_lines(self) -> DataFrame:
         """Lines numbered 1..n per order (skew-safe numbering, not a window
         per order).  The numbered table stands for a stored table: it is
-        materialised once per session and folder in the checkpoint folder."""
+        written once per session and folder as Parquet in the checkpoint
+        folder."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "purchase_order_lines")
         if key not in _MATERIALISED:
             _MATERIALISED[key] = self._number_lines()
@@ -160,8 +160,14 @@ class Shop:
         order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey",
                                           "l_quantity", "l_extendedprice", "l_shipdate")]
         ranked = rank_within(base, ["purchase_order"], order, "line")
-        return cut_lineage(ranked.select("purchase_order", "line", "album_id", "quantity",
-                                         "confirmed_quantity", "line_total"))
+        # Written as a Parquet table in the shared folder: later scans prune
+        # columns and push filters, which an RDD checkpoint would not allow.
+        from ..schemas import SCHEMAS
+        from ..streaming.streams import scratch_root
+        path = f"{scratch_root(self.spark, 'tables')}/purchase_order_lines"
+        cols = [f.name for f in SCHEMAS["purchase_order_lines"].fields]
+        ranked.select(*cols).write.parquet(path)
+        return self.spark.read.schema(SCHEMAS["purchase_order_lines"]).parquet(path)
 
     @cached_property
     def dispatches(self) -> DataFrame:
