@@ -10,6 +10,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 PYTHON_OK = {"admit_cart_events", "move_stock", "cart_after_admission", "fold_draft_lines",
+             "cart_checkout_cycle",
              "draft_quantities"}
 # Top-k pages and the bounded 50-user allow list gather into one task by design.
 SINGLE_OK = {"album_page", "album_page_title", "artist_page", "allow_list", "admit_users"}
