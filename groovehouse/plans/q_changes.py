@@ -312,8 +312,10 @@ def delete_rows(s):
     return left
 
 
-@register("rows_in_keys", """
-SELECT * FROM purchase_order_lines
+@register("rows_in_keys", f"""
+SELECT purchase_order, line, album_id, quantity, confirmed_quantity,
+       {_money('line_total')} AS line_total
+FROM purchase_order_lines
 WHERE purchase_order IN (SELECT purchase_order FROM purchase_orders WHERE status = 'pending-buyer')
 """)
 def rows_in_keys(s):

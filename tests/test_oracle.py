@@ -49,10 +49,20 @@ def test_every_query_registered_has_callable():
     assert len(NAMES) >= 100
 
 
+def _type(t) -> str:
+    t = str(t).upper()
+    return {"LONG": "BIGINT", "INTEGER": "INT", "STRING": "VARCHAR"}.get(t, t)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
-    got = E.queries()[name](spark, SF_SMALL).toPandas()
-    want = duck.execute(SQL[name]).fetchdf()
+    df = E.queries()[name](spark, SF_SMALL)
+    rel = duck.execute(SQL[name])
+    spark_types = {f.name: _type(f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {d[0]: _type(d[1]) for d in rel.description}
+    assert spark_types == duck_types
+    got = df.toPandas()
+    want = rel.fetchdf()
     gc, gr = _canon(got)
     wc, wr = _canon(want)
     assert gc == wc
