@@ -34,13 +34,20 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_SECONDS = 3600
+CHUNK_ROWS = 1_000_000   # most rows one (pair, chunk) window may hold
 
 
 def clamped_ledger(start: DataFrame, events: DataFrame, keys: list[str],
                    qty: str = "quantity", delta: str = "delta", ts: str = "ts",
-                   seq: str = "event_id", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+                   seq: str = "event_id", chunk_seconds: int = CHUNK_SECONDS,
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """End quantity per key after ``events`` on top of ``start``; a step
-    below zero is ignored.  Keys ending at 0 are kept (callers drop them)."""
+    below zero is ignored.  Keys ending at 0 are kept (callers drop them).
+
+    Chunks are hours of the pair's events.  A pair with an hour holding more
+    than ``chunk_rows`` events (a burst) is cut by rank instead: its rows are
+    numbered with the skew-safe per-key numbering and chunked every
+    ``chunk_rows`` rows, so no chunk window grows past the bound."""
     s = start.select(*keys, F.lit(-1).cast("bigint").alias("_chunk"),
                      F.lit(None).cast("timestamp_ntz").alias("_ts"),
                      F.lit(None).cast("bigint").alias("_seq"),
@@ -52,6 +59,17 @@ def clamped_ledger(start: DataFrame, events: DataFrame, keys: list[str],
                       F.col(ts).alias("_ts"), F.col(seq).cast("bigint").alias("_seq"),
                       F.col(delta).cast("bigint").alias("_d"))
     rows = s.unionByName(e)
+    busy = (e.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > chunk_rows).select(*keys).distinct())
+    if not busy.isEmpty():
+        from .positions import rank_within
+        calm = rows.join(busy, keys, "left_anti")
+        ranked = rank_within(rows.join(busy, keys, "left_semi"), keys,
+                             [F.col("_ts").asc_nulls_first(), F.col("_seq").asc_nulls_first()],
+                             "_r")
+        hot = ranked.withColumn("_chunk", F.floor((F.col("_r") - 1) / F.lit(chunk_rows))
+                                .cast("bigint")).drop("_r")
+        rows = calm.unionByName(hot.select(*calm.columns))
     # Chunk summaries: a window and an aggregate on the same keys share one shuffle.
     wc = (Window.partitionBy(*keys, "_chunk")
           .orderBy(F.col("_ts").asc_nulls_first(), F.col("_seq").asc_nulls_first())

@@ -57,3 +57,30 @@ def test_documents_exact_with_a_hot_artist(spark, shop_mid):
     assert ids == sorted(r.album_id for r in albums.collect())
     doc = cat.artist_with_albums(s.artists, albums)
     assert doc.filter("artist_id = 0").select(F.size("albums")).first()[0] == albums.count()
+
+
+def test_cart_ledger_burst_cut_by_rank(spark, shop_mid):
+    """All of a hot pair's events inside one hour: rank chunks of 7 rows."""
+    from groovehouse.operators.folds import clamped_ledger
+    ev = _hot_events(shop_mid).withColumn(
+        "ts", F.when((F.col("user_id") == 0) & (F.col("album_id") == 0),
+                     F.lit("2024-03-01 10:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval(secs=(F.col("event_id") % 3000) / 1000))
+        .otherwise(F.col("ts")))
+    start = shop_mid.cart
+    got = rows(clamped_ledger(start, ev, ["user_id", "album_id"], chunk_rows=7)
+               .filter("quantity > 0"))
+    want = rows(clamped_ledger(start, ev, ["user_id", "album_id"], chunk_rows=10 ** 9)
+                .filter("quantity > 0"))
+    assert got == want
+    w = (Window.partitionBy("user_id", "album_id")
+         .orderBy(F.col("ts").asc_nulls_first(), F.col("event_id").asc_nulls_first())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    allev = (start.select("user_id", "album_id", F.lit(None).cast("timestamp_ntz").alias("ts"),
+                          F.lit(None).cast("bigint").alias("event_id"),
+                          F.col("quantity").alias("delta"))
+             .unionByName(ev.select("user_id", "album_id", "ts", "event_id", "delta")))
+    plain = (allev.withColumn("run", F.sum("delta").over(w)).groupBy("user_id", "album_id")
+             .agg((F.sum("delta") - F.least(F.lit(0), F.min("run"))).alias("quantity"))
+             .filter("quantity > 0"))
+    assert got == rows(plain)
