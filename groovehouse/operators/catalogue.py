@@ -18,6 +18,12 @@ ALBUM_SORTS = ("name", "title", "stock", "price", "release_year", "modified")
 ARTIST_SORTS = ("name", "modified")
 
 
+def _offset(page: int) -> int:
+    if page < 1:
+        raise ValueError("page numbers start at 1")
+    return (page - 1) * PAGE_SIZE
+
+
 def _order(col: str, key: str, direction: str) -> list[Column]:
     """Sort key plus id tie-break in the same direction; NULL last on
     ascending, first on descending (PostgreSQL's order)."""
@@ -61,7 +67,7 @@ def album_page(albums: DataFrame, artists: DataFrame, page: int, sort: str,
         raise ValueError(f"sort must be one of {ALBUM_SORTS}")
     listing = album_listing_columns(albums_with_artist(albums, artists, q))
     return (listing.orderBy(*_order(sort, "album_id", direction))
-            .offset((page - 1) * PAGE_SIZE).limit(PAGE_SIZE))
+            .offset(_offset(page)).limit(PAGE_SIZE))
 
 
 def album_counts(albums: DataFrame) -> DataFrame:
@@ -86,7 +92,7 @@ def artist_page(artists: DataFrame, albums: DataFrame, page: int, sort: str,
         raise ValueError(f"sort must be one of {ARTIST_SORTS}")
     return (artist_listing(artists, albums, q)
             .orderBy(*_order(sort, "artist_id", direction))
-            .offset((page - 1) * PAGE_SIZE).limit(PAGE_SIZE))
+            .offset(_offset(page)).limit(PAGE_SIZE))
 
 
 def artist_index(artists: DataFrame) -> DataFrame:

@@ -366,3 +366,13 @@ def test_null_order_in_every_sort_column(spark):
                           reverse=direction == "descending")
             want = vals + nulls if direction == "ascending" else nulls + vals
             assert got == want, (col, direction)
+
+
+def test_local_time_in_another_zone_and_page_numbers(spark):
+    import pytest
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 5),), (dt.datetime(2024, 7, 9, 22, 0),)],
+                               "t timestamp_ntz")
+    got = [r[0] for r in df.select(exprs.local_time("t", "Europe/Berlin")).collect()]
+    assert got == ["1.1.2024 01:05", "10.7.2024 00:00"]
+    with pytest.raises(ValueError):
+        cat.album_page(_albums(spark), _artists(spark), 0, "title", "ascending")
