@@ -92,33 +92,36 @@ def audit_unique(users: DataFrame) -> DataFrame:
 
 def audit_input(albums: DataFrame, artists: DataFrame, songs: DataFrame, users: DataFrame
                 ) -> DataFrame:
-    """C-6: form rules as (entity, id, rule) rows, one per broken rule."""
-    def rule(df: DataFrame, entity: str, id_col: Column, name: str, broken: Column
-             ) -> DataFrame:
-        return df.filter(broken).select(F.lit(entity).alias("entity"),
-                                        id_col.cast("string").alias("id"),
-                                        F.lit(name).alias("rule"))
-
-    a_id = F.col("album_id")
-    tracks = songs.groupBy("album_id").agg(F.count(F.lit(1)).alias("n"))
-    song_id = F.concat_ws(",", F.col("album_id").cast("string"), F.col("track").cast("string"))
+    """C-6: form rules as (entity, id, rule) rows, one per broken rule.  Each
+    table is read once: every row gets the array of the rules it breaks,
+    which is exploded."""
+    def broken(df: DataFrame, entity: str, id_col: Column, rules: list[tuple[str, Column]]
+               ) -> DataFrame:
+        names = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules])
+        return (df.select(F.lit(entity).alias("entity"), id_col.cast("string").alias("id"),
+                          F.explode(F.array_compact(names)).alias("rule")))
+
+    tracks = songs.groupBy("album_id").agg(F.count(F.lit(1)).alias("_n"))
     dur = format_duration("duration")
     return _union([
-        rule(albums, "album", a_id, "title length",
-             F.coalesce(F.length("title"), F.lit(0)) < TITLE_MIN),
-        rule(albums, "album", a_id, "release year",
-             ~F.coalesce(F.col("release_year").between(YEAR_MIN, YEAR_MAX), F.lit(False))),
-        rule(albums, "album", a_id, "price format",
-             ~F.coalesce(F.col("price").cast("string").rlike(PRICE_PATTERN), F.lit(False))),
-        rule(albums.join(tracks, "album_id", "left"), "album", a_id, "track count",
-             ~F.coalesce(F.col("n"), F.lit(0)).between(TRACKS_MIN, TRACKS_MAX)),
-        rule(songs.filter(F.col("duration").isNotNull()), "song", song_id, "duration format",
-             ~dur.rlike(DURATION_PATTERN)),
-        rule(artists, "artist", F.col("artist_id"), "name length",
-             F.coalesce(F.length("name"), F.lit(0)) < ARTIST_MIN),
-        rule(artists, "artist", F.col("artist_id"), "bio length",
-             F.coalesce(F.length("bio"), F.lit(0)) < BIO_MIN),
-        rule(users, "user", F.col("user_id"), "username length",
-             ~F.coalesce(F.length("username").between(USERNAME_MIN, USERNAME_MAX),
-                         F.lit(False))),
+        broken(albums.join(tracks, "album_id", "left"), "album", F.col("album_id"), [
+            ("title length", F.coalesce(F.length("title"), F.lit(0)) < TITLE_MIN),
+            ("release year", ~F.coalesce(F.col("release_year").between(YEAR_MIN, YEAR_MAX),
+                                         F.lit(False))),
+            ("price format", ~F.coalesce(F.col("price").cast("string").rlike(PRICE_PATTERN),
+                                         F.lit(False))),
+            ("track count", ~F.coalesce(F.col("_n"), F.lit(0)).between(TRACKS_MIN, TRACKS_MAX)),
+        ]),
+        broken(songs.filter(F.col("duration").isNotNull()), "song",
+               F.concat_ws(",", F.col("album_id").cast("string"), F.col("track").cast("string")),
+               [("duration format", ~dur.rlike(DURATION_PATTERN))]),
+        broken(artists, "artist", F.col("artist_id"), [
+            ("name length", F.coalesce(F.length("name"), F.lit(0)) < ARTIST_MIN),
+            ("bio length", F.coalesce(F.length("bio"), F.lit(0)) < BIO_MIN),
+        ]),
+        broken(users, "user", F.col("user_id"), [
+            ("username length", ~F.coalesce(F.length("username").between(USERNAME_MIN,
+                                                                         USERNAME_MAX),
+                                            F.lit(False))),
+        ]),
     ])
