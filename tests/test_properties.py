@@ -208,3 +208,28 @@ def test_folds_carry_state_across_arrow_batches(spark, shop_small):
     want = {(r.purchase_order, r.album_id): r.quantity for r in
             ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events).collect()}
     assert drafts == want
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.sampled_from([-1, 1]),
+                          st.integers(0, 30)), min_size=1, max_size=40),
+       st.tuples(st.integers(0, 3), st.integers(0, 3)),
+       st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(1, 2)),
+                max_size=4, unique_by=lambda t: (t[0], t[1])))
+def test_admission_random_streams(spark, evs, stocks, holds):
+    from decimal import Decimal
+
+    from groovehouse.schemas import SCHEMAS
+    albums = spark.createDataFrame(
+        [(a, "t", 2000, stocks[a], Decimal("1.00"), "p", 1, T0) for a in (0, 1)],
+        SCHEMAS["albums"])
+    cart = spark.createDataFrame([(u, a, q) for u, a, q in holds],
+                                 "user_id long, album_id long, quantity long")
+    data = [(i, T0 + dt.timedelta(minutes=m), u, a, d) for i, (u, a, d, m) in enumerate(evs)]
+    events = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, "
+                                         "album_id long, delta long")
+    got = sorted((r.event_id, r.accepted, r.stock_after, r.cart_after)
+                 for r in ch.admit_cart_events(albums, cart, events).collect())
+    want = _py_admit({0: stocks[0], 1: stocks[1]},
+                     {(u, a): q for u, a, q in holds}, data)
+    assert got == want
