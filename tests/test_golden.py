@@ -376,3 +376,12 @@ def test_local_time_in_another_zone_and_page_numbers(spark):
     assert got == ["1.1.2024 01:05", "10.7.2024 00:00"]
     with pytest.raises(ValueError):
         cat.album_page(_albums(spark), _artists(spark), 0, "title", "ascending")
+
+
+def test_documents_with_and_without_null_fields(spark):
+    from groovehouse.sinks import to_documents
+    df = spark.createDataFrame([(1, None, [1, 2])], "id long, note string, xs array<long>")
+    dropped = to_documents(df, drop_nulls=True).first().value
+    kept = to_documents(df, drop_nulls=False).first().value
+    assert dropped == '{"id":1,"xs":[1,2]}'
+    assert kept == '{"id":1,"note":null,"xs":[1,2]}'
