@@ -385,3 +385,16 @@ def test_documents_with_and_without_null_fields(spark):
     kept = to_documents(df, drop_nulls=False).first().value
     assert dropped == '{"id":1,"xs":[1,2]}'
     assert kept == '{"id":1,"note":null,"xs":[1,2]}'
+
+
+def test_snapshot_never_overwrites_a_version(spark, shop_small):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from groovehouse.sinks import save_snapshot
+    from groovehouse.streaming.streams import scratch_root
+    root = scratch_root(spark, "versions")
+    save_snapshot(shop_small.artists, root, 3)
+    with pytest.raises(AnalysisException):
+        save_snapshot(shop_small.artists, root, 3)
+    assert spark.read.parquet(f"{root}/v=3").count() == shop_small.artists.count()
