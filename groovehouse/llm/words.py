@@ -122,7 +122,10 @@ def distinct_per_text(hashes: np.ndarray, text_of: np.ndarray, n_texts: int
     place in them (n + 1 of them)."""
     if len(hashes) == 0:
         return hashes, np.zeros(n_texts + 1, np.int64)
-    order = np.lexsort((hashes, text_of))
+    order = np.argsort(hashes)
+    # 16-bit numbers are sorted by radix.
+    small = text_of.astype(np.uint16) if n_texts < 1 << 16 else text_of
+    order = order[np.argsort(small[order], kind="stable")]
     h, t = hashes[order], text_of[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
