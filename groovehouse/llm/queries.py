@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, sharding
+from . import decontamination, fingerprints, packing, sharding
 from .common import plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+#: The tokenizer of op5 and of the pipeline, by name in the public set.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@register("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY),
+                                  keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
