@@ -19,25 +19,26 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import shuffle_width, without
 
 RESULT = ["shard", "slot", "bucket"]
 
 
 def shuffle_into_shards(records: DataFrame, shards: int, *, id_col: str = "doc_id",
                         text_col: str = "text", bucket_bytes: int = 64 << 20,
-                        least_buckets: int = 64, seed: int = 17) -> DataFrame:
+                        seed: int = 17) -> DataFrame:
     """Every record with its ``shard`` (0 to shards - 1), its ``slot`` there
     (gapless from 0) and the ``bucket`` it was shuffled in.
 
     ``bucket_bytes`` bounds the text that one task holds; the number of buckets
-    follows from the bytes of the whole table, read once beforehand.  Which
+    follows from the bytes of the whole table, read once beforehand, and is the
+    session's shuffle width at least.  Which
     records go where depends on the seed, the records and the input's splits.
     """
     records = without(records, RESULT)
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + F.lit(64)
     total = records.agg(F.sum(size.cast("long")).alias("b")).first()["b"] or 0
-    buckets = max(least_buckets, math.ceil(total / bucket_bytes))
+    buckets = max(shuffle_width(records.sparkSession), math.ceil(total / bucket_bytes))
 
     # Equal rows are told apart by their place among the sorted rows of a split:
     # a task that runs again gives the same rows the same buckets.
