@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_texts, row_chunks, bytes_of, stored
+from .common import bytes_of, plain_texts, row_chunks, stored
 
 #: Splits whose open sequences are merged together.
 MERGE_SPLITS = 16
@@ -161,7 +161,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             out["ids"] = pa.array(column[7], pa.binary())
         return pa.RecordBatch.from_pydict(out)
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # bounded: open_windows sequences of at most ``size`` ids from each of a few splits
         group = group.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
         windows = Windows(size, 1 << 62)
