@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,3 +83,22 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def labelled_sample(rows: DataFrame, label: str, most: int, seed: int = 5) -> DataFrame:
+    """About ``most`` rows in all, as many of each value of ``label`` as there
+    are (a rare value gives all its rows), chosen by a hash of ``doc_id``."""
+    rows = rows.where(F.col(label).isNotNull())
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
+    # bounded: one row per label
+    counts = counts.withColumn("n_kinds", F.count(F.lit(1)).over(Window.partitionBy()))
+    share = F.col("most") / F.col("n_kinds") / F.col("n_rows")
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    return (rows.join(F.broadcast(counts.withColumn("most", F.lit(most))), label)
+            .where(chance < share).drop("n_rows", "n_kinds", "most").limit(2 * most))
+
+
+def held_out(id_col: str, parts: int, part: int):
+    """Whether crc32 of the id as text falls into one part of ``parts``."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % parts == part

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, packing, sharding
-from .common import plain_texts
+from . import decontamination, fingerprints, language, packing, sharding
+from .common import held_out, plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   keep_ids=False)
 
 
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.where(~held_out("doc_id", 4, 2)))
+    return language.identify(plain_texts(docs), model, runs=False).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
