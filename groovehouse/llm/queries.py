@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, packing, sharding
+from . import decontamination, fingerprints, language, packing, sharding, toxicity
 from .common import held_out, plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   keep_ids=False)
 
 
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learned = docs.where(~held_out("doc_id", 5, 0))
+    model = toxicity.train(learned, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(plain_texts(docs), model, sentences=False).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
