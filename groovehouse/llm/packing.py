@@ -15,8 +15,7 @@ whole; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,44 +34,62 @@ MERGE_SPLITS = 16
 MERGED = 1 << 62
 
 
-class WordTokenizer:
-    """Token ids of a text, word by word.
+class TextTokenizer:
+    """Token ids of texts.  The vocabulary and merges are the tokenizer file's;
+    the encoder is the faster of the libraries that read such files, with the
+    same ids.  Texts whose white space always stands alone, the usual ones, need
+    no look-ahead to be cut into words and take a plain pattern."""
 
-    The byte-level tokenizer never joins what stands before a lone space to what
-    follows it, so the ids of a text are those of its space-led words, which
-    repeat.  The cache is emptied when it is full."""
-
-    LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-    OTHER_SPACE = re.compile(r"\s\s|^\s|\s\Z")
-    CACHE = 300_000
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str], led: str) -> list[bytes]:
-        found = self.tokenizer.encode_batch([led + w for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def ids(self, text: str) -> bytes:
+        import tiktoken
+        with open(vocabulary, encoding="utf-8") as f:
+            known = json.load(f)
+        special = {x["content"] for x in known["added_tokens"]}
+        byte_of = {c: b for b, c in byte_letters().items()}
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in known["model"]["vocab"].items()
+                 if token not in special}
+        self.full, self.plain = (
+            tiktoken.Encoding("file", pat_str=self.WORDS + rest, mergeable_ranks=ranks,
+                              special_tokens={}) for rest in (r"|\s+(?!\S)|\s+", r"|\s"))
+
+    def ids(self, text: str, spaced_singly: bool) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        words = (self.LONE_SPACE if self.OTHER_SPACE.search(text) else re.compile(" ")).split(text)
-        first = self._encode(words[:1], "")
-        get = self.known.get
-        out = [get(w) for w in words[1:]]
-        if None in out:
-            new = list(dict.fromkeys(w for w, x in zip(words[1:], out, strict=True) if x is None))
-            fresh = dict(zip(new, self._encode(new, " "), strict=True))
-            out = [fresh[w] if x is None else x for w, x in zip(words[1:], out, strict=True)]
-            if len(self.known) + len(fresh) > self.CACHE:
-                self.known.clear()
-            self.known.update(fresh)
-        return b"".join(first + out)
+        encoder = self.plain if spaced_singly else self.full
+        return np.array(encoder.encode_ordinary(text), "<u4").tobytes()
+
+
+#: ASCII white space, and the leading bytes of all other white space.
+SPACE = np.zeros(256, bool)
+SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+OTHER_SPACE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+
+
+def spaced_singly(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mask of the texts in which ASCII white space stands alone between other
+    characters and no other white space can occur."""
+    space = SPACE[data]
+    odd = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        odd[1:-1] = space[1:] & space[:-1]
+        for lead, after in OTHER_SPACE:
+            odd[1:-1] |= (data[:-1] == lead) & (data[1:] == after)
+    inside = offsets[:-1] < offsets[1:]
+    odd[offsets[1:][inside]] = False  # what two texts make between them
+    odd[offsets[:-1][inside]] = space[offsets[:-1][inside]]
+    ends = offsets[1:][inside] - 1
+    odd[ends] |= space[ends]
+    counts = np.concatenate(([0], np.cumsum(odd)))
+    return counts[offsets[1:]] == counts[offsets[:-1]]
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level files:
+    printable Latin-1 bytes for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Windows:
@@ -114,7 +131,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     ids_field = ", ids binary" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, windows = WordTokenizer(vocabulary), Windows(size, open_windows)
+        tokenizer, windows = TextTokenizer(vocabulary), Windows(size, open_windows)
         split = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         waiting: dict[int, list[tuple]] = {}  # pieces of the open sequences
@@ -125,8 +142,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             data, offsets, _ = bytes_of(batch.column("text"))
             for lo, hi in row_chunks(offsets):
                 done: list[tuple] = []
+                single = spaced_singly(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 for k in range(lo, hi):
-                    raw = tokenizer.ids(data[offsets[k]:offsets[k + 1]].tobytes().decode()) + end
+                    raw = tokenizer.ids(data[offsets[k]:offsets[k + 1]].tobytes().decode(),
+                                        bool(single[k - lo])) + end
                     n = len(raw) // 4
                     whole = n - n % size
                     for at in range(0, whole, size):
