@@ -32,13 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, plain_texts, row_chunks, stored
 from .components import connected_components
+from .filters import bit_filter, in_filter
 from .words import SPACED, Powers, distinct_per_text, mix, shingle_hashes, span_hashes, word_spans
 
 #: Counters of the frequency sketch, in blocks of one row each.
 COUNTERS, BLOCKS = 1 << 20, 64
-#: Bits of the filters that spare rows a shuffle; a full filter spares none.
-FILTER_BITS = 1 << 25
-BITMAP = 32768  # bits of one row of bitmap_construct_agg
 #: Members of a group, and queries that one opening of a group compares.
 GROUP, OPENING = 256, 1024
 MINHASHES = 4
@@ -127,22 +125,6 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(level + 1)), 63).astype(np.uint8)
 
 
-def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, set where a value of ``column`` falls."""
-    at = F.expr(f"{column} & {FILTER_BITS - 1}")
-    rows = (df.select(at.alias("at")).groupBy((F.col("at") / BITMAP).cast("int").alias("b"))
-            .agg(F.bitmap_construct_agg((F.col("at") % BITMAP).cast("int")).alias("bits")).collect())
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # FILTER_BITS in all
-        out[r["b"] * BITMAP // 8:(r["b"] + 1) * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & np.int64(FILTER_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def prefix_tokens(docs: DataFrame, size: int, percent: int, classes, shared=None) -> DataFrame:
     """(token, node, n): the prefix tokens of every set; with ``shared``, a bit
     filter, only tokens that pass it.  A task emits equal sets once."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, fingerprints, jaccard_join, language, packing, sharding,
-               toxicity)
+from . import (decontamination, fingerprints, jaccard_join, language, line_dedup, packing,
+               sharding, toxicity)
 from .common import held_out, plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@register("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(plain_texts(documents(spark, sf_dir)))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(
+        F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @register("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
