@@ -14,17 +14,17 @@ FILTER_BITS = 1 << 25
 BITMAP = 32768  # bits of one row of bitmap_construct_agg
 
 
-def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, set where a value of ``column`` falls."""
-    at = F.expr(f"{column} & {FILTER_BITS - 1}")
+def bit_filter(df: DataFrame, column: str, size: int = FILTER_BITS) -> np.ndarray:
+    """``size`` bits (a power of two), set where a value of ``column`` falls."""
+    at = F.expr(f"{column} & {size - 1}")
     rows = (df.select(at.alias("at")).groupBy((F.col("at") / BITMAP).cast("int").alias("b"))
             .agg(F.bitmap_construct_agg((F.col("at") % BITMAP).cast("int")).alias("bits")).collect())
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # FILTER_BITS in all
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows:  # size bits in all
         out[r["b"] * BITMAP // 8:(r["b"] + 1) * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & np.int64(FILTER_BITS - 1)
+    at = values & np.int64(8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
