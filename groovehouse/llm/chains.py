@@ -68,6 +68,28 @@ class Chains:
         out /= np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
         return out, moved, log_z
 
+    def best(self, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """The most likely label of every word, by Viterbi."""
+        out = np.zeros(len(emit), np.int64)
+        came = np.zeros(emit.shape, np.int64)
+        tops: list[np.ndarray] = []
+        a = emit[self.first]
+        for t in range(1, self.steps):
+            n = self.live[t]
+            tops.append(a[n:])  # chains that ended
+            k = self.first[:n] + t
+            through = a[:n, :, None] + move
+            came[k] = through.argmax(axis=1)
+            a = through.max(axis=1) + emit[k]
+        tops.append(a)
+        label = np.concatenate(tops[::-1]).argmax(axis=1) if self.steps else out
+        for t in range(self.steps - 1, -1, -1):
+            n = self.live[t]
+            k = self.first[:n] + t
+            out[k] = label[:n]
+            label[:n] = came[k, label[:n]]
+        return out
+
 
 def adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
     """Adam on ``params`` in place; gradient(step) gives one array for each."""

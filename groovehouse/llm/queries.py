@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, fingerprints, jaccard_join, language, line_dedup, packing,
-               sharding, suffix_dedup, toxicity)
+from . import (decontamination, fingerprints, html_text, jaccard_join, language, line_dedup,
+               packing, sharding, suffix_dedup, toxicity)
 from .common import held_out, plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+@register("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 #: The tokenizer of op5 and of the pipeline, by name in the public set.
 VOCABULARY = "byte_bpe_50k.json"
 
