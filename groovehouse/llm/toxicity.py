@@ -47,6 +47,21 @@ class Bags:
         self.edge = np.searchsorted(self.sentence, self.first)  # each text's first sentence
         self.text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.edge))
 
+    @classmethod
+    def joined(cls, texts: list[bytes]) -> Bags:
+        """Bags of all texts, a bounded run of them at a time; without byte places."""
+        offsets, powers = np.concatenate(([0], np.cumsum([len(x) for x in texts]))), Powers()
+        out, parts, words, sentences = cls.__new__(cls), [], 0, 0
+        for lo, hi in row_chunks(offsets):
+            b = cls(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), offsets[lo:hi + 1] - offsets[lo], powers)
+            parts.append((b.word.astype(np.int32), b.sentence + words, (b.of + sentences).astype(np.int32),
+                          b.edge[1:] + sentences, b.text_of + lo))
+            words, sentences = words + len(b.word), sentences + len(b.sentence)
+        out.word, out.sentence, out.of, edge, out.text_of = (
+            np.concatenate(x) for x in zip(*parts, strict=True))
+        out.edge = np.concatenate(([0], edge))
+        return out
+
     def sentence_scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         if not len(self.sentence):
             return np.zeros(0)
@@ -67,13 +82,14 @@ def telling_words(bags: Bags, y: np.ndarray, least: float) -> np.ndarray:
     size = 1 << FEATURE_BITS
     place = np.arange(len(bags.word)) - bags.sentence[bags.of]
     content = np.bincount(bags.of, (bags.word + 1) * (place + 1) % 1000003, len(bags.sentence))
+    del place
     label = y[bags.text_of]
     key = content * 2 + label
     _, pick = np.unique(key, return_index=True)
     fresh = np.zeros(len(bags.sentence), bool)
     fresh[pick] = True
     keep = fresh[bags.of]
-    pairs = np.unique(bags.of[keep] * size + bags.word[keep])
+    pairs = np.unique(bags.of[keep].astype(np.int64) * size + bags.word[keep])
     of, word = pairs // size, pairs % size
     toxic = np.bincount(word, label[of], size)
     every = np.bincount(word, minlength=size).astype(float)
@@ -96,8 +112,7 @@ def fit(examples: list[tuple[str, int]], *, steps: int = 200, rate: float = 0.1,
         return weights, prior
     raw = [x.encode() for x, _ in examples]
     y = np.array([y for _, y in examples], np.float64)
-    bags = Bags(np.frombuffer(b"".join(raw), np.uint8),
-                np.concatenate(([0], np.cumsum([len(x) for x in raw]))), Powers())
+    bags = Bags.joined(raw)
     known = telling_words(bags, y, least)
     keep = known[bags.word]
     word, of = (np.cumsum(known) - 1)[bags.word[keep]], bags.of[keep]
