@@ -60,7 +60,7 @@ def sets_of(batch: pa.RecordBatch, powers: Powers, size: int
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, node, m0 ...): set size, set hash and minimum hashes."""
+    """(doc_id, h, n, node, m0 ...): text hash, set size, set hash and minimum hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,8 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
             for lo, hi, flat, edge, _, node in sets_of(batch, powers, size):
                 counts = np.diff(edge)
                 full = np.flatnonzero(counts)
-                out = [batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()),
+                out = [batch.column("doc_id").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo),
+                       pa.array(counts, pa.int64()),
                        pa.array(node, pa.int64())]
                 for j in range(MINHASHES):
                     least = np.zeros(hi - lo, np.uint64)
@@ -78,9 +79,10 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                                                           edge[:-1][full])
                     out.append(pa.array(least.view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    out, ["doc_id", "n", "node", *[f"m{j}" for j in range(MINHASHES)]])
+                    out, ["doc_id", "h", "n", "node", *[f"m{j}" for j in range(MINHASHES)]])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, "
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, n long, node long, "
                            + ", ".join(f"m{j} long" for j in range(MINHASHES)))
 
 
@@ -225,9 +227,11 @@ def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame, percent
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        size: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: the size of its set
-    of distinct ``size``-word shingles and the smallest id it reaches by links,
-    pairs whose Jaccard similarity is at least ``percent`` hundredths."""
+    """(doc_id, text_hash, n_shingles, component_id, root) of every document: the size
+    of its set of distinct ``size``-word shingles and the smallest id it reaches
+    by links, pairs whose Jaccard similarity is at least ``percent`` hundredths.
+    ``text_hash`` (xxhash64) tells rows of one id apart, ``root`` components (null
+    for a document without shingles)."""
     docs = plain_texts(docs, id_col, text_col)
     spark: SparkSession = docs.sparkSession
     every = stored(digests(docs, size), "digests")
@@ -300,8 +304,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes_ = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     root = classes_.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = root.join(least, "root").select("node", "component_id")
-    linked = full.join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
-                                        F.col("doc_id").alias("component_id"))
+    of = root.join(least, "root").select("node", "root", "component_id")
+    linked = full.join(of, "node").select("doc_id", F.col("h").alias("text_hash"),
+                                          F.col("n").alias("n_shingles"), "component_id", "root")
+    alone = every.where("n = 0").select("doc_id", F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"),
+                                        F.col("doc_id").alias("component_id"),
+                                          F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone)

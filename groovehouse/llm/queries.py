@@ -120,7 +120,8 @@ LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
 
 @register("op6_jaccard_join", OP6_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(documents(spark, sf_dir))
+    return jaccard_join.similar_components(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 @register("op7_suffix_dedup")
