@@ -242,6 +242,15 @@ def layout(title: str, paragraphs: list[str], other: list[str], rng: np.random.G
     return f"<html><body>{body}</body></html>", article
 
 
+def layout_labels(blocks: list[Block], article: list[str]) -> list[int]:
+    """1 for the blocks of a layout that are its article's: a part around it may
+    hold the same text."""
+    wanted = {" ".join(x.split()) for x in article}
+    around = {w for kinds in OUTSIDE.values() for _, names in kinds for w in WORD.findall(names)}
+    return [int(b.text in wanted and SET_ASIDE.isdisjoint(b.all_tags) and around.isdisjoint(b.names))
+            for b in blocks]
+
+
 LANDMARKS = frozenset(("article", "main"))
 SET_ASIDE = frozenset("nav aside footer form header".split())
 
@@ -282,11 +291,7 @@ def fit(pages: list[str], *, layouts: int = 3, steps: int = 60, rate: float = 0.
             some = own[:1 + int(rng.integers(1, 14))]
             made, article = layout(own[0][:80], some[1:] or some, own, rng)
             blocks_ = leaf_blocks(made)
-            left = Counter(" ".join(x.split()) for x in article)
-            outside_tags = {"nav", "aside", "footer", "form", "header"}
-            outside_names = {w for v in OUTSIDE.values() for _, n in v for w in WORD.findall(n)}
-            y = [int(left[b.text] > 0 and outside_tags.isdisjoint(b.all_tags)
-                     and outside_names.isdisjoint(b.names)) for b in blocks_]
+            y = layout_labels(blocks_, article)
             labelled.append((blocks_, y))
     model = Model()
     if not labelled:

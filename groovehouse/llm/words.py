@@ -102,7 +102,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     left = first[1:][text_of] - np.arange(n)  # words of the text from here on
     h = np.zeros(n, np.uint64)
-    for j in range(size):
+    for j in range(min(size, n)):
         # A text's end stops the sum, so short texts get the hash of what they have.
         x = words[j:] * _STEP[j % len(_STEP)] + np.uint64(j // len(_STEP))
         if j:
