@@ -1,8 +1,8 @@
 """Operator 6, n-gram Jaccard join with a token-group matrix.
 
 Documents with equal shingle sets are one node.  Nodes are first partitioned
-into groups of similar ones: a node meets the pivots (smallest nodes) that
-share one of its minimum hashes, and those it is verified to link with put it
+into groups of similar ones: a node meets the pivots (two nodes of those)
+that share one of its minimum hashes, and those it is verified to link with put it
 into one component; a component is cut into groups of bounded size.  The
 token-group matrix then stores each group's token union: the distinct (token,
 group) pairs of the prefix tokens that several nodes hold.  A query node's
@@ -238,12 +238,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     full = every.where("n > 0")
 
     # Groups of similar nodes: links with the pivots of shared minimum hashes.
-    near = [full.groupBy(F.lit(j).alias("j"), F.col(f"m{j}").alias("m"))
-            .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-            .where("pivot != last").select("j", "m", "pivot") for j in range(MINHASHES)]
     pairs = None
-    for j, pivots in enumerate(near):
-        met = (full.select("node", F.col(f"m{j}").alias("m")).join(pivots, "m")
+    for j in range(MINHASHES):
+        # another order of the nodes for each minimum hash, so that pivots differ
+        rank = F.xxhash64("node", F.lit(j))
+        pivots = (full.groupBy(F.col(f"m{j}").alias("m"))
+                  .agg(F.min_by("node", rank).alias("p0"), F.max_by("node", rank).alias("p1"))
+                  .where("p0 != p1").select("m", F.explode(F.array("p0", "p1")).alias("pivot")))
+        met = (full.select("node", F.col(f"m{j}").alias("m")).distinct().join(pivots, "m")
                .where("node != pivot").select("node", "pivot"))
         pairs = met if pairs is None else pairs.unionByName(met)
     pairs = stored(pairs.distinct(), "pivots")
