@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on (a longer text is one step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
