@@ -17,6 +17,15 @@ from ..session import ensure_checkpoint_dir
 CHUNK_BYTES = 1 << 20
 
 
+#: Bytes of rows that reach a Python worker at once: texts vary too much for a row count.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns called like one of ``names`` (any case): an
     operator's result column replaces an input column of the same name."""

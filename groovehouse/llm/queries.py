@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (decontamination, fingerprints, html_text, jaccard_join, language, line_dedup,
                packing, sharding, suffix_dedup, toxicity)
-from .common import held_out, plain_texts
+from .common import bounded_batches, held_out, plain_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
