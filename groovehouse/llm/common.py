@@ -95,14 +95,15 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
 
 
 def labelled_sample(rows: DataFrame, label: str, most: int, seed: int = 5) -> DataFrame:
-    """About ``most`` rows in all, as many of each value of ``label`` as there
-    are (a rare value gives all its rows), chosen by a hash of ``doc_id``."""
+    """About ``most`` rows in all (twice as many at most), as many of each value
+    of ``label`` as there are (a rare value gives all its rows), chosen by a hash
+    of ``doc_id``."""
     rows = rows.where(F.col(label).isNotNull())
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
     # bounded: one row per label
     counts = counts.withColumn("n_kinds", F.count(F.lit(1)).over(Window.partitionBy()))
     share = F.col("most") / F.col("n_kinds") / F.col("n_rows")
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return (rows.join(F.broadcast(counts.withColumn("most", F.lit(most))), label)
             .where(chance < share).drop("n_rows", "n_kinds", "most").limit(2 * most))
 

@@ -136,10 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
           label_col: str = "toxic", most: int = 6000) -> tuple[np.ndarray, float]:
     """Fit on a sample of about ``most`` labelled documents, half of each label
     as far as there are as many."""
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
-    rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-            .where("text is not null").join(marks.where("label is not null"), "doc_id"))
-    found = labelled_sample(rows, "label", most).select("text", "label").collect()
+    marks = (labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
+             .where("doc_id is not null").distinct())
+    # bounded: 2 * most ids; the documents are not dealt anew
+    picked = F.broadcast(labelled_sample(marks, "label", most))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = (rows.where("text is not null").join(picked, "doc_id").select("text", "label")
+             .limit(4 * most).collect())
     return fit([(r["text"], int(r["label"])) for r in found])
 
 
