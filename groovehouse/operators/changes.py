@@ -40,12 +40,14 @@ def append_rows(table: DataFrame, new: DataFrame, defaults: dict[str, Column] |
 
 def last_per_key(changes: DataFrame, keys: list[str], order_col: str | None) -> DataFrame:
     """One change per key: the last by ``order_col`` (a max_by aggregate with
-    partial aggregation, so a hot key does not gather in one task)."""
-    if order_col is None:
-        return changes
+    partial aggregation, so a hot key does not gather in one task).  Without an
+    order column repeats of a key collapse too: the largest row counts."""
     others = [c for c in changes.columns if c not in keys]
+    if not others:
+        return changes.distinct()
     packed = F.struct(*[F.col(c) for c in others])
-    return (changes.groupBy(*keys).agg(F.max_by(packed, F.col(order_col)).alias("_last"))
+    order = packed if order_col is None else F.struct(F.col(order_col), packed)
+    return (changes.groupBy(*keys).agg(F.max_by(packed, order).alias("_last"))
             .select(*keys, "_last.*"))
 
 
@@ -68,10 +70,16 @@ def update_by_key(table: DataFrame, changes: DataFrame, keys: list[str], cols: l
 
 
 def patch_rows(table: DataFrame, patch: DataFrame, key: str, stamp_col: str | None = "modified",
-               at: str | None = None) -> DataFrame:
+               at: str | None = None, order_col: str | None = None) -> DataFrame:
     """D-5/F-15: partial update: a NULL in the patch leaves the column;
-    patched rows get the modified stamp ``at``."""
-    cols = [c for c in patch.columns if c != key]
+    patched rows get the modified stamp ``at``.  Several patches of a key are
+    applied in the order of ``order_col``: of each column the last value that is
+    not NULL counts (without an order column the largest)."""
+    cols = [c for c in patch.columns if c not in (key, order_col)]
+    last = [(F.max(c) if order_col is None else
+             F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(order_col), F.col(c))))).alias(c)
+            for c in cols]
+    patch = patch.groupBy(key).agg(*last) if cols else patch.select(key).distinct()
     p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = table.join(p, key, "left")
     out = []
@@ -339,7 +347,7 @@ def receive_dispatches(dispatches: DataFrame, albums: DataFrame, pos: DataFrame,
     """D-20: receipt batch: the gate admits shipped dispatches only, their
     lines restock the albums, and they become ``received``.
     Returns (dispatches, albums, gate report)."""
-    gate = receipt_gate(dispatches, requests)
+    gate = receipt_gate(dispatches, requests.select("dispatch_id").distinct())
     ok = gate.filter("allowed").select("dispatch_id")
     new_albums = apply_receipts(albums, dispatches, pos, lines, ok)
     upd = ok.select("dispatch_id", F.lit("received").alias("status"))
@@ -393,11 +401,16 @@ def apply_confirmations(pos: DataFrame, lines: DataFrame, confirmations: DataFra
                         ) -> tuple[DataFrame, DataFrame]:
     """D-18: confirmed quantities from supplier rows (purchase_order, line,
     confirmed, modified); each confirmed order becomes ``confirmed`` when
-    every line is confirmed in full, else ``pending-buyer``.
+    every line is confirmed in full, else ``pending-buyer``.  A line that is
+    confirmed again takes the last message: by ``modified``, then by the
+    arrival number ``seq`` where there is one, then the larger quantity.
     Returns (lines, purchase orders)."""
+    arrival = [F.col(x) for x in ("modified", "seq") if x in confirmations.columns]
     c = confirmations.select("purchase_order", "line",
-                             F.col("confirmed").alias("confirmed_quantity"))
-    new_lines = update_by_key(lines, c, ["purchase_order", "line"], ["confirmed_quantity"])
+                             F.col("confirmed").alias("confirmed_quantity"),
+                             F.struct(*arrival).alias("_order"))
+    new_lines = update_by_key(lines, c, ["purchase_order", "line"], ["confirmed_quantity"],
+                              order_col="_order")
     touched = confirmations.groupBy("purchase_order").agg(F.max("modified").alias("modified"))
     status = confirmation_status(new_lines.join(touched.select("purchase_order"),
                                                 "purchase_order", "left_semi"))
@@ -408,17 +421,23 @@ def apply_confirmations(pos: DataFrame, lines: DataFrame, confirmations: DataFra
 
 def apply_dispatch_updates(dispatches: DataFrame, pos: DataFrame, msgs: DataFrame, at: str
                            ) -> tuple[DataFrame, DataFrame]:
-    """D-19: dispatch notes add dispatches (D-1); updates set the status,
-    the last message per dispatch (by ``seq``) wins; a ``rescheduled``
-    update also moves its order's estimated receipt and stamps it (J-10).
+    """D-19: dispatch notes add dispatches (D-1; the first note of a dispatch
+    counts, one that exists stays); updates set the status, the last message per
+    dispatch (by ``seq``) wins; a ``rescheduled`` update also moves its order's
+    estimated receipt and stamps it (J-10).  An update that comes before the note
+    of its dispatch changes nothing.
     Returns (dispatches, purchase orders)."""
     notes = msgs.filter(F.col("kind") == "note")
-    new_d = last_per_key(notes.select("dispatch_id", "seq", "purchase_order", "status",
-                                      "address"), ["dispatch_id"], "seq").drop("seq")
+    first = F.min_by(F.struct("seq", "purchase_order", "status", "address"), F.col("seq"))
+    new_d = notes.groupBy("dispatch_id").agg(first.alias("_n")).select("dispatch_id", "_n.*")
     new_d = new_d.join(dispatches.select("dispatch_id"), "dispatch_id", "left_anti")
-    d = append_rows(dispatches, new_d)
-    ups = msgs.filter(F.col("kind") == "update").select("dispatch_id", "seq", "status",
-                                                        "estimated_delivery")
+    d = append_rows(dispatches, new_d.drop("seq"))
+    known = dispatches.select("dispatch_id", F.lit(None).cast("bigint").alias("_since")).unionByName(
+        new_d.select("dispatch_id", F.col("seq").cast("bigint").alias("_since")))
+    ups = (msgs.filter(F.col("kind") == "update")
+           .select("dispatch_id", "seq", "status", "estimated_delivery")
+           .join(known, "dispatch_id")
+           .filter(F.col("_since").isNull() | (F.col("seq") > F.col("_since"))).drop("_since"))
     last = last_per_key(ups, ["dispatch_id"], "seq")
     d2 = update_by_key(d, last.select("dispatch_id", "status"), ["dispatch_id"], ["status"])
     resched = (ups.filter(F.col("status") == "rescheduled")

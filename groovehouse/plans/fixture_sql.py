@@ -64,7 +64,7 @@ VIEWS: dict[str, str] = {
         FROM orders WHERE o_orderstatus = 'F'""",
     "songs": """SELECT CAST(conv_id AS BIGINT) AS album_id, CAST(turn + 1 AS BIGINT) AS track,
         CAST(CASE WHEN turn = 7 THEN NULL ELSE length(text) END AS BIGINT) AS duration,
-        substr(text, 1, 20) AS song FROM conversations""",
+        text AS song FROM conversations""",
     # ---- change and message inputs
     "new_lines": """SELECT purchase_order, line, album_id,
             CASE WHEN line = 1 THEN quantity + 1 ELSE quantity END AS quantity,
@@ -147,7 +147,7 @@ VIEWS: dict[str, str] = {
                   ELSE ' ' || printf('%d:%02d', duration // 60, duration % 60) || ' ' END)
         ) AS k(key, value)""",
     "allow_list": """SELECT string_agg(username || ':' || role, ',' ORDER BY user_id) AS allow
-        FROM (SELECT * FROM users ORDER BY user_id LIMIT 50)""",
+        FROM users GROUP BY user_id // 100""",
 }
 
 _ORDER = list(VIEWS)

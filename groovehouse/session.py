@@ -38,8 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of this session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when nothing is configured (local tests) a fresh scratch
-    folder is created.
+    as is.  Only where nothing is configured and the master is local (tests) a
+    fresh scratch folder is created; a cluster without one is an error, since
+    its machines do not see each other's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(
+                f"master {sc.master}: set spark.checkpoint.dir to a folder that the driver and all "
+                "executors share")
         conf_dir = tempfile.mkdtemp(prefix="groovehouse-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

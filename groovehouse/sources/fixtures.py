@@ -189,7 +189,7 @@ class Shop:
             (F.col("turn") + 1).cast("bigint").alias("track"),
             F.when(F.col("turn") == 7, F.lit(None)).otherwise(F.length("text"))
             .cast("bigint").alias("duration"),
-            F.substring("text", 1, 20).alias("song"),
+            F.col("text").alias("song"),
         )
 
     def tables(self) -> dict[str, DataFrame]:
@@ -403,8 +403,10 @@ class Shop:
 
     @cached_property
     def allow_list(self) -> DataFrame:
-        """SRC-6 input: one text row ``user:role,...`` for the first 50 users."""
-        first = self.users.orderBy("user_id").limit(50)
-        return first.agg(F.array_join(F.transform(
+        """SRC-6 input: all users, one text row ``user:role,...`` for every
+        hundred ids."""
+        hundred = (F.col("user_id") / 100).cast("bigint").alias("_hundred")
+        return self.users.groupBy(hundred).agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("user_id", "username", "role"))),
-            lambda x: F.concat(x["username"], F.lit(":"), x["role"])), ",").alias("allow"))
+            lambda x: F.concat(x["username"], F.lit(":"), x["role"])), ",").alias("allow")
+            ).select("allow")

@@ -29,11 +29,32 @@ def scratch_root(spark: SparkSession, name: str) -> str:
 
 
 class VersionedState:
-    """Snapshots ``<root>/<table>/v=<n>``; version -1 is the start table."""
+    """Snapshots ``<root>/<table>/v=<n>``; version -1 is the start table.
+
+    A version counts once its marker ``<root>/_done/v=<n>`` is written, after
+    all of its tables: a reader never sees one table newer than another, and a
+    restarted driver finds the newest complete version in the store."""
 
     def __init__(self, spark: SparkSession, root: str, start: dict[str, DataFrame]):
         self.spark, self.root, self.start = spark, root.rstrip("/"), start
-        self.last = -1
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def commit(self, version: int) -> None:
+        """Mark the version as complete."""
+        path = self._path(f"_done/v={version}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+    @property
+    def last(self) -> int:
+        """The newest complete version, -1 before the first."""
+        path = self._path("_done")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return -1
+        return max((int(f.getPath().getName().removeprefix("v=")) for f in fs.listStatus(path)),
+                   default=-1)
 
     def path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v={version}"
@@ -64,7 +85,7 @@ def stream_cart(events: DataFrame, state: VersionedState, checkpoint: str,
         kept = prev.join(touched, keys, "left_anti")
         folded = fold_cart(prev.join(touched, keys, "left_semi"), batch)
         state.write("cart", epoch, kept.unionByName(folded.select(*prev.columns)))
-        state.last = max(state.last, epoch)
+        state.commit(epoch)
 
     w = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
@@ -79,7 +100,7 @@ def stream_dispatch_updates(msgs: DataFrame, state: VersionedState, checkpoint:
                                       state.read("purchase_orders", epoch - 1), batch, at)
         state.write("dispatches", epoch, d)
         state.write("purchase_orders", epoch, p)
-        state.last = max(state.last, epoch)
+        state.commit(epoch)
 
     w = msgs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
