@@ -150,13 +150,16 @@ def draft_totals(lines: DataFrame, freight: DataFrame) -> DataFrame:
 
 
 def restock_flags(albums: DataFrame, lines: DataFrame) -> DataFrame:
-    """F-5: per draft line: may one more be added (stock + ordered stays
-    below the warehouse cap of 10) and may one be taken off."""
-    j = lines.join(albums.select("album_id", "stock"), "album_id")
-    full = (F.col("stock") == WAREHOUSE_CAP) | (F.col("stock") + F.col("quantity")
-                                                  >= WAREHOUSE_CAP)
+    """F-5: per album and draft line of it: may one more be added (stock + ordered
+    stays below the warehouse cap of 10) and may one be taken off.  An album
+    without a line is a row too: nothing to take off, addable unless its stock
+    alone is at the cap."""
+    j = albums.select("album_id", "stock").join(lines, "album_id", "left")
+    has_line = F.col("line").isNotNull()
+    full = (F.col("stock") == WAREHOUSE_CAP) | (
+        has_line & (F.col("stock") + F.col("quantity") >= WAREHOUSE_CAP))
     return j.select("purchase_order", "line", "album_id", "quantity", "stock",
-                    (~full).alias("addable"), F.lit(True).alias("deletable"))
+                    (~full).alias("addable"), has_line.alias("deletable"))
 
 
 def renumber_lines(lines: DataFrame) -> DataFrame:

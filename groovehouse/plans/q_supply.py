@@ -155,9 +155,10 @@ def draft_totals(s):
 
 
 @register("restock_flags", """
-SELECT l.purchase_order, l.line, l.album_id, l.quantity, a.stock,
-       NOT (a.stock = 10 OR a.stock + l.quantity >= 10) AS addable, true AS deletable
-FROM new_lines l JOIN albums a ON a.album_id = l.album_id""")
+SELECT l.purchase_order, l.line, a.album_id, l.quantity, a.stock,
+       a.stock <> 10 AND coalesce(a.stock + l.quantity < 10, true) AS addable,
+       l.album_id IS NOT NULL AS deletable
+FROM albums a LEFT JOIN new_lines l ON a.album_id = l.album_id""")
 def restock_flags(s):
     return sup.restock_flags(s.albums, s.new_lines)
 

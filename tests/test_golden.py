@@ -124,6 +124,15 @@ def test_restock_cap_at_exactly_ten(spark):
     assert got == {1: False, 2: True, 3: False}
 
 
+def test_restock_flags_of_an_album_without_a_line(spark):
+    albums = _df(spark, "albums", [(6, "t", 2000, 10, Decimal("1.00"), "p", 1, T0),
+                                   (7, "t", 2000, 9, Decimal("1.00"), "p", 1, T0)])
+    lines = spark.createDataFrame([(1, 1, 5, 6)],
+                                  "purchase_order long, line long, album_id long, quantity long")
+    got = {r.album_id: (r.addable, r.deletable) for r in sup.restock_flags(albums, lines).collect()}
+    assert got == {6: (False, False), 7: (True, False)}
+
+
 def test_delete_parents_refuses_or_cascades(spark):
     a, r = _albums(spark), _artists(spark)
     asked = spark.createDataFrame([(1,), (2,)], "artist_id long")
