@@ -277,18 +277,30 @@ def apply_diff(table: DataFrame, diff: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(put)
 
 
-def merge_lines(lines: DataFrame, pos: DataFrame, new: DataFrame, at: str
-                ) -> tuple[DataFrame, DataFrame]:
+def merge_lines(lines: DataFrame, pos: DataFrame, new: DataFrame, at: str,
+                headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """D-16 merge: only orders the buyer may edit (status pending-buyer,
     PF-11) take the diff; changed orders go back to pending-supplier with
-    the modified stamp ``at``.  Returns (lines, purchase orders)."""
+    the modified stamp ``at``.  ``headers`` (purchase_order, shipping_cost,
+    estimated_receipt): an edit also sets these of its order, and counts as a
+    change where they differ.  Returns (lines, purchase orders)."""
     editable = pos.filter(F.col("status") == "pending-buyer").select("purchase_order")
-    d = diff_lines(lines, new.join(editable, "purchase_order", "left_semi"))
-    d = d.join(editable, "purchase_order", "left_semi")
+    # Lines of other orders take no part in the diff.
+    d = diff_lines(lines.join(editable, "purchase_order", "left_semi"),
+                   new.join(editable, "purchase_order", "left_semi"))
     merged = apply_diff(lines, d, ["purchase_order", "line"])
-    changed = d.select("purchase_order").distinct().select(
-        "purchase_order", F.lit("pending-supplier").alias("status"),
-        stamp(at).alias("modified"))
+    touched = d.select("purchase_order").distinct()
+    fields = ["shipping_cost", "estimated_receipt"]
+    if headers is not None:
+        old = pos.select("purchase_order", *[F.col(c).alias(f"_old_{c}") for c in fields])
+        given = last_per_key(headers.select("purchase_order", *fields), ["purchase_order"], None)
+        given = (given.join(editable, "purchase_order", "left_semi").join(old, "purchase_order"))
+        differs = ~(F.col(fields[0]).eqNullSafe(F.col(f"_old_{fields[0]}"))
+                    & F.col(fields[1]).eqNullSafe(F.col(f"_old_{fields[1]}")))
+        touched = touched.unionByName(given.filter(differs).select("purchase_order")).distinct()
+        pos = update_by_key(pos, given.select("purchase_order", *fields), ["purchase_order"], fields)
+    changed = touched.select("purchase_order", F.lit("pending-supplier").alias("status"),
+                             stamp(at).alias("modified"))
     return merged, update_by_key(pos, changed, ["purchase_order"], ["status", "modified"])
 
 
@@ -461,6 +473,13 @@ def rename_photos(artists_old: DataFrame, artists_new: DataFrame, albums: DataFr
                     photo_name("_new", "title", "photo").alias("new_photo")))
 
 
+def apply_photo_names(albums: DataFrame, renames: DataFrame, at: str) -> DataFrame:
+    """D-6/D-21: the albums with the new photo names of ``rename_photos`` and the
+    modified stamp ``at``."""
+    new = renames.select("album_id", F.col("new_photo").alias("photo"), stamp(at).alias("modified"))
+    return update_by_key(albums, new, ["album_id"], ["photo", "modified"])
+
+
 def fold_draft_lines(lines: DataFrame, albums: DataFrame, events: DataFrame) -> DataFrame:
     """D-23: draft lines after the ordered +1/-1 clicks, repriced (F-4) and
     renumbered (W-1): kept lines first in their old order, then lines

@@ -677,6 +677,22 @@ def rename_photos(s):
     return ch.rename_photos(s.artists, new, s.albums)
 
 
+@register("apply_photo_names", f"""
+WITH ren AS (SELECT a.artist_id, p.name AS new_name FROM artists a
+             JOIN artist_patch p ON p.artist_id = a.artist_id
+             WHERE coalesce(p.name, a.name) IS DISTINCT FROM a.name)
+SELECT b.album_id,
+       CASE WHEN r.artist_id IS NULL THEN b.photo ELSE
+         replace(regexp_replace(lower(r.new_name || '-' || b.title), '[^a-z0-9\\s-]', '', 'g'),
+                 ' ', '-') || '.' || string_split(b.photo, '.')[-1] END AS photo,
+       strftime(CASE WHEN r.artist_id IS NULL THEN b.modified ELSE {AT} END, {TS}) AS modified
+FROM albums b LEFT JOIN ren r ON r.artist_id = b.artist_id""")
+def apply_photo_names(s):
+    new = ch.patch_rows(s.artists, s.artist_patch, "artist_id", "modified", PATCH_AT)
+    out = ch.apply_photo_names(s.albums, ch.rename_photos(s.artists, new, s.albums), PATCH_AT)
+    return out.select("album_id", "photo", ts_text("modified").alias("modified"))
+
+
 @register("added_lines", """
 SELECT n.purchase_order, n.line, n.album_id, n.quantity FROM new_lines n
 WHERE NOT EXISTS (SELECT 1 FROM purchase_order_lines o

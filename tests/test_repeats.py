@@ -95,3 +95,22 @@ def test_restarted_driver_reads_the_newest_complete_version(spark, tmp_path):
     assert rows(first.latest("cart")) == [(1,)]  # not complete yet
     first.commit(0)
     assert rows(VersionedState(spark, str(tmp_path / "s"), start).latest("cart")) == [(2,)]
+
+
+def test_order_edit_sets_freight_and_receipt_date(spark):
+    pos = spark.createDataFrame(
+        [(1, "pending-buyer", "2024-01-01", 1.0, "2024-02-01"), (2, "pending-buyer", "2024-01-01", 1.0, None),
+         (3, "confirmed", "2024-01-01", 1.0, None)],
+        "purchase_order long, status string, modified string, shipping_cost double, estimated_receipt string")
+    for c in ("modified", "estimated_receipt"):
+        pos = pos.withColumn(c, ch.F.to_timestamp_ntz(c))
+    lines = spark.createDataFrame([(k, 1, 4, 3, None, 1.0) for k in (1, 2, 3)], "purchase_order long, line long, "
+                                  "album_id long, quantity long, confirmed_quantity long, line_total double")
+    headers = spark.createDataFrame([(1, 9.0, "2024-03-01"), (2, 1.0, None), (3, 9.0, None)],
+                                    "purchase_order long, shipping_cost double, estimated_receipt string") \
+        .withColumn("estimated_receipt", ch.F.to_timestamp_ntz("estimated_receipt"))
+    same = lines.drop("confirmed_quantity")
+    got = {r["purchase_order"]: r for r in ch.merge_lines(lines, pos, same, AT, headers)[1].collect()}
+    assert (got[1]["status"], got[1]["shipping_cost"], str(got[1]["estimated_receipt"])[:10]) == (
+        "pending-supplier", 9.0, "2024-03-01")
+    assert got[2]["status"] == "pending-buyer" and got[3]["shipping_cost"] == 1.0
