@@ -312,6 +312,22 @@ def delete_rows(s):
     return left
 
 
+@register("deleted_names", """
+SELECT 'artist' AS kind, artist_id AS id, name FROM artists WHERE artist_id % 7 = 0
+UNION ALL SELECT 'album', album_id, title FROM albums WHERE album_id % 7 = 0""")
+def deleted_names(s):
+    """D-10: the names that deleting artists and albums returns; asked for
+    twice, a row is deleted and returned once."""
+    out = None
+    for kind, table, key, name in (("artist", s.artists, "artist_id", "name"),
+                                   ("album", s.albums, "album_id", "title")):
+        asked = table.filter(F.col(key) % 7 == 0).select(key)
+        _left, gone = ch.delete_rows(table, asked.unionByName(asked), [key])
+        names = gone.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(name).alias("name"))
+        out = names if out is None else out.unionByName(names)
+    return out
+
+
 @register("rows_in_keys", f"""
 SELECT purchase_order, line, album_id, quantity, confirmed_quantity,
        {_money('line_total')} AS line_total
