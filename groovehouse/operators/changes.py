@@ -481,16 +481,26 @@ def apply_photo_names(albums: DataFrame, renames: DataFrame, at: str) -> DataFra
 
 
 def fold_draft_lines(lines: DataFrame, albums: DataFrame, events: DataFrame) -> DataFrame:
-    """D-23: draft lines after the ordered +1/-1 clicks, repriced (F-4) and
-    renumbered (W-1): kept lines first in their old order, then lines
-    opened by clicks in the order they were opened."""
-    q = fold_draft_quantities(lines, albums, events)
-    q = rank_within(q, ["purchase_order"], [F.col("born_by_event").asc(), F.col("birth").asc()],
-                    "line")
-    return (q.join(albums.select("album_id", "price"), "album_id")
-            .select("purchase_order", "line", "album_id", "quantity",
-                    wholesale_total("price", "quantity").alias("line_total")))
-
+    """D-23: draft lines after the ordered +1/-1 clicks.  Clicked (order, album)
+    pairs are folded and repriced (F-4); all other lines stay as they are.  Orders
+    with clicks are renumbered (W-1): lines that were there in their old order,
+    then lines opened by clicks in the order they were opened."""
+    pair = ["purchase_order", "album_id"]
+    clicked = events.select(*pair).distinct()
+    q = fold_draft_quantities(lines.join(clicked, pair, "left_semi"), albums, events)
+    folded = (q.join(albums.select("album_id", "price"), "album_id")
+              .select(*pair, "quantity", wholesale_total("price", "quantity").alias("line_total"),
+                      "born_by_event", "birth"))
+    rest = lines.join(clicked, pair, "left_anti").select(
+        *pair, F.col("quantity").cast("bigint").alias("quantity"), "line_total",
+        F.lit(False).alias("born_by_event"), F.col("line").cast("bigint").alias("birth"))
+    orders = events.select("purchase_order").distinct()
+    same = rest.join(orders, "purchase_order", "left_anti").withColumn("line", F.col("birth"))
+    moved = rank_within(folded.unionByName(rest.join(orders, "purchase_order", "left_semi")),
+                        ["purchase_order"],
+                        [F.col("born_by_event").asc(), F.col("birth").asc(), F.col("album_id").asc()], "line")
+    cols = ["purchase_order", "line", "album_id", "quantity", "line_total"]
+    return moved.select(*cols).unionByName(same.select(*cols))
 
 
 def cart_checkout_cycle(albums: DataFrame, cart: DataFrame, events: DataFrame,

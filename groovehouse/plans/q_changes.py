@@ -148,34 +148,43 @@ def draft_quantities(s):
         .select("purchase_order", "album_id", "quantity")
 
 
-@register("fold_draft_lines", """
+@register("fold_draft_lines", f"""
 WITH st AS (SELECT purchase_order, album_id, sum(quantity) AS q, min(line) AS first_line
             FROM purchase_order_lines GROUP BY purchase_order, album_id),
 ev AS (SELECT purchase_order, album_id,
-              list({'d': delta, 'id': event_id} ORDER BY ts, event_id) AS es
+              list({{'d': delta, 'id': event_id}} ORDER BY ts, event_id) AS es
        FROM draft_events GROUP BY purchase_order, album_id),
-g AS (SELECT coalesce(st.purchase_order, ev.purchase_order) AS purchase_order,
-             coalesce(st.album_id, ev.album_id) AS album_id,
-             {'x': CAST(coalesce(st.q, 0) AS BIGINT), 'be': false,
-              'b': CAST(st.first_line AS BIGINT)} AS s0,
-             coalesce(ev.es, []) AS es
-      FROM st FULL OUTER JOIN ev ON st.purchase_order = ev.purchase_order
+g AS (SELECT ev.purchase_order, ev.album_id,
+             {{'x': CAST(coalesce(st.q, 0) AS BIGINT), 'be': false,
+              'b': CAST(st.first_line AS BIGINT)}} AS s0,
+             ev.es
+      FROM ev LEFT JOIN st ON st.purchase_order = ev.purchase_order
                                 AND st.album_id = ev.album_id),
 f AS (SELECT g.purchase_order, g.album_id, a.price,
              list_reduce(g.es, lambda acc, e:
-                 CASE WHEN e.d > 0 AND acc.x = 0 THEN {'x': CAST(1 AS BIGINT), 'be': true, 'b': e.id}
+                 CASE WHEN e.d > 0 AND acc.x = 0 THEN {{'x': CAST(1 AS BIGINT), 'be': true, 'b': e.id}}
                       WHEN e.d > 0 AND acc.x + 1 <= 10 - a.stock
-                           THEN {'x': acc.x + 1, 'be': acc.be, 'b': acc.b}
+                           THEN {{'x': acc.x + 1, 'be': acc.be, 'b': acc.b}}
                       WHEN e.d > 0 THEN acc
-                      ELSE {'x': greatest(acc.x - 1, 0), 'be': acc.be, 'b': acc.b} END,
+                      ELSE {{'x': greatest(acc.x - 1, 0), 'be': acc.be, 'b': acc.b}} END,
                  g.s0) AS r
-      FROM g JOIN albums a ON a.album_id = g.album_id)
+      FROM g JOIN albums a ON a.album_id = g.album_id),
+kept AS (
+  SELECT purchase_order, album_id, r.x AS quantity, r.be AS be, r.b AS b,
+         CAST(round(round(price * r.x * CASE WHEN r.x <= 5 THEN 0.7 ELSE 0.6 END, 2), 2) AS DOUBLE)
+         AS line_total
+  FROM f WHERE r.x > 0
+  UNION ALL
+  SELECT purchase_order, album_id, quantity, false, line, {_money('line_total')}
+  FROM purchase_order_lines l WHERE NOT EXISTS (
+    SELECT 1 FROM draft_events e
+    WHERE e.purchase_order = l.purchase_order AND e.album_id = l.album_id))
 SELECT purchase_order,
-       CAST(row_number() OVER (PARTITION BY purchase_order ORDER BY r.be, r.b) AS BIGINT) AS line,
-       album_id, r.x AS quantity,
-       CAST(round(round(price * r.x * CASE WHEN r.x <= 5 THEN 0.7 ELSE 0.6 END, 2), 2) AS DOUBLE)
-       AS line_total
-FROM f WHERE r.x > 0""")
+       CAST(CASE WHEN purchase_order IN (SELECT purchase_order FROM draft_events)
+            THEN row_number() OVER (PARTITION BY purchase_order ORDER BY be, b, album_id) ELSE b END
+            AS BIGINT) AS line,
+       album_id, CAST(quantity AS BIGINT) AS quantity, line_total
+FROM kept""")
 def fold_draft_lines(s):
     out = ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events)
     return out.withColumn("line_total", money("line_total"))

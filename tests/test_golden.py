@@ -261,8 +261,10 @@ def test_draft_lines_fold_rules(spark):
     albums = _df(spark, "albums", [(1, "t", 2000, 8, Decimal("10.00"), "p", 1, T0),
                                    (2, "t", 2000, 10, Decimal("10.00"), "p", 1, T0),
                                    (3, "t", 2000, 0, Decimal("10.00"), "p", 1, T0)])
-    lines = spark.createDataFrame([(7, 1, 1, 1), (7, 2, 3, 2)],
-                                  "purchase_order long, line long, album_id long, quantity long")
+    lines = spark.createDataFrame(
+        [(7, 1, 1, 1, Decimal("7.00")), (7, 2, 3, 2, Decimal("14.00")), (7, 3, 4, 5, Decimal("1.50")),
+         (8, 4, 1, 3, Decimal("2.50"))],          # nobody clicked order 8, nor album 4 of order 7
+        "purchase_order long, line long, album_id long, quantity long, line_total decimal(6,2)")
     ev = [(1, 1, +1), (2, 1, +1), (3, 1, +1),     # album 1: 1 -> 2, cap 2 holds
           (4, 2, +1), (5, 2, +1),                 # album 2: new line at 1, then capped
           (6, 3, -1), (7, 3, -1), (8, 3, -1)]     # album 3: 2 -> 1 -> 0 (dropped) -> 0
@@ -271,7 +273,8 @@ def test_draft_lines_fold_rules(spark):
         "event_id long, ts timestamp_ntz, purchase_order long, album_id long, delta long")
     got = rows(ch.fold_draft_lines(lines, albums, events), order=True)
     got = sorted(got)
-    assert got == [(7, 1, 1, 2, Decimal("14.00")), (7, 2, 2, 1, Decimal("7.00"))]
+    assert got == [(7, 1, 1, 2, Decimal("14.00")), (7, 2, 4, 5, Decimal("1.50")),
+                   (7, 3, 2, 1, Decimal("7.00")), (8, 4, 1, 3, Decimal("2.50"))]
 
 
 def test_nest_children_splits_hot_parent_in_order(spark):

@@ -123,7 +123,7 @@ def test_pages_concatenate_to_full_sort(spark, shop_small):
 def test_draft_fold_equals_row_by_row(spark, shop_small):
     s = shop_small
     got = {(r.purchase_order, r.album_id): r.quantity for r in
-           ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events).collect()}
+           ch.fold_draft_quantities(s.purchase_order_lines, s.albums, s.draft_events).collect()}
     stock = {r.album_id: r.stock for r in s.albums.collect()}
     start = {}
     for r in s.purchase_order_lines.collect():
@@ -196,8 +196,8 @@ def test_folds_carry_state_across_arrow_batches(spark, shop_small):
         got = sorted((r.event_id, r.accepted, r.stock_after, r.cart_after)
                      for r in adm.collect())
         drafts = {(r.purchase_order, r.album_id): r.quantity for r in
-                  ch.fold_draft_lines(s.purchase_order_lines, s.albums,
-                                      s.draft_events).collect()}
+                  ch.fold_draft_quantities(s.purchase_order_lines, s.albums,
+                                           s.draft_events).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     stock = {r.album_id: r.stock for r in s.albums.collect()}
@@ -206,7 +206,7 @@ def test_folds_carry_state_across_arrow_batches(spark, shop_small):
            if r.album_id in stock]
     assert got == _py_admit(stock, cart, evs)
     want = {(r.purchase_order, r.album_id): r.quantity for r in
-            ch.fold_draft_lines(s.purchase_order_lines, s.albums, s.draft_events).collect()}
+            ch.fold_draft_quantities(s.purchase_order_lines, s.albums, s.draft_events).collect()}
     assert drafts == want
 
 

@@ -37,7 +37,7 @@ def test_draft_fold_exact_with_a_hot_order(spark, shop_mid):
     s = shop_mid
     ev = _hot_events(s).withColumnRenamed("user_id", "purchase_order")
     small = {(r.purchase_order, r.album_id): r.quantity for r in
-             ch.fold_draft_lines(s.purchase_order_lines, s.albums, ev).collect()}
+             fold_draft_quantities(s.purchase_order_lines, s.albums, ev).collect()}
     split = {(r.purchase_order, r.album_id): r.quantity for r in
              fold_draft_quantities(s.purchase_order_lines, s.albums, ev, partitions=31)
              .collect()}
