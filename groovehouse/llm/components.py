@@ -19,7 +19,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"),
                                                 F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
         # Large star: larger neighbours go to the smallest of the neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,10 +30,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = (edges.join(least, "u").where("v != m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # Done when all edges lead to roots: no node has two edges up, or one up and one down.
+        ends = edges.select(F.explode(F.array(
+            F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        unsettled = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")) \
+            .where("up > 1 or (up = 1 and down = 1)")
+        if unsettled.isEmpty():
             roots = edges.select(F.col("v").alias("node")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 roots.select("node", F.col("node").alias("root")))
-        before = now
     raise RuntimeError("connected components did not settle")

@@ -101,7 +101,7 @@ class Model:
         return np.add.reduceat(self.weights[text.features], text.edge, axis=0)[text.word]
 
 
-def fit(examples: list[tuple[str, str]], *, per_text: int = 12, splice: float = 0.2,
+def fit(examples: list[tuple[str, str]], *, per_text: int = 10, splice: float = 0.2,
         steps: int = 40, rate: float = 0.15, decay: float = 1e-6, seed: int = 3) -> Model:
     """A model from (text, language) pairs: at most ``per_text`` sentences of each
     text, a share ``splice`` of them joined to a sentence of another text."""
@@ -151,7 +151,7 @@ def fit(examples: list[tuple[str, str]], *, per_text: int = 12, splice: float =
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", most: int = 1600) -> Model:
+          lang_col: str = "lang", most: int = 1000) -> Model:
     """Fit on a sample of about ``most`` documents, alike for all languages."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                            F.col(f"`{lang_col}`").alias("lang")).where("text is not null")
