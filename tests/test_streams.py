@@ -30,9 +30,10 @@ def test_cart_stream_restarts_from_checkpoint(spark, shop_small):
         return state
 
     first = run_once(ev.filter(key < mid))
-    assert first.last >= 0
+    before = first.last
+    assert before >= 0
     second = run_once(ev.filter(key >= mid))      # a new driver: same folders
-    assert second.last > first.last              # batch ids continue from the checkpoint
+    assert second.last > before                  # batch ids continue from the checkpoint
     assert rows(second.latest("cart")) == rows(ch.fold_cart(empty, ev))
 
 
