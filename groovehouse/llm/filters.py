@@ -28,3 +28,20 @@ def bit_filter(df: DataFrame, column: str, size: int = FILTER_BITS) -> np.ndarra
 def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     at = values & np.int64(8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def flagged(df: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """``df`` with the boolean ``flag``: whether ``column`` may be among those of
+    ``keys`` (a null is not).  The filter is a table of FILTER_BITS bits at most,
+    so its broadcast is bounded; no Python is involved."""
+    def place(name: str):
+        return F.expr(f"`{name}` & {FILTER_BITS - 1}")
+
+    bits = (keys.select(place(column).alias("#at")).where("`#at` is not null")
+            .groupBy(F.expr(f"cast(`#at` div {BITMAP} as int)").alias("#b"))
+            .agg(F.bitmap_construct_agg(F.expr(f"cast(`#at` % {BITMAP} as int)")).alias("#bits")))
+    rows = df.withColumn("#at", place(column))
+    rows = rows.join(F.broadcast(bits), F.expr(f"cast(`#at` div {BITMAP} as int)") == F.col("#b"), "left")
+    byte = f"cast(conv(hex(substring(`#bits`, cast(`#at` % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"shiftright({byte}, cast(`#at` % 8 as int)) & 1") == 1
+    return rows.withColumn(flag, F.coalesce(bit, F.lit(False))).drop("#at", "#b", "#bits")
