@@ -286,12 +286,15 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     overlap = (held.drop("grp").join(matrix, "token").where(asks)
                .where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
                .groupBy("node", "grp", "n").agg(F.count(F.lit(1)).alias("matched"),
-                                                F.min("least").alias("least")))
-    # Overlap with a member: at most the matched prefix tokens and all of the rest.
+                                                F.min("least").alias("least"), F.max("most").alias("most")))
+    # Overlap with a member: at most the matched prefix tokens and all of the rest of
+    # the one whose prefix ends first, the query's or (of ``big`` tokens at most) the member's.
     low = f"ceil({percent} * greatest(least, {percent} * n / 100) / {100 + percent}.0 " \
           f"+ {percent} * n / {100 + percent}.0 - 1e-6)"
     rest = f"ceil({percent} * n / 100.0) - 1"
-    asking = stored(overlap.where(f"matched + {rest} >= {low}").select("grp", "node"), "asking")
+    big = f"least(most, 100.0 * n / {percent})"
+    larger = f"most > n and matched + {percent} * {big} / 100.0 + 1e-6 > {percent} * (n + {big}) / {100 + percent}.0"
+    asking = stored(overlap.where(f"matched + {rest} >= {low} or {larger}").select("grp", "node"), "asking")
     opened = asking.select("grp").distinct()
     # All members of an opened group, also those without a mixed token.
     lone = asking.select("grp").distinct().join(member.select("grp").distinct(), "grp", "left_anti")

@@ -85,3 +85,26 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in connected_components(
         spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: min(ids[:100]) for i in ids[:100]} | {i: min(ids[100:200]) for i in ids[100:200]}
+
+
+def test_sets_of_other_sizes_with_frequent_tokens_against_brute_force(spark, monkeypatch):
+    """Without pivots: pairs that share little but a passage of hundreds of documents,
+    of sizes up to a third apart, some at the threshold; the smaller or the larger may ask."""
+    rounds, real = [], J.open_groups
+
+    def without_pivots(*args):
+        rounds.append(real(*args))
+        return rounds[-1].limit(0) if len(rounds) == 1 else rounds[-1]
+
+    monkeypatch.setattr(J, "open_groups", without_pivots)
+    texts = []
+    for p in range(12):
+        passage = [f"p{p}w{k}" for k in range(103)]
+        for n, extra in enumerate((1, 31 - p % 4, 600, *[300] * 25)):
+            texts.append(" ".join(passage + [f"p{p}n{n}x{k}" for k in range(extra)]))
+    docs = list(enumerate(texts))
+    random.Random(1).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    assert len({x.rsplit(", ", 1)[1] for x in want}) == len(docs) - 12
+    assert found(J.similar_components(df)) == want
