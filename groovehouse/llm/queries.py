@@ -147,7 +147,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(plain_texts(documents(spark, sf_dir)))
+    out = line_dedup.dedup_lines(plain_texts(documents(spark, sf_dir)), minima=line_dedup.MINIMA)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(
         F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
