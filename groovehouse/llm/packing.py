@@ -37,7 +37,7 @@ MERGED = 1 << 62
 class TextTokenizer:
     """Token ids of texts.  The vocabulary and merges are the tokenizer file's;
     the encoder is the faster of the libraries that read such files, with the
-    same ids.  Texts whose white space always stands alone, the usual ones, need
+    same ids, also those of added tokens that stand in a text.  Texts whose white space always stands alone, the usual ones, need
     no look-ahead to be cut into words and take a plain pattern."""
 
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -46,18 +46,18 @@ class TextTokenizer:
         import tiktoken
         with open(vocabulary, encoding="utf-8") as f:
             known = json.load(f)
-        special = {x["content"] for x in known["added_tokens"]}
+        special = {x["content"]: x["id"] for x in known["added_tokens"]}
         byte_of = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in token): k for token, k in known["model"]["vocab"].items()
                  if token not in special}
         self.full, self.plain = (
             tiktoken.Encoding("file", pat_str=self.WORDS + rest, mergeable_ranks=ranks,
-                              special_tokens={}) for rest in (r"|\s+(?!\S)|\s+", r"|\s"))
+                              special_tokens=special) for rest in (r"|\s+(?!\S)|\s+", r"|\s"))
 
     def ids(self, text: str, spaced_singly: bool) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         encoder = self.plain if spaced_singly else self.full
-        return np.array(encoder.encode_ordinary(text), "<u4").tobytes()
+        return np.array(encoder.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 #: ASCII white space, and the leading bytes of all other white space.

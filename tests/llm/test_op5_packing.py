@@ -88,3 +88,21 @@ def test_best_fit_and_the_fullest_goes():
     assert w.place(6) == (0, 0, None) and w.place(7) == (1, 0, None)
     assert w.place(3) == (1, 7, None)  # the tightest
     assert w.place(5) == (2, 0, None) and w.place(9) == (3, 0, 0)  # sequence 0 is the fullest
+
+
+@pytest.fixture(scope="module")
+def default():
+    return Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", " ", "  ", "\n", "b1", "é", "'s"]), max_size=8))
+def test_added_tokens_in_a_text_are_the_tokenizers(tokenizer, default, parts):
+    raw = "".join(parts).encode()
+    single = K.spaced_singly(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    got = np.frombuffer(tokenizer.ids(raw.decode(), bool(single)), "<u4").tolist()
+    assert got == default.encode(raw.decode(), add_special_tokens=False).ids
+
+
+def test_an_added_token_has_its_own_id(tokenizer):
+    assert np.frombuffer(tokenizer.ids("end<|endoftext|>", True), "<u4").tolist() == [437, 50256]
