@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import zlib
 from itertools import product
 
@@ -64,3 +65,14 @@ def test_awkward_rows_no_labels_and_empty_table(spark):
     none = G.train(docs.where("lang is null"))
     assert all(r["lang_pred"] == "und" for r in G.identify(docs, none).collect())
     assert G.identify(docs.limit(0), none).count() == 0
+
+
+def test_sample_is_not_cut_below_its_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "fit", lambda examples, **more: seen.append(examples))
+    G.train(spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text",
+                                         "if(id % 2 = 0, 'en', 'fr') as lang"))
+    assert 1450 <= len(seen[0]) <= 3200
+    assert inspect.signature(G.train).parameters["most"].default == 1600
+    monkeypatch.undo()
+    assert inspect.signature(G.fit).parameters["per_text"].default == 12
