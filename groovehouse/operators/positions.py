@@ -1,44 +1,131 @@
-"""Global positions without a single-partition window (D-3, S-5).
-
-``row_number().over(Window.orderBy(...))`` moves every row to one task.
-Instead the rows are range-partitioned on the full sort key (the unique id
-is part of it, so a hot sort value is split across ranges), numbered inside
-each partition, and pinned with a reliable checkpoint: range bounds are
-sampled at run time, and a re-evaluation after a lost executor could draw
-other bounds and repeat positions.  Per-partition counts (one row per
-partition, a proven bound) give the offsets, broadcast back.  The range
-shuffle is not pinned to a count, so AQE can merge adjacent ranges of a
-small input; merged ranges stay in order, which is all the offsets need.
+"""Positions, ids and numbers inside a key by fixed bounds (D-3, S-5, W-1, W-2).
+
+``row_number().over(Window.orderBy(...))`` moves every row to one task, and a
+window per key moves a hot key to one task.  Here the rows are dealt into
+buckets that follow the sort order.  The cut points are a stored table, drawn
+from the rows with the lowest hash of their sort key, so a row's bucket is a
+plain expression over fixed data: whichever job or retried task evaluates it, it
+gives the same bucket, and nothing has to be pinned.  Rows are numbered inside
+their bucket by a window and what earlier buckets hold is added: for positions
+the rows of all earlier buckets (one number a bucket), for numbers inside a key
+only the earlier rows of keys that a cut point splits (at most one key a cut).
+Both tables have no more rows than there are buckets and are broadcast.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import ensure_checkpoint_dir
+
+#: Rows of the sample per bucket: buckets differ by about a fifth in size.
+SAMPLE_PER_BUCKET = 32
+
+_SORT = re.compile(r"^(.*?)(?: (ASC|DESC))?(?: NULLS (FIRST|LAST))?$", re.S)
+
+
+@dataclass(frozen=True)
+class SortKey:
+    """One column of a sort order."""
+    text: str
+    descending: bool
+    nulls_first: bool
+
+    @classmethod
+    def of(cls, column: Column | str) -> SortKey:
+        """From a sort column (``F.col("price").desc()``) or its SQL text."""
+        text = column if isinstance(column, str) else str(column)[len("Column<'"):-len("'>")]
+        name, way, nulls = _SORT.match(text.strip()).groups()
+        down = way == "DESC"
+        return cls(name, down, nulls == "FIRST" if nulls else not down)
+
+    def value(self, df: DataFrame) -> Column:
+        return F.col(f"`{self.text}`") if self.text in df.columns else F.expr(self.text)
+
+    def sorted(self, column: Column) -> Column:
+        if self.descending:
+            return column.desc_nulls_first() if self.nulls_first else column.desc_nulls_last()
+        return column.asc_nulls_first() if self.nulls_first else column.asc_nulls_last()
+
+    def before(self, a: Column, b: Column) -> Column:
+        """Does ``a`` sort strictly before ``b``?"""
+        less = (a > b) if self.descending else (a < b)
+        return (F.when(a.isNull(), b.isNotNull() if self.nulls_first else F.lit(False))
+                .when(b.isNull(), F.lit(not self.nulls_first)).otherwise(less))
+
+
+def _width(df: DataFrame, partitions: int | None) -> int:
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cut_points(df: DataFrame, order: list[SortKey], partitions: int | None = None) -> DataFrame:
+    """The stored table of cut points (``_i``, ``_k0``, ``_k1``, …), at most one
+    per bucket.  The sample is the ``SAMPLE_PER_BUCKET`` rows a bucket with the
+    lowest hash: a top-k, so its size is bounded and no count is needed."""
+    spark = df.sparkSession
+    keys = [k.value(df).alias(f"_k{i}") for i, k in enumerate(order)]
+    names = [f"_k{i}" for i in range(len(order))]
+    lowest = (df.select(*keys).orderBy(F.xxhash64(*names), *names)
+              .limit(SAMPLE_PER_BUCKET * _width(df, partitions)))
+    place = F.row_number().over(Window.orderBy(*[k.sorted(F.col(n)) for k, n in zip(order, names)]))
+    cuts = (lowest.withColumn("_i", place).where(F.col("_i") % SAMPLE_PER_BUCKET == 0)
+            .select("_i", *names))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cuts-{uuid.uuid4().hex}"
+    cuts.coalesce(1).write.parquet(path)
+    return spark.read.schema(cuts.schema).parquet(path)
+
+
+def _with_bucket(df: DataFrame, order: list[SortKey], cuts: DataFrame) -> DataFrame:
+    """``df`` with ``_gh_pid``: how many cut points lie before or at the row,
+    found by halving the sorted array of cut points."""
+    names = cuts.columns
+    array = cuts.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("a")).scalar()
+    row = [k.value(df) for k in order]
+
+    def after(cut: Column) -> Column:
+        """Does the cut point sort after the row?"""
+        decided: Column = F.lit(False)
+        for i in reversed(range(len(order))):
+            c = cut[f"_k{i}"]
+            decided = F.when(c.eqNullSafe(row[i]), decided).otherwise(order[i].before(row[i], c))
+        return decided
+
+    size = F.size("_gh_cuts")
+    # (lo, hi): the cut points below lo lie before the row, those from hi on after it.
+    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        late = after(F.get(F.col("_gh_cuts"), mid))
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & ~late, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & late, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1.0))).cast("int"))
+    return (df.withColumn("_gh_cuts", array)
+            .withColumn("_gh_pid", F.aggregate(steps, start, halve)["lo"]).drop("_gh_cuts"))
 
 
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
                      partitions: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 1..n in the total order ``order`` (which must end in
     a unique key)."""
-    # Without a pinned count AQE may merge adjacent ranges (order is kept),
-    # so small inputs do not pay for the configured shuffle width.
-    ranged = (df.repartitionByRange(partitions, *order) if partitions
-              else df.repartitionByRange(*order)).sortWithinPartitions(*order)
-    tagged = cut_lineage(ranged.withColumn("_gh_pid", F.spark_partition_id())
-                         .withColumn("_gh_mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_gh_pid").agg(F.count(F.lit(1)).alias("_gh_n"),
-                                           F.min("_gh_mid").alias("_gh_base"))
-    # At most one row per partition: a single small task is fine here.
+    keys = [SortKey.of(c) for c in order]
+    dealt = _with_bucket(df, keys, cut_points(df, keys, partitions))
+    counts = dealt.groupBy("_gh_pid").agg(F.count(F.lit(1)).alias("_gh_n"))
+    # One row a bucket: a single small task is fine here.
     before = Window.orderBy("_gh_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_gh_pid", "_gh_base",
-                            F.coalesce(F.sum("_gh_n").over(before), F.lit(0)).alias("_gh_off"))
-    return (tagged.join(F.broadcast(offsets), "_gh_pid")
-            .withColumn(pos_col, (F.col("_gh_off") + F.col("_gh_mid") - F.col("_gh_base") + 1)
-                        .cast("bigint"))
-            .drop("_gh_pid", "_gh_mid", "_gh_base", "_gh_off"))
+    offsets = counts.select("_gh_pid", F.coalesce(F.sum("_gh_n").over(before), F.lit(0)).alias("_gh_off"))
+    inside = Window.partitionBy("_gh_pid").orderBy(*[k.sorted(k.value(df)) for k in keys])
+    return (dealt.withColumn("_gh_row", F.row_number().over(inside))
+            .join(F.broadcast(offsets), "_gh_pid")
+            .withColumn(pos_col, (F.col("_gh_off") + F.col("_gh_row")).cast("bigint"))
+            .drop("_gh_pid", "_gh_row", "_gh_off"))
 
 
 def assign_ids(new: DataFrame, current: DataFrame, id_col: str, order: list[Column],
@@ -50,16 +137,39 @@ def assign_ids(new: DataFrame, current: DataFrame, id_col: str, order: list[Colu
     return pos.withColumn(id_col, top + F.col("_gh_pos")).drop("_gh_pos")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], col: str
-                ) -> DataFrame:
-    """Dense 1..n numbering inside each key, in ``order`` (which must make
-    rows unique inside a key).  Global positions over (keys, order) plus the
-    first position per key (a partial aggregate): a key holding a third of
-    the rows is split over many range partitions instead of one window
-    task."""
-    total = [F.col(k).asc() for k in keys] + list(order)
-    pos = global_positions(df, total, "_gh_gpos")
-    first = pos.groupBy(*keys).agg(F.min("_gh_gpos").alias("_gh_first"))
-    return (pos.join(first, keys)
-            .withColumn(col, (F.col("_gh_gpos") - F.col("_gh_first") + 1).cast("bigint"))
-            .drop("_gh_gpos", "_gh_first"))
+def edge_carry(dealt: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """(``_gh_pid``, ``_c0``, …, ``_gh_carry``): rows of a key in earlier buckets,
+    for the keys that a cut point splits; others are not counted at all."""
+    split = cuts.select(*[F.col(f"_k{i}").alias(f"_c{i}") for i in range(len(keys))]).distinct()
+    same = None
+    for i, k in enumerate(keys):
+        c = dealt[f"`{k}`"].eqNullSafe(split[f"_c{i}"])
+        same = c if same is None else same & c
+    names = [f"_c{i}" for i in range(len(keys))]
+    counts = (dealt.join(F.broadcast(split), same)
+              .groupBy(*names, "_gh_pid").agg(F.count(F.lit(1)).alias("_gh_n")))
+    before = Window.partitionBy(*names).orderBy("_gh_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return (counts.withColumn("_gh_carry", F.sum("_gh_n").over(before))
+            .where("_gh_carry is not null").drop("_gh_n").withColumnRenamed("_gh_pid", "_c_pid"))
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], col: str,
+                partitions: int | None = None) -> DataFrame:
+    """Dense 1..n numbering inside each key, in ``order`` (which must make rows
+    unique inside a key): ``row_number`` inside (bucket, key) plus the carry of
+    keys that go on over a cut point.  The rows are shuffled once, by (bucket,
+    key), so a key that holds a third of the rows is spread over its buckets."""
+    total = [SortKey.of(F.col(f"`{k}`").asc()) if k not in df.columns else SortKey(k, False, True)
+             for k in keys] + [SortKey.of(c) for c in order]
+    cuts = cut_points(df, total, partitions)
+    dealt = _with_bucket(df, total, cuts)
+    inside = Window.partitionBy("_gh_pid", *keys).orderBy(
+        *[k.sorted(k.value(df)) for k in total[len(keys):]])
+    numbered = dealt.withColumn("_gh_row", F.row_number().over(inside))
+    carry = edge_carry(dealt, cuts, keys)
+    here = F.col("_gh_pid") == F.col("_c_pid")
+    for i, k in enumerate(keys):
+        here = here & F.col(f"`{k}`").eqNullSafe(F.col(f"_c{i}"))
+    return (numbered.join(F.broadcast(carry), here, "left")
+            .withColumn(col, (F.col("_gh_row") + F.coalesce("_gh_carry", F.lit(0))).cast("bigint"))
+            .select(*df.columns, col))

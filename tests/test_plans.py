@@ -6,8 +6,8 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from groovehouse.plans import registry
 
 PYTHON_OK = {"admit_cart_events", "move_stock", "cart_after_admission", "fold_draft_lines",
              "cart_checkout_cycle",
@@ -20,9 +20,9 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_outside_ordered_folds(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(registry.queries()[name](spark, SF_SMALL))
     has_py = any(k in plan for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                                      "FlatMapGroupsInPandas"))
     # A fold may sit behind a checkpoint (then it is not in the final plan).
@@ -43,14 +43,14 @@ def _bad_single_partition(plan: str) -> list[str]:
     return bad
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SINGLE_OK))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SINGLE_OK))
 def test_no_single_partition_exchange(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(registry.queries()[name](spark, SF_SMALL))
     assert _bad_single_partition(plan) == []
 
 
 def test_album_page_is_top_k_with_pruned_scan(spark):
-    df = E.queries()["album_page"](spark, SF_SMALL)
+    df = registry.queries()["album_page"](spark, SF_SMALL)
     plan = _plan(df)
     assert "TakeOrderedAndProject" in plan
     # the part scan reads only the columns the listing needs
