@@ -3,7 +3,7 @@
 ``row_number().over(Window.orderBy(...))`` moves every row to one task, and a
 window per key moves a hot key to one task.  Here the rows are dealt into
 buckets that follow the sort order.  The cut points are a stored table, drawn
-from the rows with the lowest hash of their sort key, so a row's bucket is a
+from the rows with a low hash of their sort key, so a row's bucket is a
 plain expression over fixed data: whichever job or retried task evaluates it, it
 gives the same bucket, and nothing has to be pinned.  Rows are numbered inside
 their bucket by a window and what earlier buckets hold is added: for positions
@@ -64,16 +64,18 @@ def _width(df: DataFrame, partitions: int | None) -> int:
 
 
 def cut_points(df: DataFrame, order: list[SortKey], partitions: int | None = None) -> DataFrame:
-    """The stored table of cut points (``_i``, ``_k0``, ``_k1``, …), at most one
-    per bucket.  The sample is the ``SAMPLE_PER_BUCKET`` rows a bucket with the
-    lowest hash: a top-k, so its size is bounded and no count is needed."""
+    """The stored table of cut points (``_i``, ``_k0``, ``_k1``, …), about one per
+    bucket.  The sample holds the sort keys whose hash is below a share that gives
+    about ``SAMPLE_PER_BUCKET`` rows a bucket, each once: repeated rows do not swell
+    it, and only these rows meet in one task."""
     spark = df.sparkSession
     keys = [k.value(df).alias(f"_k{i}") for i, k in enumerate(order)]
     names = [f"_k{i}" for i in range(len(order))]
-    lowest = (df.select(*keys).orderBy(F.xxhash64(*names), *names)
-              .limit(SAMPLE_PER_BUCKET * _width(df, partitions)))
+    share = SAMPLE_PER_BUCKET * _width(df, partitions) / max(df.count(), 1)
+    chance = F.shiftrightunsigned(F.xxhash64(*names), 11) / float(1 << 53)
+    sample = df.select(*keys).where(chance < share).distinct()
     place = F.row_number().over(Window.orderBy(*[k.sorted(F.col(n)) for k, n in zip(order, names)]))
-    cuts = (lowest.withColumn("_i", place).where(F.col("_i") % SAMPLE_PER_BUCKET == 0)
+    cuts = (sample.withColumn("_i", place).where(F.col("_i") % SAMPLE_PER_BUCKET == 0)
             .select("_i", *names))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cuts-{uuid.uuid4().hex}"
     cuts.coalesce(1).write.parquet(path)

