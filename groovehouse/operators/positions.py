@@ -15,13 +15,12 @@ Both tables have no more rows than there are buckets and are broadcast.
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored_table
 
 #: Rows of the sample per bucket: buckets differ by about a fifth in size.
 SAMPLE_PER_BUCKET = 32
@@ -68,7 +67,6 @@ def cut_points(df: DataFrame, order: list[SortKey], partitions: int | None = Non
     bucket.  The sample holds the sort keys whose hash is below a share that gives
     about ``SAMPLE_PER_BUCKET`` rows a bucket, each once: repeated rows do not swell
     it, and only these rows meet in one task."""
-    spark = df.sparkSession
     keys = [k.value(df).alias(f"_k{i}") for i, k in enumerate(order)]
     names = [f"_k{i}" for i in range(len(order))]
     share = SAMPLE_PER_BUCKET * _width(df, partitions) / max(df.count(), 1)
@@ -77,9 +75,7 @@ def cut_points(df: DataFrame, order: list[SortKey], partitions: int | None = Non
     place = F.row_number().over(Window.orderBy(*[k.sorted(F.col(n)) for k, n in zip(order, names)]))
     cuts = (sample.withColumn("_i", place).where(F.col("_i") % SAMPLE_PER_BUCKET == 0)
             .select("_i", *names))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cuts-{uuid.uuid4().hex}"
-    cuts.coalesce(1).write.parquet(path)
-    return spark.read.schema(cuts.schema).parquet(path)
+    return stored_table(cuts, "cuts")
 
 
 def _with_bucket(df: DataFrame, order: list[SortKey], cuts: DataFrame) -> DataFrame:
@@ -113,6 +109,14 @@ def _with_bucket(df: DataFrame, order: list[SortKey], cuts: DataFrame) -> DataFr
             .withColumn("_gh_pid", F.aggregate(steps, start, halve)["lo"]).drop("_gh_cuts"))
 
 
+def with_bucket(df: DataFrame, order: list[Column | str], col: str,
+                partitions: int | None = None) -> DataFrame:
+    """``df`` with ``col``, the number of the bucket of its place in ``order``: buckets
+    of about equal size that follow one another, the same in every evaluation."""
+    keys = [SortKey.of(c) for c in order]
+    return _with_bucket(df, keys, cut_points(df, keys, partitions)).withColumnRenamed("_gh_pid", col)
+
+
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
                      partitions: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 1..n in the total order ``order`` (which must end in

@@ -1,5 +1,5 @@
 """Plan tests: pushdown and pruning reach the scan, Python runs on workers
-only in the two ordered folds, no single-partition exchange outside
+only in the admission fold, no single-partition exchange outside
 global aggregates and top-k."""
 
 from __future__ import annotations
@@ -9,9 +9,6 @@ import pytest
 from conftest import SF_SMALL
 from groovehouse.plans import registry
 
-PYTHON_OK = {"admit_cart_events", "move_stock", "cart_after_admission", "fold_draft_lines",
-             "cart_checkout_cycle",
-             "draft_quantities"}
 # Top-k pages and the bounded 50-user allow list gather into one task by design.
 SINGLE_OK = {"album_page", "album_page_title", "artist_page", "allow_list", "admit_users"}
 
@@ -21,12 +18,12 @@ def _plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_no_python_outside_ordered_folds(spark, name):
+def test_no_python_in_the_plan(spark, name):
     plan = _plan(registry.queries()[name](spark, SF_SMALL))
     has_py = any(k in plan for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                                      "FlatMapGroupsInPandas"))
-    # A fold may sit behind a checkpoint (then it is not in the final plan).
-    assert not has_py or name in PYTHON_OK
+    # The admission fold sits behind a stored table.
+    assert not has_py
 
 
 def _bad_single_partition(plan: str) -> list[str]:

@@ -59,8 +59,8 @@ def test_documents_exact_with_a_hot_artist(spark, shop_mid):
     assert doc.filter("artist_id = 0").select(F.size("albums")).first()[0] == albums.count()
 
 
-def test_cart_ledger_burst_cut_by_rank(spark, shop_mid):
-    """All of a hot pair's events inside one hour: rank chunks of 7 rows."""
+def test_cart_ledger_burst_cut_by_buckets(spark, shop_mid):
+    """All of a hot pair's events inside one hour, cut into about 30 of 100 buckets."""
     from groovehouse.operators.folds import clamped_ledger
     ev = _hot_events(shop_mid).withColumn(
         "ts", F.when((F.col("user_id") == 0) & (F.col("album_id") == 0),
@@ -68,9 +68,9 @@ def test_cart_ledger_burst_cut_by_rank(spark, shop_mid):
                      + F.make_dt_interval(secs=(F.col("event_id") % 3000) / 1000))
         .otherwise(F.col("ts")))
     start = shop_mid.cart
-    got = rows(clamped_ledger(start, ev, ["user_id", "album_id"], chunk_rows=7)
+    got = rows(clamped_ledger(start, ev, ["user_id", "album_id"], partitions=100)
                .filter("quantity > 0"))
-    want = rows(clamped_ledger(start, ev, ["user_id", "album_id"], chunk_rows=10 ** 9)
+    want = rows(clamped_ledger(start, ev, ["user_id", "album_id"], partitions=1)
                 .filter("quantity > 0"))
     assert got == want
     w = (Window.partitionBy("user_id", "album_id")
