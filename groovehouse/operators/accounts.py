@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import activity_text, item_label, money, ts_text
-from .nesting import has_hot_parent, nest_children
+from .nesting import nest_children, number_items
 
 # Fixed texts of the reference's availability messages.
 MSG_IN_CART = " of these albums are in your cart."
@@ -83,59 +83,46 @@ def _album_entry() -> F.Column:
                     money("price").alias("price"))
 
 
+def _balance() -> F.Column:
+    return money(F.sum(F.col("quantity") * F.col("price"))).alias("balance")
+
+
 def order_documents(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
                     artists: DataFrame, users: DataFrame) -> DataFrame:
     """A-10: per user an array of orders (by id), each with its balance and
-    albums; ``[]`` for a user without orders.  Two nesting stages: items
-    per order, then orders per user (each cut into parts when huge)."""
+    albums; ``[]`` for a user without orders.  Two nesting stages: items and
+    their sum per order, then orders per user."""
     items = _items(bridge, albums, artists).join(orders, "order_id")
-    sums = items.groupBy("user_id", "order_id", "dispatched").agg(
-        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
-    # An order belongs to one user: bridge rows per order bound its items.
-    split_orders = has_hot_parent(bridge.select("order_id"), ["order_id"])
-    per_order = (nest_children(items, ["user_id", "order_id"], _album_entry(), ["album_id"],
-                               "albums", known_small=not split_orders)
-                 .withColumnRenamed("part", "albums_part")
-                 .join(sums, ["user_id", "order_id"]))
-    # With no order split into parts, a user has exactly one row per order,
-    # so the orders table bounds the per-user test without re-running the
-    # nesting above.
+    per_order = nest_children(items, ["user_id", "order_id", "dispatched"], _album_entry(), "albums", [_balance()])
     per_user = nest_children(per_order, ["user_id"], F.struct(
-        "order_id", "albums_part", ts_text("dispatched").alias("dispatched"), "balance",
-        "albums"), ["order_id", "albums_part"], "orders",
-        bound=None if split_orders else orders.select("user_id"))
+        "order_id", ts_text("dispatched").alias("dispatched"), "balance", "albums"), "orders")
     empty = F.array().cast(per_user.schema["orders"].dataType)
     return (users.select("user_id", "username").join(per_user, "user_id", "left")
-            .select("user_id", "username",
-                    F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-                    F.coalesce("orders", empty).alias("orders")))
+            .select("user_id", "username", F.coalesce("orders", empty).alias("orders")))
+
+
+def order_item_rows(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
+                    artists: DataFrame) -> DataFrame:
+    """A-10 as a flat table: one row per order item with its number in the order (by
+    album id), for orders and users of any size."""
+    items = _items(bridge, albums, artists).join(orders.select("order_id", "user_id"), "order_id")
+    return number_items(items.select("user_id", "order_id", "album_id", "title", "artist", "quantity",
+                                     money("price").alias("price")), ["order_id"], ["album_id"])
 
 
 def cart_documents(cart: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
     """A-11 part: per user with a cart: balance and albums (by album id)."""
-    items = _items(cart, albums, artists)
-    sums = items.groupBy("user_id").agg(
-        money(F.sum(F.col("quantity") * F.col("price"))).alias("balance"))
-    return nest_children(items, ["user_id"], _album_entry(), ["album_id"], "albums",
-                         bound=cart.select("user_id")) \
-        .join(sums, "user_id")
+    return nest_children(_items(cart, albums, artists), ["user_id"], _album_entry(), "albums", [_balance()])
 
 
 def account_document(users: DataFrame, cart: DataFrame, orders: DataFrame,
                      bridge: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
     """A-11: account document: cart (balance and albums, both NULL for an
-    empty cart, as an aggregate over no rows gives) beside the orders.
-    Parts of a huge cart and of a huge order list are paired by part
-    number (a full outer join on (user, part)), never multiplied."""
+    empty cart, as an aggregate over no rows gives) beside the orders."""
     carts = cart_documents(cart, albums, artists)
     docs = order_documents(orders, bridge, albums, artists, users)
-    j = docs.join(carts, ["user_id", "part"], "full_outer")
-    empty = F.array().cast(docs.schema["orders"].dataType)
-    names = users.select("user_id", F.col("username").alias("_u"))
-    return (j.join(names, "user_id")
-            .select("user_id", F.col("_u").alias("username"), "part",
-                    F.struct("balance", "albums").alias("cart"),
-                    F.coalesce("orders", empty).alias("orders")))
+    return docs.join(carts, "user_id", "left").select(
+        "user_id", "username", F.struct("balance", "albums").alias("cart"), "orders")
 
 
 def cart_count(cart: DataFrame, users: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,8 +151,7 @@ def user_activity(users: DataFrame, orders: DataFrame, cart: DataFrame) -> DataF
 def checkout_baskets(cart: DataFrame, users: DataFrame) -> DataFrame:
     """A-12: per user with a cart: array of (album_id, quantity)."""
     return nest_children(cart.join(users.select("user_id"), "user_id"), ["user_id"],
-                         F.struct("album_id", "quantity"), ["album_id"], "albums",
-                         bound=cart.select("user_id"))
+                         F.struct("album_id", "quantity"), "albums")
 
 
 def availability(albums: DataFrame, cart: DataFrame, views: DataFrame) -> DataFrame:

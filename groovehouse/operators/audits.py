@@ -1,7 +1,7 @@
 """Integrity audits: declared constraints as jobs returning violating rows.
 
-IDs: C-1..C-6.  Every audit is a union of per-table scans, anti joins and
-grouped counts (partial aggregation), returning one row per violation.
+IDs: C-1..C-6.  Every audit is a union of per-table scans and grouped counts
+(partial aggregation), returning one row per violation.
 """
 
 from __future__ import annotations
@@ -33,36 +33,50 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def audit_primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """C-1: (table, key, problem, rows): NULL key parts or repeated keys.
-    One grouped count per table (partial aggregation on the key columns)."""
-    out = []
-    for name, keys in PRIMARY_KEYS.items():
-        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        g = tables[name].groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        out.append(g.filter(any_null | (F.col("rows") > 1)).select(
-            F.lit(name).alias("table"), _key_text(keys).alias("key"),
-            F.when(any_null, F.lit("null key")).otherwise(F.lit("repeated key"))
-            .alias("problem"), "rows"))
-    return _union(out)
+def audit_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """C-1/C-2 in one pass: (table, key, null_key, own, refs): how many rows of ``table``
+    have the key, and per foreign key that refers to the table how many rows of its
+    child do.  Every table is read once: a row gives a mark for its own key and one
+    for each reference that is not NULL, and one grouped sum counts them all (a parent
+    that many children refer to is pre-aggregated in every task)."""
+    def mark(table: str, cols: list[str], relation: int) -> Column:
+        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+        return F.struct(F.lit(table).alias("table"), _key_text(cols).alias("key"),
+                        null.alias("null_key"), F.lit(relation).alias("relation"))
 
-
-def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    marks = []
+    for name, keys in PRIMARY_KEYS.items():
+        found = [mark(name, keys, -1)]
+        for i, (child, cols, parent, pcols, _rule) in enumerate(FOREIGN_KEYS):
+            if child == name:
+                assert pcols == PRIMARY_KEYS[parent]
+                given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+                found.append(F.when(given, mark(parent, cols, i)))
+        marks.append(tables[name].select(F.inline(F.array_compact(F.array(*found)))))
+    refs = [F.count_if(F.col("relation") == i) for i in range(len(FOREIGN_KEYS))]
+    return _union(marks).groupBy("table", "key", "null_key").agg(
+        F.count_if(F.col("relation") == -1).alias("own"), F.array(*refs).alias("refs"))
+
+
+def audit_primary_keys(tables: dict[str, DataFrame], keys: DataFrame | None = None) -> DataFrame:
+    """C-1: (table, key, problem, rows): NULL key parts or repeated keys.  ``keys``: the
+    result of ``audit_keys`` where the caller has it."""
+    k = audit_keys(tables) if keys is None else keys
+    return k.where((F.col("own") > 1) | (F.col("null_key") & (F.col("own") > 0))).select(
+        "table", "key", F.when(F.col("null_key"), "null key").otherwise("repeated key").alias("problem"),
+        F.col("own").alias("rows"))
+
+
+def audit_foreign_keys(tables: dict[str, DataFrame], keys: DataFrame | None = None) -> DataFrame:
     """C-2: (child, column, parent, value, rows) for references to a missing
     parent; a NULL reference is allowed."""
-    out = []
-    for child, cols, parent, pcols, _rule in FOREIGN_KEYS:
-        c = tables[child].filter(reduce(lambda a, b: a & b,
-                                        [F.col(x).isNotNull() for x in cols]))
-        # An anti join needs no distinct parent keys (and saves a shuffle).
-        p = tables[parent].select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, cols)])
-        orphans = (c.join(p, cols, "left_anti").groupBy(*cols)
-                   .agg(F.count(F.lit(1)).alias("rows")))
-        out.append(orphans.select(F.lit(child).alias("child"),
-                                  F.lit(",".join(cols)).alias("column"),
-                                  F.lit(parent).alias("parent"),
-                                  _key_text(cols).alias("value"), "rows"))
-    return _union(out)
+    k = audit_keys(tables) if keys is None else keys
+    relations = [F.struct(F.lit(child).alias("child"), F.lit(",".join(cols)).alias("column"),
+                          F.col("table").alias("parent"), F.col("key").alias("value"),
+                          F.get("refs", F.lit(i)).alias("rows"))
+                 for i, (child, cols, _parent, _pcols, _rule) in enumerate(FOREIGN_KEYS)]
+    return (k.where("own = 0 and not null_key").select(F.inline(F.array(*relations)))
+            .where("rows > 0"))
 
 
 def audit_checks(tables: dict[str, DataFrame]) -> DataFrame:

@@ -157,11 +157,9 @@ def artist_with_albums(artists: DataFrame, albums: DataFrame,
     a = artists if ids is None else artists.join(ids.select("artist_id"), "artist_id",
                                                  "left_semi")
     names = a.select("artist_id", "name")
-    per = nest_children(albums.join(names, "artist_id"), ["artist_id"], _album_item(),
-                        ["album_id"], "albums", bound=albums.select("artist_id"))
+    per = nest_children(albums.join(names, "artist_id"), ["artist_id"], _album_item(), "albums")
     return (a.join(per, "artist_id", "left")
             .select("artist_id", "name", "bio",
-                    F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
                     F.coalesce("albums", F.array().cast(per.schema["albums"].dataType))
                     .alias("albums")))
 
@@ -172,12 +170,11 @@ def album_detail(albums: DataFrame, artists: DataFrame, songs: DataFrame,
     an artist and at least one song (inner joins, as the reference)."""
     a = albums if ids is None else albums.join(ids.select("album_id"), "album_id",
                                                "left_semi")
-    tracks = nest_children(songs, ["album_id"], F.struct("track", "song", "duration"),
-                           ["track"], "songs", bound=songs.select("album_id"))
+    tracks = nest_children(songs, ["album_id"], F.struct("track", "song", "duration"), "songs")
     return (a.join(artists.select("artist_id", "name"), "artist_id")
             .join(tracks, "album_id")
             .select("album_id", "artist_id", "name", "title", "release_year", "photo",
-                    "stock", money("price").alias("price"), "part", "songs"))
+                    "stock", money("price").alias("price"), "songs"))
 
 
 def song_listing(songs: DataFrame) -> DataFrame:

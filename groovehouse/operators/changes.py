@@ -9,6 +9,8 @@ IDs: PF-9, J-9, J-11..14, J-16, A-16, D-1..23, SRC-3, SRC-5.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,15 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: str, stamp_col: str | No
     """D-5/F-15: partial update: a NULL in the patch leaves the column;
     patched rows get the modified stamp ``at``.  Several patches of a key are
     applied in the order of ``order_col``: of each column the last value that is
-    not NULL counts (without an order column the largest)."""
+    not NULL counts.  Without an order column one whole patch of a key counts (the
+    largest row), so that no result mixes patches in an unsaid order."""
     cols = [c for c in patch.columns if c not in (key, order_col)]
-    last = [(F.max(c) if order_col is None else
-             F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(order_col), F.col(c))))).alias(c)
-            for c in cols]
-    patch = patch.groupBy(key).agg(*last) if cols else patch.select(key).distinct()
+    if order_col is None:
+        patch = last_per_key(patch, [key], None)
+    else:
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(order_col), F.col(c)))).alias(c)
+                for c in cols]
+        patch = patch.groupBy(key).agg(*last) if cols else patch.select(key).distinct()
     p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = table.join(p, key, "left")
     out = []
@@ -184,14 +189,13 @@ def zip_join(a: DataFrame, b: DataFrame, key: list[str], order_a: str, order_b:
 
 
 def rows_to_arrays(df: DataFrame, key: list[str], cols: list[str], order: str) -> DataFrame:
-    """SRC-5: one set of parallel arrays per key, in ``order`` (a huge key
-    gives several parts)."""
+    """SRC-5: one set of parallel arrays per key, in ``order``."""
     item = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols])
-    g = nest_children(df, key, item, [order], "_rows")
+    g = nest_children(df, key, item, "_rows")
 
     def field(c):
         return lambda r: r[c]
-    return g.select(*key, "part", *[F.transform("_rows", field(c)).alias(c) for c in cols])
+    return g.select(*key, *[F.transform("_rows", field(c)).alias(c) for c in cols])
 
 
 def arrays_to_rows(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
@@ -277,31 +281,63 @@ def apply_diff(table: DataFrame, diff: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(put)
 
 
+def change_set(diff: DataFrame, key: str, parents: DataFrame, headers: DataFrame | None,
+               fields: list[str]) -> DataFrame:
+    """Parent and children in one set of changes: per parent with any change its child
+    counts (``added``, ``updated``, ``deleted``), ``children_changed``, ``header_changed``
+    and the values that the edit gives its ``fields`` (null struct without an edit).
+    ``headers``: (key, fields), one edited header a parent."""
+    counts = diff.groupBy(key).agg(
+        *[F.count_if(F.col("op") == op).cast("bigint").alias(name)
+          for op, name in (("add", "added"), ("update", "updated"), ("delete", "deleted"))],
+        F.lit(True).alias("children_changed"))
+    if headers is None:
+        none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in parents.schema.fields])
+        return counts.withColumns({"header_changed": F.lit(False), "_new": F.when(F.lit(False), none)})
+    given = last_per_key(headers.select(key, *fields), [key], None).select(key, F.struct(*fields).alias("_new"))
+    old = parents.select(key, F.struct(*fields).alias("_old"))
+    differs = reduce(lambda a, b: a | b, [~F.col(f"_new.{c}").eqNullSafe(F.col(f"_old.{c}")) for c in fields])
+    edits = given.join(old, key).select(key, "_new", differs.alias("header_changed"))
+    j = counts.join(edits, key, "full_outer")
+    none = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("added", "updated", "deleted")}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("children_changed", "header_changed")}
+    return j.withColumns({**none, **flags}).where("children_changed or header_changed")
+
+
+def apply_headers(parents: DataFrame, changes: DataFrame, key: str, fields: list[str],
+                  marks: dict[str, Column]) -> DataFrame:
+    """Parents of ``changes`` take the ``marks`` (stamp, status) and, where the change holds
+    a header (``_new``), its fields; all others stay as they are."""
+    ch = changes.select(key, F.lit(True).alias("_hit"), "_new")
+    out = []
+    for f in parents.schema.fields:
+        c = F.col(f.name)
+        if f.name in fields:
+            c = F.when(F.col("_new").isNotNull(), F.col(f"_new.{f.name}")).otherwise(c)
+        elif f.name in marks:
+            c = F.when(F.col("_hit"), marks[f.name]).otherwise(c)
+        out.append(c.cast(f.dataType).alias(f.name))
+    return parents.join(ch, key, "left").select(*out)
+
+
+ORDER_FIELDS = ["shipping_cost", "estimated_receipt"]
+
+
 def merge_lines(lines: DataFrame, pos: DataFrame, new: DataFrame, at: str,
                 headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """D-16 merge: only orders the buyer may edit (status pending-buyer,
     PF-11) take the diff; changed orders go back to pending-supplier with
     the modified stamp ``at``.  ``headers`` (purchase_order, shipping_cost,
-    estimated_receipt): an edit also sets these of its order, and counts as a
-    change where they differ.  Returns (lines, purchase orders)."""
+    estimated_receipt): an edit that changes a line also sets these of its order; one
+    that changes no line changes nothing.  Returns (lines, purchase orders)."""
     editable = pos.filter(F.col("status") == "pending-buyer").select("purchase_order")
     # Lines of other orders take no part in the diff.
     d = diff_lines(lines.join(editable, "purchase_order", "left_semi"),
                    new.join(editable, "purchase_order", "left_semi"))
     merged = apply_diff(lines, d, ["purchase_order", "line"])
-    touched = d.select("purchase_order").distinct()
-    fields = ["shipping_cost", "estimated_receipt"]
-    if headers is not None:
-        old = pos.select("purchase_order", *[F.col(c).alias(f"_old_{c}") for c in fields])
-        given = last_per_key(headers.select("purchase_order", *fields), ["purchase_order"], None)
-        given = (given.join(editable, "purchase_order", "left_semi").join(old, "purchase_order"))
-        differs = ~(F.col(fields[0]).eqNullSafe(F.col(f"_old_{fields[0]}"))
-                    & F.col(fields[1]).eqNullSafe(F.col(f"_old_{fields[1]}")))
-        touched = touched.unionByName(given.filter(differs).select("purchase_order")).distinct()
-        pos = update_by_key(pos, given.select("purchase_order", *fields), ["purchase_order"], fields)
-    changed = touched.select("purchase_order", F.lit("pending-supplier").alias("status"),
-                             stamp(at).alias("modified"))
-    return merged, update_by_key(pos, changed, ["purchase_order"], ["status", "modified"])
+    changes = change_set(d, "purchase_order", pos, headers, ORDER_FIELDS).where("children_changed")
+    marks = {"status": F.lit("pending-supplier"), "modified": stamp(at)}
+    return merged, apply_headers(pos, changes, "purchase_order", ORDER_FIELDS, marks)
 
 
 def diff_songs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -329,14 +365,19 @@ def change_summary(diff: DataFrame, key: str, header: DataFrame | None = None) -
                            + F.coalesce("deleted", F.lit(0)) > 0)).alias("changed"))
 
 
-def merge_songs(songs: DataFrame, albums: DataFrame, new: DataFrame, at: str
-                ) -> tuple[DataFrame, DataFrame]:
-    """D-17 merge: apply the song diff; albums with any change get the
-    modified stamp ``at``.  Returns (songs, albums)."""
+ALBUM_FIELDS = ["title", "release_year", "price", "artist_id", "photo"]
+
+
+def merge_songs(songs: DataFrame, albums: DataFrame, new: DataFrame, at: str,
+                headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """D-17 merge: apply the song diff; albums with any change get the modified stamp
+    ``at``.  ``headers`` (album_id, title, release_year, price, artist_id, photo): the
+    album forms of the same edit; a changed field applies and stamps by itself, with or
+    without a changed song.  Returns (songs, albums)."""
     d = diff_songs(songs, new)
-    merged = apply_diff(songs, d, ["album_id", "track"])
-    touched = d.select("album_id").distinct().select("album_id", stamp(at).alias("modified"))
-    return merged, update_by_key(albums, touched, ["album_id"], ["modified"])
+    changes = change_set(d, "album_id", albums, headers, ALBUM_FIELDS)
+    return (apply_diff(songs, d, ["album_id", "track"]),
+            apply_headers(albums, changes, "album_id", ALBUM_FIELDS, {"modified": stamp(at)}))
 
 
 # ---- workflows --------------------------------------------------------------

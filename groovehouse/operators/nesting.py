@@ -1,12 +1,10 @@
-"""Nested documents without unbounded groups.
-
-A document holds a parent's children as an ordered array.  A parent with
-more than ``max_items`` children is cut into parts of ``max_items``
-consecutive children (``part`` 0, 1, …; exact ranks from the skew-safe
-numbering), so no array, row or task grows with a hot parent.  The common
-case (every parent small) is one grouped ``collect_list`` with partial
-aggregation; telling the two apart costs one aggregate over the key
-columns only.
+"""Parents with their ordered children: flat at any size, nested as one document.
+
+``number_items`` is the form without a bound: one row per child with its number
+inside its parent, so a parent with a third of all children is spread over tasks like
+any other rows.  ``nest_children`` gives the document of each parent, one row however
+many children it has: a document is by nature one value, so it is for parents whose
+children fit in a row, and callers who need some parents' documents pass their ``ids``.
 """
 
 from __future__ import annotations
@@ -16,41 +14,16 @@ from pyspark.sql import functions as F
 
 from .positions import rank_within
 
-DOC_PART_ITEMS = 10_000
-
-
-def has_hot_parent(rows: DataFrame, keys: list[str], max_items: int = DOC_PART_ITEMS) -> bool:
-    """Does any parent have more than ``max_items`` rows?  One aggregate over
-    the key columns (partial aggregation, a bounded answer to the driver)."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
-    return not counts.filter(F.col("_gh_n") > max_items).isEmpty()
-
-
-def nest_children(children: DataFrame, keys: list[str], item: Column, order: list[str],
-                  name: str, max_items: int = DOC_PART_ITEMS,
-                  bound: DataFrame | None = None, known_small: bool = False) -> DataFrame:
-    """(keys..., part, name): ``item`` structs sorted by their leading
-    fields, which must be the ``order`` columns (unique inside a parent).
-
-    ``bound`` (optional) holds the ``keys`` columns of a table with at least
-    as many rows per parent as ``children`` — typically the raw child table
-    before inner enrichment joins — so the hot-parent test reads one or two
-    key columns instead of re-running those joins.  ``known_small`` skips
-    the test when the caller has already shown no parent is hot."""
-    def collect(df: DataFrame, group: list[str]) -> DataFrame:
-        return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))
-
-    src = (children if bound is None else bound).select(*keys)
-    if known_small or not has_hot_parent(src, keys, max_items):
-        return collect(children, keys).withColumn("part", F.lit(0).cast("bigint")) \
-            .select(*keys, "part", name)
-    hot = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gh_n"))
-           .filter(F.col("_gh_n") > max_items).select(*keys))
-    cold = collect(children.join(hot, keys, "left_anti"), keys) \
-        .withColumn("part", F.lit(0).cast("bigint"))
-    ranked = rank_within(children.join(hot, keys, "left_semi"), keys,
-                         [F.col(c).asc() for c in order], "_gh_r")
-    parts = ranked.withColumn("part", F.floor((F.col("_gh_r") - 1) / F.lit(max_items))
-                              .cast("bigint"))
-    return cold.select(*keys, "part", name).unionByName(
-        collect(parts, [*keys, "part"]).select(*keys, "part", name))
+
+def nest_children(children: DataFrame, keys: list[str], item: Column, name: str,
+                  also: list[Column] | None = None) -> DataFrame:
+    """(keys..., name, also...): the ``item`` structs sorted by their fields, the first of
+    which order the children (unique inside a parent), and further aggregates of
+    the same rows (sums), all in one grouped aggregate."""
+    return children.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias(name), *(also or []))
+
+
+def number_items(children: DataFrame, keys: list[str], order: list[str], col: str = "item") -> DataFrame:
+    """``children`` with ``col`` = 1..n inside each parent, in ``order`` (unique inside a
+    parent): the flat form of a document."""
+    return rank_within(children, keys, [F.col(c).asc() for c in order], col)

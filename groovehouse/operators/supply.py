@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (WAREHOUSE_CAP, money, short_status, status_text, to_minutes,
                                ts_text, wholesale_total)
-from .nesting import nest_children
+from .nesting import nest_children, number_items
 from .positions import rank_within
 
 # Fixed texts of the reference's gates.
@@ -106,19 +106,26 @@ def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
         lines = lines.join(ids.select("purchase_order"), "purchase_order", "left_semi")
     li = (lines.join(albums.select("album_id", "title", "artist_id"), "album_id")
           .join(artists.select("artist_id", "name"), "artist_id"))
-    sums = li.groupBy("purchase_order").agg(F.sum("line_total").alias("_sum"))
     docs = nest_children(li, ["purchase_order"], F.struct(
         "line", "artist_id", "name", "album_id", "title", "quantity",
         F.col("confirmed_quantity").alias("confirmed"),
-        money("line_total").alias("line_total")), ["line"], "lines",
-        bound=lines.select("purchase_order"))
-    return pos.join(sums, "purchase_order").join(docs, "purchase_order").select(
+        money("line_total").alias("line_total")), "lines", [F.sum("line_total").alias("_sum")])
+    return pos.join(docs, "purchase_order").select(
         "purchase_order", "status", ts_text("modified").alias("modified"),
         ts_text("estimated_receipt").alias("estimated_receipt"),
         money("shipping_cost").alias("shipping_cost"),
         money("_sum").alias("line_total"),
         money(F.col("_sum") + F.col("shipping_cost")).alias("invoice_total"),
-        "part", "lines")
+        "lines")
+
+
+def invoice_rows(lines: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
+    """J-2 as a flat table: one row per invoice line with its number on the invoice
+    (1..n without gaps), for orders of any size."""
+    li = (lines.join(albums.select("album_id", "title", "artist_id"), "album_id")
+          .join(artists.select("artist_id", "name"), "artist_id"))
+    return number_items(li.select("purchase_order", "line", "album_id", "title", "name", "quantity",
+                                  money("line_total").alias("line_total")), ["purchase_order"], ["line"])
 
 
 def confirmation_status(lines: DataFrame) -> DataFrame:

@@ -148,6 +148,24 @@ VIEWS: dict[str, str] = {
         ) AS k(key, value)""",
     "allow_list": """SELECT string_agg(username || ':' || role, ',' ORDER BY user_id) AS allow
         FROM users GROUP BY user_id // 100""",
+    "albums_in": """SELECT * FROM albums
+        UNION ALL SELECT * REPLACE (CAST(NULL AS BIGINT) AS album_id) FROM albums WHERE album_id % 60 = 11
+        UNION ALL SELECT * FROM albums WHERE album_id % 50 = 7
+        UNION ALL SELECT * REPLACE (album_id + 10000000 AS album_id, -1 - stock AS stock,
+                                    artist_id + 1000000 AS artist_id) FROM albums WHERE album_id % 40 = 3""",
+    "users_in": """SELECT * FROM users UNION ALL
+        SELECT * REPLACE (user_id + 10000000 AS user_id, 'owner' AS role) FROM users WHERE user_id % 30 = 1""",
+    "cart_in": """SELECT * FROM cart
+        UNION ALL SELECT * REPLACE (user_id + 20000000 AS user_id) FROM cart WHERE user_id % 20 = 2
+        UNION ALL SELECT * FROM cart WHERE album_id % 30 = 4""",
+    "purchase_orders_in": """SELECT * FROM purchase_orders UNION ALL
+        SELECT * REPLACE (purchase_order + 10000000 AS purchase_order, 'lost' AS status)
+        FROM purchase_orders WHERE purchase_order % 70 = 0""",
+    "dispatches_in": """SELECT * FROM dispatches UNION ALL
+        SELECT * REPLACE (dispatch_id || '-x' AS dispatch_id, purchase_order + 30000000 AS purchase_order,
+                          'gone' AS status) FROM dispatches WHERE purchase_order % 25 = 0""",
+    "songs_in": """SELECT * FROM songs UNION ALL
+        SELECT * REPLACE (album_id + 30000000 AS album_id) FROM songs WHERE album_id % 45 = 0""",
 }
 
 _ORDER = list(VIEWS)

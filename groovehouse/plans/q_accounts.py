@@ -134,6 +134,14 @@ def order_documents(s):
                     _orders_text("orders").alias("orders_text"))
 
 
+@register("order_item_rows", f"""
+SELECT o.user_id, x.order_id, x.album_id, a.title, r.name AS artist, x.quantity, {_money('a.price')} AS price,
+       row_number() OVER (PARTITION BY x.order_id ORDER BY x.album_id) AS item
+FROM {ITEMS.format(t='orders_bridge')} JOIN orders_h o ON o.order_id = x.order_id""")
+def order_item_rows(s):
+    return acc.order_item_rows(s.orders_h, s.orders_bridge, s.albums, s.artists)
+
+
 @register("account_document", f"""
 WITH {ORDER_DOCS},
 carts AS (SELECT x.user_id, sum(x.quantity * a.price) AS balance,

@@ -420,8 +420,8 @@ WITH d AS (SELECT * FROM {DIFF_LINES.format(new=EDITABLE_NEW)}
                                     WHERE status = 'pending-buyer'))
 SELECT l.purchase_order, l.line, l.album_id, l.quantity, l.confirmed_quantity,
        {_money('l.line_total')} AS line_total
-FROM purchase_order_lines l
-WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.purchase_order = l.purchase_order AND d.line = l.line)
+FROM purchase_order_lines l LEFT JOIN d ON d.purchase_order = l.purchase_order AND d.line = l.line
+WHERE d.line IS NULL
 UNION ALL
 SELECT purchase_order, line, album_id, quantity, confirmed_quantity, {_money('line_total')}
 FROM d WHERE op <> 'delete'""")
@@ -513,6 +513,53 @@ def merge_songs_albums(s):
     return albums.select("album_id", ts_text("modified").alias("modified"))
 
 
+HALF_LINES = """(SELECT purchase_order, line, album_id, quantity, confirmed_quantity, line_total
+    FROM purchase_order_lines WHERE purchase_order % 2 = 1
+    UNION ALL SELECT purchase_order, line, album_id, quantity, confirmed_quantity, line_total
+    FROM new_lines WHERE purchase_order % 2 = 0)"""
+
+
+@register("merge_order_edits", f"""
+WITH c AS (SELECT DISTINCT purchase_order FROM {DIFF_LINES.format(new=HALF_LINES)}),
+e AS (SELECT purchase_order FROM purchase_orders
+      WHERE status = 'pending-buyer' AND purchase_order IN (SELECT purchase_order FROM c))
+SELECT p.purchase_order,
+       CASE WHEN e.purchase_order IS NULL THEN p.status ELSE 'pending-supplier' END AS status,
+       strftime(CASE WHEN e.purchase_order IS NULL THEN p.modified ELSE {AT} END, {TS}) AS modified,
+       {_money('p.shipping_cost + CASE WHEN e.purchase_order IS NULL THEN 0 ELSE 1.5 END')} AS shipping_cost,
+       strftime(p.estimated_receipt + CASE WHEN e.purchase_order IS NULL THEN INTERVAL 0 DAY
+                                           ELSE INTERVAL 7 DAY END, {TS}) AS estimated_receipt
+FROM purchase_orders p LEFT JOIN e ON e.purchase_order = p.purchase_order""")
+def merge_order_edits(s):
+    """D-16 with headers: every order's form has a new header, the forms of odd orders
+    leave the lines as they are and so change nothing."""
+    odd = F.col("purchase_order") % 2 == 1
+    new = s.purchase_order_lines.filter(odd).unionByName(s.new_lines.filter(~odd))
+    _lines, pos = ch.merge_lines(s.purchase_order_lines, s.purchase_orders, new, PATCH_AT, s.order_headers)
+    return pos.select("purchase_order", "status", ts_text("modified").alias("modified"),
+                      money("shipping_cost").alias("shipping_cost"),
+                      ts_text("estimated_receipt").alias("estimated_receipt"))
+
+
+@register("merge_album_edits", f"""
+WITH d AS (SELECT DISTINCT album_id FROM {DIFF_SONGS} WHERE op IS NOT NULL AND album_id % 2 = 0),
+h AS (SELECT n.*, n.title IS DISTINCT FROM o.title OR n.release_year IS DISTINCT FROM o.release_year
+         OR n.price IS DISTINCT FROM o.price OR n.artist_id IS DISTINCT FROM o.artist_id
+         OR n.photo IS DISTINCT FROM o.photo AS differs, o.modified AS old_stamp
+      FROM {PATCHED_ALBUMS} n JOIN albums o ON o.album_id = n.album_id)
+SELECT h.album_id, h.title, h.release_year, h.stock, {_money('h.price')} AS price, h.photo, h.artist_id,
+       strftime(CASE WHEN differs OR d.album_id IS NOT NULL THEN {AT} ELSE old_stamp END, {TS}) AS modified
+FROM h LEFT JOIN d ON d.album_id = h.album_id""")
+def merge_album_edits(s):
+    """D-17 with headers: album forms of every third album, songs changed on even albums
+    only, so that some albums change by their header alone."""
+    odd = F.col("album_id") % 2 == 1
+    new = s.songs.filter(odd).unionByName(s.new_songs.filter(~odd))
+    forms = ch.patch_rows(s.albums, s.album_patch, "album_id", None).select("album_id", *ch.ALBUM_FIELDS)
+    _songs, albums = ch.merge_songs(s.songs, s.albums, new, PATCH_AT, forms)
+    return albums.withColumn("price", money("price")).withColumn("modified", ts_text("modified"))
+
+
 @register("zip_join", """
 WITH o AS (SELECT album_id, track, song,
                   row_number() OVER (PARTITION BY album_id ORDER BY track) AS n FROM songs),

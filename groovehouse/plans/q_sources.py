@@ -69,7 +69,7 @@ WITH d AS (SELECT purchase_order,
                   list({{'line': line, 'album_id': album_id, 'quantity': quantity,
                         'line_total': CAST(round(line_total, 2) AS DOUBLE)}} ORDER BY line) AS data
            FROM purchase_order_lines GROUP BY purchase_order)
-SELECT p.purchase_order, CAST(0 AS BIGINT) AS part, CAST(CASE
+SELECT p.purchase_order, CAST(CASE
   WHEN p.estimated_receipt IS NULL THEN to_json({{'client_id': 'shop',
        'purchase_order_id': p.purchase_order, 'status': p.status,
        'modified': strftime(p.modified, {TS}), 'data': d.data,
@@ -97,7 +97,6 @@ WITH al AS (SELECT a.artist_id,
                         ORDER BY a.album_id) AS albums
             FROM albums a JOIN artists r ON r.artist_id = a.artist_id GROUP BY a.artist_id)
 SELECT CAST(to_json({{'artist_id': r.artist_id, 'name': r.name, 'bio': r.bio,
-                     'part': CAST(0 AS BIGINT),
                      'albums': coalesce(al.albums, []::{ALBUM_DOC})}}) AS VARCHAR) AS value
 FROM artists r LEFT JOIN al ON al.artist_id = r.artist_id""")
 def artist_documents(s):

@@ -85,6 +85,15 @@ def purchase_order_detail(s):
             F.coalesce(x["confirmed"].cast("string"), F.lit("")))), ";").alias("lines_text"))
 
 
+@register("invoice_rows", f"""
+SELECT l.purchase_order, l.line, l.album_id, a.title, r.name, l.quantity, {_money('l.line_total')} AS line_total,
+       row_number() OVER (PARTITION BY l.purchase_order ORDER BY l.line) AS item
+FROM purchase_order_lines l JOIN albums a ON a.album_id = l.album_id
+JOIN artists r ON r.artist_id = a.artist_id""")
+def invoice_rows(s):
+    return sup.invoice_rows(s.purchase_order_lines, s.albums, s.artists)
+
+
 PENDING = """(SELECT count(purchase_order) FROM purchase_orders WHERE status <> 'confirmed')
     AS pending_pos,
     (SELECT count(dispatch_id) FROM dispatches WHERE status <> 'received') AS pending_dispatches"""

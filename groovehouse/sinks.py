@@ -25,10 +25,9 @@ def po_messages(pos: DataFrame, lines: DataFrame, client_id: str = "shop") -> Da
     """SNK-2: outbound purchase-order message per order: header, lines
     ordered by line number, delivery date and freight cost."""
     per = nest_children(lines, ["purchase_order"], F.struct(
-        "line", "album_id", "quantity", money("line_total").alias("line_total")), ["line"],
-        "data", bound=lines.select("purchase_order"))
+        "line", "album_id", "quantity", money("line_total").alias("line_total")), "data")
     msg = pos.join(per, "purchase_order").select(
-        "purchase_order", "part",
+        "purchase_order",
         F.to_json(F.struct(
             F.lit(client_id).alias("client_id"),
             F.col("purchase_order").alias("purchase_order_id"), "status",

@@ -277,17 +277,18 @@ def test_draft_lines_fold_rules(spark):
                    (7, 3, 2, 1, Decimal("7.00")), (8, 4, 1, 3, Decimal("2.50"))]
 
 
-def test_nest_children_splits_hot_parent_in_order(spark):
-    from groovehouse.operators.nesting import nest_children
-    data = [(1, i, f"s{i}") for i in range(23)] + [(2, 5, "x"), (2, 1, "y")]
-    df = spark.createDataFrame(data, "album_id long, track long, song string")
-    out = nest_children(df, ["album_id"], F.struct("track", "song"), ["track"], "songs",
-                        max_items=5)
-    got = {(r.album_id, r.part): [x.track for x in r.songs] for r in out.collect()}
-    assert got[(2, 0)] == [1, 5]
-    hot = [got[(1, p)] for p in range(5)]
-    assert [len(h) for h in hot] == [5, 5, 5, 5, 3]
-    assert sum(hot, []) == list(range(23))
+def test_one_document_per_parent_at_any_size(spark):
+    """25,000 children under one parent give one document; the flat form numbers them."""
+    from groovehouse.operators.nesting import nest_children, number_items
+    df = spark.range(25_000).select(F.lit(1).cast("long").alias("album_id"), F.col("id").alias("track")).unionByName(
+        spark.createDataFrame([(2, 5), (2, 1)], "album_id long, track long")).repartition(4)
+    out = {r.album_id: r for r in nest_children(df, ["album_id"], F.struct("track"), "songs",
+                                                [F.sum("track").alias("total")]).collect()}
+    assert [x.track for x in out[1].songs] == list(range(25_000)) and [x.track for x in out[2].songs] == [1, 5]
+    assert out[1].total == sum(range(25_000)) and out[2].total == 6
+    flat = number_items(df, ["album_id"], ["track"])
+    assert flat.where("album_id = 1 and item <> track + 1").count() == 0
+    assert rows(flat.where("album_id = 2")) == [(2, 1, 1), (2, 5, 2)]
 
 
 def test_rank_within_matches_row_number(spark, shop_small):

@@ -109,8 +109,28 @@ def test_order_edit_sets_freight_and_receipt_date(spark):
     headers = spark.createDataFrame([(1, 9.0, "2024-03-01"), (2, 1.0, None), (3, 9.0, None)],
                                     "purchase_order long, shipping_cost double, estimated_receipt string") \
         .withColumn("estimated_receipt", ch.F.to_timestamp_ntz("estimated_receipt"))
-    same = lines.drop("confirmed_quantity")
-    got = {r["purchase_order"]: r for r in ch.merge_lines(lines, pos, same, AT, headers)[1].collect()}
+    # The header counts only together with a changed line: order 1 has one.
+    edited = lines.drop("confirmed_quantity").withColumn(
+        "quantity", ch.F.when(ch.F.col("purchase_order") == 2, ch.F.col("quantity")).otherwise(7))
+    headers = headers.withColumn("shipping_cost", ch.F.lit(9.0))
+    got = {r["purchase_order"]: r for r in ch.merge_lines(lines, pos, edited, AT, headers)[1].collect()}
     assert (got[1]["status"], got[1]["shipping_cost"], str(got[1]["estimated_receipt"])[:10]) == (
         "pending-supplier", 9.0, "2024-03-01")
-    assert got[2]["status"] == "pending-buyer" and got[3]["shipping_cost"] == 1.0
+    assert got[2]["status"] == "pending-buyer" and got[2]["shipping_cost"] == 1.0
+    assert got[3]["status"] == "confirmed" and got[3]["shipping_cost"] == 1.0
+
+
+def test_album_edit_by_title_only_applies_and_stamps(spark):
+    albums = spark.createDataFrame(
+        [(1, "a", 2000, 1.0, 5, "p"), (2, "b", 2000, 1.0, 5, "p"), (3, "c", 2000, 1.0, 5, "p")],
+        "album_id long, title string, release_year long, price double, artist_id long, photo string"
+    ).withColumn("modified", ch.F.to_timestamp_ntz(ch.F.lit("2020-01-01")))
+    songs = spark.createDataFrame([(k, 1, 10, "s") for k in (1, 2, 3)],
+                                  "album_id long, track long, duration long, song string")
+    forms = albums.withColumn("title", ch.F.when(ch.F.col("album_id") == 1, "new").otherwise(ch.F.col("title")))
+    new = songs.withColumn("song", ch.F.when(ch.F.col("album_id") == 2, "t").otherwise(ch.F.col("song")))
+    left, got = ch.merge_songs(songs, albums, new, AT, forms)
+    found = {r["album_id"]: (r["title"], str(r["modified"])[:4]) for r in got.collect()}
+    year = AT[:4]
+    assert found == {1: ("new", year), 2: ("b", year), 3: ("c", "2020")}
+    assert {r["album_id"]: r["song"] for r in left.collect()} == {1: "s", 2: "t", 3: "s"}

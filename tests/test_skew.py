@@ -47,14 +47,6 @@ def test_draft_fold_exact_with_a_hot_order(spark, shop_mid):
 def test_documents_exact_with_a_hot_artist(spark, shop_mid):
     s = shop_mid
     albums = s.albums.withColumn("artist_id", F.lit(0).cast("bigint"))   # one artist
-    from groovehouse.operators.nesting import nest_children
-    parts = nest_children(albums.join(s.artists.select("artist_id", "name"), "artist_id"),
-                          ["artist_id"], F.struct("album_id", "title"), ["album_id"],
-                          "albums", max_items=150)
-    got = sorted(parts.collect(), key=lambda r: r.part)
-    assert all(len(r.albums) <= 150 for r in got)
-    ids = [a.album_id for r in got for a in r.albums]
-    assert ids == sorted(r.album_id for r in albums.collect())
     doc = cat.artist_with_albums(s.artists, albums)
     assert doc.filter("artist_id = 0").select(F.size("albums")).first()[0] == albums.count()
 
