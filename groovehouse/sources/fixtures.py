@@ -35,6 +35,40 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cart_events_of(events: DataFrame) -> DataFrame:
+    """Cart events from the raw events, batch or stream."""
+    return events.filter(F.col("event_type").isin("click", "view", "error")).select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
+        F.get_json_object("props", "$.k").cast("bigint").alias("album_id"),
+        F.when(F.col("event_type") == "error", F.lit(-1)).otherwise(F.lit(1))
+        .cast("bigint").alias("delta"))
+
+
+def dispatch_messages_of(orders: DataFrame) -> DataFrame:
+    """D-19 messages from the raw orders, batch or stream: a note for a third of the
+    pending-buyer orders, a ``shipped`` update per dispatch, ``rescheduled`` for every
+    fourth.  Each order row gives its own messages."""
+    k, day = F.col("o_orderkey").cast("bigint"), F.col("o_orderdate").cast("timestamp_ntz")
+    none = {"purchase_order": F.lit(None).cast("bigint"), "address": F.lit(None).cast("string"),
+            "estimated_delivery": F.lit(None).cast("timestamp_ntz")}
+
+    def message(seq, kind, prefix, status, **given):
+        fields = {**none, **given}
+        return F.struct((k * 3 + seq).alias("seq"), F.lit(kind).alias("kind"),
+                        F.concat(F.lit(prefix), k.cast("string")).alias("dispatch_id"),
+                        fields["purchase_order"].alias("purchase_order"), F.lit(status).alias("status"),
+                        fields["address"].alias("address"), fields["estimated_delivery"].alias("estimated_delivery"))
+
+    noted = (F.col("o_orderstatus") == "P") & (k % 3 == 0)
+    sent = F.col("o_orderstatus") == "F"
+    note = message(0, "note", "n-", "pending-supplier", purchase_order=k,
+                   address=F.concat(F.lit("dock "), (k % 7).cast("string")))
+    shipped = message(1, "update", "d-", "shipped", estimated_delivery=plus_days(day, 20))
+    moved = message(2, "update", "d-", "rescheduled", estimated_delivery=plus_days(day, 27))
+    return orders.select(F.inline(F.array_compact(F.array(
+        F.when(noted, note), F.when(sent, shipped), F.when(sent & (k % 4 == 0), moved)))))
+
+
 class Shop:
     """The ten shop tables plus change/message inputs, derived lazily."""
 
@@ -102,13 +136,7 @@ class Shop:
 
     @cached_property
     def cart_events(self) -> DataFrame:
-        e = self.raw("events").filter(F.col("event_type").isin("click", "view", "error"))
-        return e.select(
-            "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
-            F.get_json_object("props", "$.k").cast("bigint").alias("album_id"),
-            F.when(F.col("event_type") == "error", F.lit(-1)).otherwise(F.lit(1))
-            .cast("bigint").alias("delta"),
-        )
+        return cart_events_of(self.raw("events"))
 
     @cached_property
     def cart(self) -> DataFrame:
@@ -314,37 +342,8 @@ class Shop:
 
     @cached_property
     def dispatch_msgs(self) -> DataFrame:
-        """D-19 messages: notes for a third of pending-buyer orders, a
-        ``shipped`` update per dispatch, ``rescheduled`` for every fourth."""
-        o = self.raw("orders").select(F.col("o_orderkey").alias("purchase_order"),
-                                      F.col("o_orderdate").cast("timestamp_ntz").alias("od"))
-        po = self.purchase_orders
-        notes = (po.filter((F.col("status") == "pending-buyer")
-                           & (F.col("purchase_order") % 3 == 0))
-                 .select((F.col("purchase_order") * 3).alias("seq"),
-                         F.lit("note").alias("kind"),
-                         F.concat(F.lit("n-"), F.col("purchase_order").cast("string"))
-                         .alias("dispatch_id"),
-                         "purchase_order",
-                         F.lit("pending-supplier").alias("status"),
-                         F.concat(F.lit("dock "), (F.col("purchase_order") % 7).cast("string"))
-                         .alias("address"),
-                         F.lit(None).cast("timestamp_ntz").alias("estimated_delivery")))
-        d = self.dispatches.join(o, "purchase_order")
-        shipped = d.select((F.col("purchase_order") * 3 + 1).alias("seq"),
-                           F.lit("update").alias("kind"), "dispatch_id",
-                           F.lit(None).cast("bigint").alias("purchase_order"),
-                           F.lit("shipped").alias("status"),
-                           F.lit(None).cast("string").alias("address"),
-                           plus_days(F.col("od"), 20).alias("estimated_delivery"))
-        resched = (d.filter(F.col("purchase_order") % 4 == 0)
-                   .select((F.col("purchase_order") * 3 + 2).alias("seq"),
-                           F.lit("update").alias("kind"), "dispatch_id",
-                           F.lit(None).cast("bigint").alias("purchase_order"),
-                           F.lit("rescheduled").alias("status"),
-                           F.lit(None).cast("string").alias("address"),
-                           plus_days(F.col("od"), 27).alias("estimated_delivery")))
-        return notes.unionByName(shipped).unionByName(resched)
+        """D-19 messages (``dispatch_messages_of``)."""
+        return dispatch_messages_of(self.raw("orders"))
 
     @cached_property
     def draft_events(self) -> DataFrame:

@@ -87,14 +87,26 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
 
 def test_restarted_driver_reads_the_newest_complete_version(spark, tmp_path):
-    from groovehouse.streaming.streams import VersionedState
-    start = {"cart": spark.createDataFrame([(1,)], "x long")}
-    first = VersionedState(spark, str(tmp_path / "s"), start)
-    assert first.last == -1 and rows(first.latest("cart")) == [(1,)]
-    first.write("cart", 0, spark.createDataFrame([(2,)], "x long"))
-    assert rows(first.latest("cart")) == [(1,)]  # not complete yet
-    first.commit(0)
-    assert rows(VersionedState(spark, str(tmp_path / "s"), start).latest("cart")) == [(2,)]
+    from groovehouse.streaming.streams import BucketedState
+    start = spark.createDataFrame([(k, 1) for k in range(50)], "x long, n long")
+
+    def state():
+        return BucketedState(spark, str(tmp_path / "s"), start, ["x"], buckets=8)
+
+    def merge(old, batch):
+        return old.unionByName(batch).groupBy("x").agg(ch.F.sum("n").alias("n"))
+
+    first = state()
+    assert first.last == -1 and first.latest().count() == 50
+    batch = spark.createDataFrame([(3, 5), (99, 7)], "x long, n long")
+    first.update(0, batch, merge)
+    want = {k: 1 for k in range(50)} | {3: 6, 99: 7}
+    assert dict(rows(state().latest())) == want
+    state().update(0, batch, merge)  # the batch again, as after a lost driver
+    assert dict(rows(state().latest())) == want
+    # Only the buckets of the two keys were written; the others keep their files.
+    assert sorted(set(state().manifest(0).values())) == [-1, 0]
+    assert sum(v == 0 for v in state().manifest(0).values()) <= 2
 
 
 def test_order_edit_sets_freight_and_receipt_date(spark):
