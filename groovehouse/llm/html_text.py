@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -48,8 +49,7 @@ BLOCK = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
-                 re.S)
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>\"'<]*+))")
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 FEATURE_BITS = 16
@@ -58,6 +58,68 @@ FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.Long
           T.StructField("n_blocks", T.IntegerType())]
 
 
+class Ends:
+    """Where tags end: the first ``>`` outside quotes behind a place.  A tag without one is
+    text.  Quotes and ends are listed once and every answer is kept for the places passed
+    on the way, so a page full of broken tags costs no more than its length."""
+
+    def __init__(self, html: str):
+        self.of = {c: [m.start() for m in re.finditer(c, html)] for c in "\"'>"}
+        self.marks = sorted(p for places in self.of.values() for p in places)
+        self.html, self.known = html, {}
+
+    def next(self, char: str, at: int) -> int:
+        """The next ``char`` from ``at`` on, or -1."""
+        places = self.of[char]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def tag(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        passed, end = [], -1
+        k = bisect_left(self.marks, at)
+        while k < len(self.marks):
+            if k in self.known:
+                end = self.known[k]
+                break
+            passed.append(k)
+            mark = self.marks[k]
+            if self.html[mark] == ">":
+                end = mark
+                break
+            close = self.next(self.html[mark], mark + 1)
+            if close < 0:
+                break
+            k = bisect_left(self.marks, close + 1)
+        for k in passed:
+            self.known[k] = end
+        return end
+
+
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of the tags, comments and declarations (no
+    name); text that looks like the start of a tag but has no end is no tag.  Sending a
+    place goes on from there."""
+    ends, at = Ends(html), 0
+    while True:
+        m = OPENING.search(html, at)
+        if m is None:
+            return
+        if m.group(1):
+            end = html.find("-->", m.end())
+            stop = len(html) if end < 0 else end + 3
+        elif m.group(2):
+            stop = ends.next(">", m.end()) + 1
+        else:
+            stop = ends.tag(m.end()) + 1
+        if not stop:
+            at = m.end()
+            continue
+        name = m.group(4) or ""
+        goto = yield m.start(), stop, bool(m.group(3)), name.lower(), html[m.end():stop - 1] if name else ""
+        at = stop if goto is None else goto
+
+
 class Block:
     """A leaf block: its text and what it stands in."""
 
@@ -110,16 +172,17 @@ def leaf_blocks(html: str) -> list[Block]:
                 linked += len(text)
 
     at, silent = 0, 0  # silent: open elements without text
-    while at < len(html):
-        m = TAG.search(html, at)
-        if m is None:
+    found, goto = tags(html), None
+    while True:
+        try:
+            start, stop, closing, tag, attributes = found.send(goto)
+        except StopIteration:
             words(html[at:])
             break
-        words(html[at:m.start()])
-        at = m.end()
-        if not m.group(2):
+        words(html[at:start])
+        at, goto = stop, None
+        if not tag:
             continue
-        tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in BLOCK:
             flush()
         elif tag == "br":
@@ -130,7 +193,7 @@ def leaf_blocks(html: str) -> list[Block]:
                 close(k)
                 silent = sum(inside.get(t, 0) for t in NO_TEXT) if silent else 0
             continue
-        if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK and inside.get("p"):
             k = nearest({"p"}, {"table", "div", "article", "section", "button", "li", "td"})
@@ -144,15 +207,15 @@ def leaf_blocks(html: str) -> list[Block]:
             close(nearest({"head"}, set()))
             silent = sum(inside.get(t, 0) for t in NO_TEXT)
         names = tuple(dict.fromkeys(
-            w for x in NAMES.findall(m.group(3)) for w in WORD.findall("".join(x).lower()))) \
-            if m.group(3) else ()
+            w for x in NAMES.findall(attributes) for w in WORD.findall("".join(x).lower()))) \
+            if attributes else ()
         open_.append((tag, names))
         inside[tag] += 1
         if tag in NO_TEXT:
             silent += 1
         if tag in RAW:  # everything up to its own end is no markup
             end = re.compile(rf"</{tag}\b", re.I).search(html, at)
-            at = end.start() if end else len(html)
+            at = goto = end.start() if end else len(html)
     flush()
     return out
 

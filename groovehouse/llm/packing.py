@@ -54,10 +54,19 @@ class TextTokenizer:
             tiktoken.Encoding("file", pat_str=self.WORDS + rest, mergeable_ranks=ranks,
                               special_tokens=special) for rest in (r"|\s+(?!\S)|\s+", r"|\s"))
 
+        self.vocabulary, self.slow = vocabulary, None
+
     def ids(self, text: str, spaced_singly: bool) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         encoder = self.plain if spaced_singly else self.full
-        return np.array(encoder.encode(text, allowed_special="all"), "<u4").tobytes()
+        try:
+            found = encoder.encode(text, allowed_special="all")
+        except ValueError:  # its look-ahead gives up on very long runs of white space
+            if self.slow is None:
+                from tokenizers import Tokenizer
+                self.slow = Tokenizer.from_file(self.vocabulary)
+            found = self.slow.encode(text, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
 
 #: ASCII white space, and the leading bytes of all other white space.

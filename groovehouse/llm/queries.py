@@ -140,9 +140,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     learned = docs.where(~held_out("doc_id", 5, 0))
     model = toxicity.train(learned, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(plain_texts(docs), model, sentences=False).select(
+    places = F.transform("toxic_sentences", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return toxicity.score(plain_texts(docs), model).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(places, ",").alias("toxic_bytes"))
 
 
 @register("op9_line_dedup")

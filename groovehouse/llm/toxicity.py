@@ -77,7 +77,8 @@ class Bags:
 
 def telling_words(bags: Bags, y: np.ndarray, least: float) -> np.ndarray:
     """Mask of the words that toxic documents hold more often than clean ones, by
-    a likelihood ratio of at least ``least``.  Counted over distinct sentences,
+    a likelihood ratio of at least ``least``, or of what chance hardly gives to any of
+    as many words as there are, if that is less.  Counted over distinct sentences,
     so a copied one counts once."""
     size = 1 << FEATURE_BITS
     place = np.arange(len(bags.word)) - bags.sentence[bags.of]
@@ -98,6 +99,7 @@ def telling_words(bags: Bags, y: np.ndarray, least: float) -> np.ndarray:
         ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (every * share)), 0)
                      + np.where(every > toxic, (every - toxic)
                                 * np.log((every - toxic) / (every * (1 - share))), 0))
+    least = min(least, 2 * np.log(max(np.count_nonzero(every), 2)))
     return (ratio >= least) & (toxic > every * share)
 
 

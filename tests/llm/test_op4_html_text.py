@@ -77,3 +77,16 @@ def test_awkward_pages_and_empty_table(spark):
     found = H.extract(pages, model).collect()
     assert len(found) == 5 and all(r["text"] == "" for r in found if r["html"] is None or "deep" not in r["html"])
     assert H.extract(pages.limit(0), H.train(pages.limit(0))).count() == 0
+
+
+def test_broken_tags_take_time_in_proportion_to_the_page():
+    """1 MB of each; the first two are one text, the others hold no text or one block."""
+    import time
+    pages = {"<a " * 333_000: 1, "<" * 1_000_000: 1, "<!" * 500_000: 1, "<a" * 500_000: 1, '<a "' * 250_000 + ">": 0,
+             "<p '" * 250_000: 1, "<!--" * 250_000: 0, "<div>" * 200_000 + "x": 1}
+    for page, n in pages.items():
+        t = time.time()
+        assert len(H.leaf_blocks(page)) == n
+        assert time.time() - t < 10
+    assert [b.text for b in H.leaf_blocks("<p>a < b <i c")] == ["a < b <i c"]
+    assert [b.text for b in H.leaf_blocks("<p title='x>y'>a<!-- > -->b<br/>c</p><q 'z>d")] == ["ab c", "<q 'z>d"]

@@ -106,3 +106,9 @@ def test_added_tokens_in_a_text_are_the_tokenizers(tokenizer, default, parts):
 
 def test_an_added_token_has_its_own_id(tokenizer):
     assert np.frombuffer(tokenizer.ids("end<|endoftext|>", True), "<u4").tolist() == [437, 50256]
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n"])
+def test_very_long_white_space(space, tokenizer, reference):
+    for text in (space * (2_000_000 // len(space)) + "x", "x" + space * 600_000, space * 1_000_000):
+        assert np.frombuffer(tokenizer.ids(text, False), "<u4").tolist() == reference(text)
