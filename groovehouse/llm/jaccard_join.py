@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, plain_texts, row_chunks, stored
@@ -261,22 +261,24 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = stored(held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
                       .select("token"), "tokens")
     shared = spark.sparkContext.broadcast(bit_filter(repeated, "token"))
-    held = (prefix_tokens(docs, size, percent, classes, shared).join(repeated, "token", "left_semi")
-            .distinct())
     # A group: up to about GROUP nodes of one component; a lone node is its own.
     sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("c_size"))
     member = comps.join(sizes, "root").select(
         "node", "root", "c_size",
         F.when(F.col("c_size") <= GROUP, F.col("root")).otherwise(F.xxhash64(
             "root", F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("c_size") / GROUP)))).alias("grp"))
-    held = stored(held.join(member, "node", "left").select(
+    # Tokens that more than one component holds: the rows are dealt by token once, and
+    # only those of such tokens are written.
+    of_token = Window.partitionBy("token")
+    held = (prefix_tokens(docs, size, percent, classes, shared).join(member, "node", "left").select(
         "token", "node", "n", F.coalesce("root", "node").alias("root"),
         F.coalesce("c_size", F.lit(1).cast("long")).alias("c_size"),
-        F.coalesce("grp", "node").alias("grp")), "held")
-    # Tokens that more than one component holds, and the matrix of those.
-    mixed = (held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .where("r0 != r1").select("token"))
-    held = stored(held.join(mixed, "token", "left_semi"), "held")
+        F.coalesce("grp", "node").alias("grp"))
+        .join(repeated, "token", "left_semi").distinct()
+        .withColumns({"r0": F.min("root").over(of_token), "r1": F.max("root").over(of_token)})
+        .where("r0 != r1").drop("r0", "r1"))
+    held = stored(held, "held")
+    # The matrix of those.
     matrix = held.groupBy("token", "grp").agg(
         F.first("root").alias("g_root"), F.first("c_size").alias("g_size"),
         F.min("n").alias("least"), F.max("n").alias("most"))
