@@ -124,3 +124,17 @@ def parse_dispatch_messages(s):
         "dispatch_id", "status", F.lit(None).cast("timestamp_ntz").alias("estimated_delivery"))
     return u.unionByName(n).withColumn(
         "estimated_delivery", F.date_format("estimated_delivery", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("snapshot_reload", """
+SELECT album_id, track, duration, song FROM new_songs""")
+def snapshot_reload(s):
+    """SNK-3 and SRC-1: the edited songs written as a new version, read with the declared schema."""
+    from ..operators.changes import merge_songs
+    from ..sinks import save_snapshot
+    from ..sources.fixtures import PATCH_AT
+    from ..sources.tables import read_table
+    from ..streaming.streams import scratch_root
+    songs, _albums = merge_songs(s.songs, s.albums, s.new_songs, PATCH_AT)
+    path = save_snapshot(songs, f"{scratch_root(s.spark, 'snapshot')}/songs", 1)
+    return read_table(s.spark, path, "songs").select("album_id", "track", "duration", "song")
