@@ -128,9 +128,8 @@ def fit(examples: list[tuple[str, str]], *, per_text: int = 12, splice: float =
     begins = np.zeros(len(gold), bool)
     begins[text.first[:-1][(counts > 0) & ~joined]] = True
     begins[:1] = True
-    chains = Chains(begins, 2 * LONGEST)
-    follows = np.ones(len(gold), bool)
-    follows[chains.first] = False
+    chains = Chains(begins)
+    follows = ~begins
     n = len(model.langs)
     seen = np.zeros((n, n))
     np.add.at(seen, (gold[np.flatnonzero(follows) - 1], gold[follows]), 1)

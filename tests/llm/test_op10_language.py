@@ -5,6 +5,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pytest
 from groovehouse.llm import language as G
 from groovehouse.llm.chains import Chains
 from groovehouse.llm.queries import queries
@@ -43,6 +44,20 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(got, want) and np.allclose(moved, moves) and np.isclose(log_z, total)
 
 
+@pytest.mark.parametrize("longest", [1, 2, 3, 7, 64])
+def test_chains_of_several_blocks_are_as_whole_ones(longest):
+    rng = np.random.default_rng(longest)
+    for n in (1, 2, 5, 40, 400):
+        emit, move = 3 * rng.normal(size=(n, 4)), rng.normal(size=(4, 4))
+        begins = rng.random(n) < rng.choice([0.0, 0.05, 0.5])
+        begins[0] = True
+        whole, cut = Chains(begins, n + 1).marginals(emit, move), Chains(begins, longest).marginals(emit, move)
+        for x, y in zip(whole, cut, strict=True):
+            assert np.allclose(x, y)
+    none = Chains(np.zeros(0, bool), longest).marginals(np.zeros((0, 4)), np.zeros((4, 4)))
+    assert len(none[0]) == 0 and not none[1].any()
+
+
 def test_code_switched_text_is_labelled_word_by_word(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     model = G.train(spark.read.parquet(f"{SF}/documents.parquet"))
