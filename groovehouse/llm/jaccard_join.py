@@ -248,11 +248,26 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         met = (full.select("node", F.col(f"m{j}").alias("m")).distinct().join(pivots, "m")
                .where("node != pivot").select("node", "pivot"))
         pairs = met if pairs is None else pairs.unionByName(met)
-    pairs = stored(pairs.distinct(), "pivots")
+    pairs = stored(pairs.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("minima")), "pivots")
     involved = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     sets = node_sets(docs, involved, size)
-    links = stored(open_groups(pairs.select(F.col("pivot").alias("grp"), F.col("pivot").alias("node")).distinct(),
-                               pairs.select(F.col("pivot").alias("grp"), "node"), sets, percent), "links")
+
+    def verified(asked: DataFrame) -> DataFrame:
+        return stored(open_groups(asked.select(F.col("pivot").alias("grp"), F.col("pivot").alias("node")).distinct(),
+                                  asked.select(F.col("pivot").alias("grp"), "node"), sets, percent), "links")
+
+    # A node first asks the pivot that shares most minimum hashes with it, then only
+    # those that this left in other components.
+    best = F.max_by("pivot", F.struct("minima", F.xxhash64("pivot"))).alias("pivot")
+    nearest = stored(pairs.groupBy("node").agg(best), "nearest")
+    links = verified(nearest)
+    comps = connected_components(links)
+    apart = pairs.select("node", "pivot").join(nearest, ["node", "pivot"], "left_anti")
+    for end in ("node", "pivot"):
+        apart = apart.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    apart = stored(apart.where("coalesce(node_root, node) != coalesce(pivot_root, pivot)")
+                   .select("node", "pivot"), "apart")
+    links = links.unionByName(verified(apart))
     comps = connected_components(links)
 
     # Prefix tokens that several nodes hold.
