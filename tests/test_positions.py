@@ -76,3 +76,28 @@ def test_buckets_repeat_and_only_split_keys_are_carried(spark, hot):
 def test_no_checkpoint_and_one_shuffle_of_the_rows(spark, hot):
     plan = rank_within(hot, ["k"], [F.col("i").asc()], "r")._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD[k" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("at", range(len(ORDERS)))
+def test_frequent_keys_in_buckets_and_others_by_a_window(spark, hot, at):
+    """The frequent key (and the null key) spread over buckets, beside keys numbered at once."""
+    from groovehouse.operators.positions import frequent_keys
+    found = frequent_keys(hot, ["k"], 13, least=10)
+    of = {r["k"]: r["h"] for r in hot.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert of[7] in found and len(found) < 10
+    want = hot.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*_columns(ORDERS[at]))).cast("long"))
+    got = rank_within(hot, ["k"], ORDERS[at], "r", partitions=13, frequent_rows=10)
+    assert _rows(got) == _rows(want)
+
+
+def test_no_bucket_search_without_a_frequent_key(spark):
+    """36,000 rows in keys of four: one shuffle by key, no row looks for its bucket."""
+    df = spark.range(36_000).select((F.col("id") % 9000).alias("k"), "id")
+    plan = rank_within(df, ["k"], [F.col("id").asc()], "r")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("Exchange") == 1
+
+
+def test_bound_decides_no_number(spark, hot):
+    want = _rows(rank_within(hot, ["k"], ["i"], "r"))
+    for bound in (hot.select("k"), hot.where("k = 3").select("k"), hot.limit(0).select("k")):
+        assert _rows(rank_within(hot, ["k"], ["i"], "r", partitions=13, bound=bound, frequent_rows=1)) == want
