@@ -1,7 +1,8 @@
 """Integrity audits: declared constraints as jobs returning violating rows.
 
 IDs: C-1..C-6.  Every audit is a union of per-table scans and grouped counts
-(partial aggregation), returning one row per violation.
+(partial aggregation), returning one row per violation.  Keys are counted as they
+are typed: text of every key would make the groups of a task several times larger.
 """
 
 from __future__ import annotations
@@ -33,38 +34,18 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def audit_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """C-1/C-2 in one pass: (table, key, null_key, own, refs): how many rows of ``table``
-    have the key, and per foreign key that refers to the table how many rows of its
-    child do.  Every table is read once: a row gives a mark for its own key and one
-    for each reference that is not NULL, and one grouped sum counts them all (a parent
-    that many children refer to is pre-aggregated in every task)."""
-    def mark(table: str, cols: list[str], relation: int) -> Column:
-        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        return F.struct(F.lit(table).alias("table"), _key_text(cols).alias("key"),
-                        null.alias("null_key"), F.lit(relation).alias("relation"))
-
-    marks = []
+def audit_primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """C-1: (table, key, problem, rows): NULL key parts or repeated keys.  The rows of
+    each table are counted by the typed key, eight bytes a column; only keys with a
+    problem are turned to text."""
+    found = []
     for name, keys in PRIMARY_KEYS.items():
-        found = [mark(name, keys, -1)]
-        for i, (child, cols, parent, pcols, _rule) in enumerate(FOREIGN_KEYS):
-            if child == name:
-                assert pcols == PRIMARY_KEYS[parent]
-                given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-                found.append(F.when(given, mark(parent, cols, i)))
-        marks.append(tables[name].select(F.inline(F.array_compact(F.array(*found)))))
-    refs = [F.count_if(F.col("relation") == i) for i in range(len(FOREIGN_KEYS))]
-    return _union(marks).groupBy("table", "key", "null_key").agg(
-        F.count_if(F.col("relation") == -1).alias("own"), F.array(*refs).alias("refs"))
-
-
-def audit_primary_keys(tables: dict[str, DataFrame], keys: DataFrame | None = None) -> DataFrame:
-    """C-1: (table, key, problem, rows): NULL key parts or repeated keys.  ``keys``: the
-    result of ``audit_keys`` where the caller has it."""
-    k = audit_keys(tables) if keys is None else keys
-    return k.where((F.col("own") > 1) | (F.col("null_key") & (F.col("own") > 0))).select(
-        "table", "key", F.when(F.col("null_key"), "null key").otherwise("repeated key").alias("problem"),
-        F.col("own").alias("rows"))
+        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+        counts = tables[name].groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        found.append(counts.where((F.col("rows") > 1) | null).select(
+            F.lit(name).alias("table"), _key_text(keys).alias("key"),
+            F.when(null, "null key").otherwise("repeated key").alias("problem"), "rows"))
+    return _union(found)
 
 
 def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:

@@ -37,3 +37,12 @@ def test_references_are_counted_by_typed_keys(spark):
     assert rows(fk) == [("cart", "album_id", "albums", "5", 3), ("cart", "album_id", "albums", "6", 1),
                         ("cart", "user_id", "users", "1", 2)]
     assert not [x for x in _plan(fk) if "Aggregate(keys=[table" in x or "Aggregate(keys=[key" in x]
+
+
+def test_primary_keys_are_counted_by_typed_keys(spark):
+    t = _tables(spark)
+    t["cart"] = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (None, 5, 1), (3, None, 1), (4, 5, 1)], SCHEMAS["cart"])
+    pk = au.audit_primary_keys(t)
+    assert rows(pk) == [("cart", "1,5", "repeated key", 2), ("cart", "3,NULL", "null key", 1),
+                        ("cart", "NULL,5", "null key", 1)]
+    assert not [x for x in _plan(pk) if "Aggregate(keys=[table" in x or "Aggregate(keys=[key" in x]
