@@ -46,3 +46,17 @@ def test_primary_keys_are_counted_by_typed_keys(spark):
     assert rows(pk) == [("cart", "1,5", "repeated key", 2), ("cart", "3,NULL", "null key", 1),
                         ("cart", "NULL,5", "null key", 1)]
     assert not [x for x in _plan(pk) if "Aggregate(keys=[table" in x or "Aggregate(keys=[key" in x]
+
+
+def test_order_marks_need_no_carried_quantities(spark):
+    cols = SCHEMAS["purchase_order_lines"]
+    lines = spark.createDataFrame([(1, 1, 5, 2, 1, None), (2, 1, 5, 2, 1, None), (3, 1, 5, 2, 1, None)], cols)
+    new = spark.createDataFrame([(1, 1, 5, 3, None, None), (2, 1, 5, 2, None, None), (3, 2, 5, 9, None, None)], cols)
+    pos = spark.createDataFrame([(1, "pending-buyer", None, None, None), (2, "pending-buyer", None, None, None),
+                                 (3, "confirmed", None, None, None)], SCHEMAS["purchase_orders"])
+    merged, orders = ch.merge_lines(lines, pos, new, "2024-06-01 00:00:00")
+    assert rows(merged.select("purchase_order", "line", "quantity", "confirmed_quantity")) == [
+        (1, 1, 3, 1), (2, 1, 2, 1), (3, 1, 2, 1)]
+    assert not any("min_by" in x for x in _plan(orders))
+    assert rows(orders.select("purchase_order", "status")) == [
+        (1, "pending-supplier"), (2, "pending-buyer"), (3, "confirmed")]
