@@ -60,3 +60,17 @@ def test_order_marks_need_no_carried_quantities(spark):
     assert not any("min_by" in x for x in _plan(orders))
     assert rows(orders.select("purchase_order", "status")) == [
         (1, "pending-supplier"), (2, "pending-buyer"), (3, "confirmed")]
+
+
+def test_lines_of_unclicked_orders_are_read_once(spark):
+    lines = spark.createDataFrame([(1, 1, 5, 2, None, None), (1, 2, 6, 1, None, None), (2, 4, 5, 3, None, None),
+                                   (None, 1, 5, 1, None, None), (1, 3, None, 1, None, None)],
+                                  SCHEMAS["purchase_order_lines"])
+    albums = spark.createDataFrame([(5, "t", 2000, 0, None, "p", 1, None), (6, "u", 2000, 0, None, "p", 1, None)],
+                                   SCHEMAS["albums"])
+    events = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, 5, -1), (2, "2024-01-02 00:00:00", 1, 5, -1)],
+                                   "event_id long, ts string, purchase_order long, album_id long, delta long")
+    out = ch.fold_draft_lines(lines, albums, events)
+    got = rows(out.select("purchase_order", "line", "album_id", "quantity"))
+    assert got == [(1, 1, 6, 1), (1, 2, None, 1), (2, 4, 5, 3), (None, 1, 5, 1)]
+    assert sum("Scan ExistingRDD[purchase_order" in x for x in _plan(out)) == 1
