@@ -20,11 +20,11 @@ def forms_to_rows(kv: DataFrame, fields: list[str]) -> DataFrame:
     number is the row index (line 12 stays 12)."""
     alt = "|".join(sorted(fields, key=len, reverse=True))
     pat = rf"^({alt})_([0-9]+)$"
-    parsed = (kv.select("form_id",
-                        F.regexp_extract("key", pat, 1).alias("_f"),
-                        F.regexp_extract("key", pat, 2).alias("_n"),
-                        F.trim("value").alias("value"))
-              .filter(F.col("_f") != ""))
+    # One match a pair; the index is what follows the last underscore.
+    tail = F.substring_index("key", "_", -1)
+    parsed = kv.where(F.col("key").rlike(pat)).select(
+        "form_id", F.col("key").substr(F.lit(1), F.length("key") - F.length(tail) - 1).alias("_f"),
+        tail.alias("_n"), F.trim("value").alias("value"))
     wide = (parsed.groupBy("form_id", F.col("_n").cast("bigint").alias("n"))
             .pivot("_f", fields).agg(F.first("value")))
     return wide.select("form_id", "n", *fields)

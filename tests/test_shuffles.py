@@ -74,3 +74,13 @@ def test_lines_of_unclicked_orders_are_read_once(spark):
     got = rows(out.select("purchase_order", "line", "album_id", "quantity"))
     assert got == [(1, 1, 6, 1), (1, 2, None, 1), (2, 4, 5, 3), (None, 1, 5, 1)]
     assert sum("Scan ExistingRDD[purchase_order" in x for x in _plan(out)) == 1
+
+
+def test_form_pairs_are_matched_once(spark):
+    kv = spark.createDataFrame([("f", "track_1", " 1 "), ("f", "song_1", "a "), ("f", "song_12", None),
+                                ("f", "xsong_1", "no"), ("f", "song_", "no"), ("g", "duration_2", "2:01"),
+                                ("g", "song_2_3", "no")], "form_id string, key string, value string")
+    out = forms.forms_to_rows(kv, forms.SONG_FIELDS)
+    plan = _plan(out)
+    assert not any("regexp_extract" in x for x in plan) and sum("Exchange" in x for x in plan) == 1
+    assert rows(out) == [("f", 1, "1", "a", None), ("f", 12, None, None, None), ("g", 2, None, None, "2:01")]
