@@ -97,6 +97,13 @@ def purchase_order_list(pos: DataFrame, lines: DataFrame) -> DataFrame:
             .orderBy(F.col("modified").desc_nulls_first(), F.col("purchase_order").asc()))
 
 
+def _named_lines(lines: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
+    """Lines with album and artist (inner joins).  Artists meet the albums first: the
+    lines are shuffled once, by album, and never by artist, of whom few hold many lines."""
+    named = albums.select("album_id", "title", "artist_id").join(artists.select("artist_id", "name"), "artist_id")
+    return lines.join(named, "album_id")
+
+
 def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
                           artists: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """J-2/A-5/A-8: invoice per order: lines with album and artist (inner
@@ -104,8 +111,7 @@ def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
     if ids is not None:
         pos = pos.join(ids.select("purchase_order"), "purchase_order", "left_semi")
         lines = lines.join(ids.select("purchase_order"), "purchase_order", "left_semi")
-    li = (lines.join(albums.select("album_id", "title", "artist_id"), "album_id")
-          .join(artists.select("artist_id", "name"), "artist_id"))
+    li = _named_lines(lines, albums, artists)
     docs = nest_children(li, ["purchase_order"], F.struct(
         "line", "artist_id", "name", "album_id", "title", "quantity",
         F.col("confirmed_quantity").alias("confirmed"),
@@ -122,10 +128,10 @@ def purchase_order_detail(pos: DataFrame, lines: DataFrame, albums: DataFrame,
 def invoice_rows(lines: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
     """J-2 as a flat table: one row per invoice line with its number on the invoice
     (1..n without gaps), for orders of any size."""
-    li = (lines.join(albums.select("album_id", "title", "artist_id"), "album_id")
-          .join(artists.select("artist_id", "name"), "artist_id"))
+    li = _named_lines(lines, albums, artists)
     return number_items(li.select("purchase_order", "line", "album_id", "title", "name", "quantity",
-                                  money("line_total").alias("line_total")), ["purchase_order"], ["line"])
+                                  money("line_total").alias("line_total")), ["purchase_order"], ["line"],
+                        bound=lines)
 
 
 def confirmation_status(lines: DataFrame) -> DataFrame:
