@@ -37,9 +37,10 @@ def cart_presence(cart: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _items(lines: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
-    return (lines.join(albums.select("album_id", "artist_id", "photo", "title", "price"),
-                       "album_id")
-            .join(artists.select("artist_id", F.col("name").alias("artist")), "artist_id"))
+    # Artists meet the albums, not the lines: few artists hold many lines.
+    named = albums.select("album_id", "artist_id", "photo", "title", "price").join(
+        artists.select("artist_id", F.col("name").alias("artist")), "artist_id")
+    return lines.join(named, "album_id")
 
 
 def cart_items(cart: DataFrame, albums: DataFrame, artists: DataFrame, users: DataFrame
@@ -107,7 +108,7 @@ def order_item_rows(orders: DataFrame, bridge: DataFrame, albums: DataFrame,
     album id), for orders and users of any size."""
     items = _items(bridge, albums, artists).join(orders.select("order_id", "user_id"), "order_id")
     return number_items(items.select("user_id", "order_id", "album_id", "title", "artist", "quantity",
-                                     money("price").alias("price")), ["order_id"], ["album_id"])
+                                     money("price").alias("price")), ["order_id"], ["album_id"], bound=bridge)
 
 
 def cart_documents(cart: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:

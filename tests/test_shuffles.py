@@ -84,3 +84,22 @@ def test_form_pairs_are_matched_once(spark):
     plan = _plan(out)
     assert not any("regexp_extract" in x for x in plan) and sum("Exchange" in x for x in plan) == 1
     assert rows(out) == [("f", 1, "1", "a", None), ("f", 12, None, None, None), ("g", 2, None, None, "2:01")]
+
+
+def test_lines_are_never_shuffled_by_artist(spark, merged):
+    t = _tables(spark)
+    lines = sup.purchase_order_detail(t["purchase_orders"], t["purchase_order_lines"], t["albums"], t["artists"])
+    items = acc.order_item_rows(t["orders_h"], t["orders_bridge"], t["albums"], t["artists"])
+    flat = sup.invoice_rows(t["purchase_order_lines"], t["albums"], t["artists"])
+    for df in (lines, items, flat):
+        plan = _plan(df)
+        by_artist = [i for i, x in enumerate(plan) if "hashpartitioning(artist_id" in x]
+        assert len(by_artist) == 2
+        for i in by_artist:
+            # Below the shuffle by artist lie albums or artists, and one scan.
+            below = []
+            for x in plan[i + 1:]:
+                if len(x) - len(x.lstrip(" :+-")) <= len(plan[i]) - len(plan[i].lstrip(" :+-")):
+                    break
+                below.append(x)
+            assert sum("Scan" in x for x in below) == 1 and not any("Join" in x for x in below)
