@@ -157,7 +157,8 @@ def prefix_tokens(docs: DataFrame, size: int, percent: int, classes, shared=None
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the given nodes, stored: whole sets, ascending 64-bit."""
+    """(node, tokens) of the given nodes: whole sets, ascending 64-bit.  They are read
+    once, dealt by node as they are, so they are not written in between."""
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(bit_filter(nodes, "node"))
 
@@ -175,7 +176,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     sets = docs.select("text").mapInArrow(run, "node long, tokens binary")
     sets = sets.join(nodes.select("node").distinct(), "node", "left_semi")
-    return stored(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

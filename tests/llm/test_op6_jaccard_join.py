@@ -108,3 +108,13 @@ def test_sets_of_other_sizes_with_frequent_tokens_against_brute_force(spark, mon
     want = brute(docs)
     assert len({x.rsplit(", ", 1)[1] for x in want}) == len(docs) - 12
     assert found(J.similar_components(df)) == want
+
+
+def test_whole_sets_are_not_written_between_steps(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*words[:40 + k % 3], f"x{k}", *words[43:]])) for k in range(8)]
+    written, stored = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: written.append(df.columns) or stored(df, name))
+    got = J.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert found(got) == brute(docs)
+    assert written and not any("tokens" in columns for columns in written)
