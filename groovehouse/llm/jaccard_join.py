@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, plain_texts, row_chunks, stored
 from .components import connected_components
-from .filters import bit_filter, in_filter
+from .filters import bit_filter, flagged, in_filter
 from .words import SPACED, Powers, distinct_per_text, mix, shingle_hashes, span_hashes, word_spans
 
 #: Counters of the frequency sketch, in blocks of one row each.
@@ -87,7 +87,7 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
 
 
 def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """How far above the mean each counter of the sketch is, in powers of two.
+    """How far above the mean each counter of the sketch is, in powers of two of its spread.
     The sketch counts the shingles of all documents; its size is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +123,15 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     for r in summed.collect():  # COUNTERS numbers in all
         step = COUNTERS // BLOCKS
         counters[r["block"] * step:(r["block"] + 1) * step] += np.frombuffer(r["counts"], "<u4")
-    level = counters // int(4 * counters.mean() + 4)
+    mean = counters.mean()  # of tokens that meet by chance, whose number varies by its root
+    level = np.maximum(counters - mean, 0) // (4 * np.sqrt(mean) + 4)
     return np.minimum(np.ceil(np.log2(level + 1)), 63).astype(np.uint8)
 
 
 def prefix_tokens(docs: DataFrame, size: int, percent: int, classes, shared=None) -> DataFrame:
-    """(token, node, n): the prefix tokens of every set; with ``shared``, a bit
-    filter, only tokens that pass it.  A task emits equal sets once."""
+    """(token, node, n, place): the prefix tokens of every set and their places in its
+    order; with ``shared``, a bit filter, only tokens that pass it.  A task emits equal
+    sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, rank = Powers(), classes.value
@@ -145,15 +147,16 @@ def prefix_tokens(docs: DataFrame, size: int, percent: int, classes, shared=None
                                          else rows[order], kind="stable")]
                 place = np.arange(len(flat)) - edge[rows]
                 keep = (place < take[rows]) & fresh[rows]
-                token, of = flat[order][keep].view(np.int64), rows[keep]
+                token, of, place = flat[order][keep].view(np.int64), rows[keep], place[keep]
                 if shared is not None:
                     ok = in_filter(shared.value, token)
-                    token, of = token[ok], of[ok]
+                    token, of, place = token[ok], of[ok], place[ok]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token, pa.int64()), pa.array(node[of], pa.int64()),
-                     pa.array(counts[of], pa.int64())], ["token", "node", "n"])
+                     pa.array(counts[of], pa.int64()), pa.array(place, pa.int64())],
+                    ["token", "node", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long")
+    return docs.select("text").mapInArrow(run, "token long, node long, n long, place long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -272,24 +275,35 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # only those of such tokens are written.
     of_token = Window.partitionBy("token")
     held = (prefix_tokens(docs, size, percent, classes, shared).join(member, "node", "left").select(
-        "token", "node", "n", F.coalesce("root", "node").alias("root"),
+        "token", "node", "n", "place", F.coalesce("root", "node").alias("root"),
         F.coalesce("c_size", F.lit(1).cast("long")).alias("c_size"),
         F.coalesce("grp", "node").alias("grp"))
         .join(repeated, "token", "left_semi").distinct()
         .withColumns({"r0": F.min("root").over(of_token), "r1": F.max("root").over(of_token)})
         .where("r0 != r1").drop("r0", "r1"))
     held = stored(held, "held")
-    # The matrix of those.
+    # The matrix of those.  Sets of n and m tokens that are linked have
+    # percent (n + m) / (100 + percent) of them in common, and as many from their first
+    # common one on in each: the places of that one are no further on.
     matrix = held.groupBy("token", "grp").agg(
         F.first("root").alias("g_root"), F.first("c_size").alias("g_size"),
-        F.min("n").alias("least"), F.max("n").alias("most"))
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.expr(f"max(100 * n - {100 + percent} * place)").alias("reach"))
     # The nodes of the smaller component ask the groups of the larger one.
     asks = (F.col("c_size") < F.col("g_size")) | (
         (F.col("c_size") == F.col("g_size")) & (F.col("root") > F.col("g_root")))
-    overlap = (held.drop("grp").join(matrix, "token").where(asks)
-               .where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
-               .groupBy("node", "grp", "n").agg(F.count(F.lit(1)).alias("matched"),
-                                                F.min("least").alias("least"), F.max("most").alias("most")))
+    met = stored(held.drop("grp").join(matrix, "token").where(asks)
+                 .where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
+                 .where(f"reach >= {percent} * n and {100 * (100 + percent)} * (n - place) "
+                        f">= {100 * percent} * n + {percent} * greatest(100 * least, {percent} * n)")
+                 .select("node", "grp", "n").distinct(), "met")
+    # Of these the matched tokens, whole prefixes.
+    of_node = flagged(held, met, "node", "#own").where("`#own`").groupBy("node") \
+        .agg(F.collect_set("token").alias("own"))
+    of_grp = flagged(matrix, met, "grp", "#own").where("`#own`").groupBy("grp") \
+        .agg(F.collect_set("token").alias("theirs"), F.min("least").alias("least"), F.max("most").alias("most"))
+    overlap = met.join(of_node, "node").join(of_grp, "grp").select(
+        "node", "grp", "n", "least", "most", F.size(F.array_intersect("own", "theirs")).alias("matched"))
     # Overlap with a member: at most the matched prefix tokens and all of the rest of
     # the one whose prefix ends first, the query's or (of ``big`` tokens at most) the member's.
     low = f"ceil({percent} * greatest(least, {percent} * n / 100) / {100 + percent}.0 " \

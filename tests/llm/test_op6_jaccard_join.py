@@ -7,6 +7,7 @@ from groovehouse.llm import jaccard_join as J
 from groovehouse.llm.components import connected_components
 from groovehouse.llm.queries import ORACLES, queries
 from helpers import as_rows, awkward, oracle
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -118,3 +119,26 @@ def test_whole_sets_are_not_written_between_steps(spark, monkeypatch):
     got = J.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert found(got) == brute(docs)
     assert written and not any("tokens" in columns for columns in written)
+
+
+def test_sets_meet_only_by_tokens_early_enough_in_both(spark, monkeypatch):
+    """Two of many passages each: sets share frequent tokens, yet few pairs may link."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(30)]
+    texts = [" ".join(rng.sample(passages, 2) + [f"own{i}"]) for i in range(300)]
+    texts += [" ".join(t.split()[:-3] + ["cut"]) for t in texts[:20]]
+    kept = {}
+
+    def stored(df, name, real=J.stored):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(J, "stored", stored)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.similar_components(docs).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == sorted(brute(rows))
+    held = kept["held"].select("token", "node", "n", "root").distinct()
+    other = held.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+    every = held.join(other, "token").where("root < r and 100 * m >= 75 * n and 100 * n >= 75 * m")
+    assert kept["met"].count() < 0.5 * every.select("node", "b").distinct().count()
